@@ -1,0 +1,6 @@
+"""Streaming: the reproduced library has no streaming surface.
+
+A fitted model is a set of static DataFrames and ``predict`` is a plan of
+left joins and column expressions, which Spark also accepts for a streaming
+scored frame (stream-static joins); nothing here adds operators beyond that.
+"""
