@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.density import col
 from ..plans.dag import Network
+from ..session import ensure_checkpoint_dir
 
 ARRAY_INT = "array<int>"
 
@@ -303,10 +304,13 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             [], "parent string, child string, config array<int>, rho double")
 
     if persist:
-        cpt = cpt.persist(StorageLevel.MEMORY_AND_DISK)
-        gauss = gauss.persist(StorageLevel.MEMORY_AND_DISK)
-        coef = coef.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = _sizes(cpt, gauss, coef)  # one job: materialises all three tables
+        # Cut lineage: the parameter tables are small, and writing them to the
+        # shared checkpoint folder keeps every later plan that reads them tiny
+        # (no re-analysis of the wide aggregate) and survives executor loss.
+        ensure_checkpoint_dir(X.sparkSession)
+        cpt, gauss, coef = cpt.checkpoint(), gauss.checkpoint(), coef.checkpoint()
+        stats.unpersist()
+    sizes = _sizes(cpt, gauss, coef)
     return Model(net, cpt, gauss, coef, sizes)
 
 
