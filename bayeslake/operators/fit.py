@@ -274,7 +274,8 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         names = [f"{a}{i}" for i in range(len(cont)) for a in ("m", "s")]
         names += [f"{a}{e}" for e in range(len(eidx)) for a in ("cv", "px", "py")]
         # one-row global statistics, attached as a scalar subquery
-        gval = glob.select(F.struct(*[F.col(a) for a in names]).alias("g")).scalar()
+        gsub = glob.select(F.struct(*[F.col(a) for a in names]).alias("g")).scalar()
+        gval = F.col("__g")
     for (p, y), e in eidx.items():
         ip, iy = cidx[p], cidx[y]
         cv, px, py = gval[f"cv{e}"], gval[f"px{e}"], gval[f"py{e}"]
@@ -294,7 +295,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         # mean over rows of (x - mx)(y - c) == covar_pop + (E[x] - mx)(E[y] - c),
         # the expectations taken over rows where both are present.
         num = cv + (px - mp) * (py - my)
-        c_parts.append(src.select(F.lit(p).alias("parent"), F.lit(y).alias("child"),
+        c_parts.append(src.withColumn("__g", gsub).select(F.lit(p).alias("parent"), F.lit(y).alias("child"),
                                   cfg.alias("config"),
                                   F.try_divide(num, sp * sy).alias("rho")))
     if c_parts:
@@ -304,12 +305,19 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             [], "parent string, child string, config array<int>, rho double")
 
     if persist:
-        # Cut lineage: the parameter tables are small, and writing them to the
-        # shared checkpoint folder keeps every later plan that reads them tiny
-        # (no re-analysis of the wide aggregate) and survives executor loss.
+        # Cut lineage: all parameters go to the shared checkpoint folder as ONE
+        # small long table (one write), and the three tables are projections of
+        # it. Later plans that read the model stay tiny (no re-analysis of the
+        # wide aggregate), and the model survives the loss of an executor.
         ensure_checkpoint_dir(X.sparkSession)
-        cpt, gauss, coef = cpt.checkpoint(), gauss.checkpoint(), coef.checkpoint()
+        allp = (cpt.withColumn("t", F.lit("cpt"))
+                .unionByName(gauss.withColumn("t", F.lit("gauss")), allowMissingColumns=True)
+                .unionByName(coef.withColumn("t", F.lit("coef")), allowMissingColumns=True)
+                .checkpoint())
         stats.unpersist()
+        cpt = allp.filter(F.col("t") == "cpt").select(*cpt.columns)
+        gauss = allp.filter(F.col("t") == "gauss").select(*gauss.columns)
+        coef = allp.filter(F.col("t") == "coef").select(*coef.columns)
     sizes = _sizes(cpt, gauss, coef)
     return Model(net, cpt, gauss, coef, sizes)
 

@@ -28,6 +28,9 @@ from ..functions.density import (class_density_term, col, log_const, neg_inf,
 from .fit import Model
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+# Above this many continuous parents, densities fold over arrays instead of
+# one unrolled term per parent (keeps analysis and codegen size constant).
+WIDE_FAN_IN = 8
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
@@ -58,35 +61,39 @@ class Scorer:
         self.default_prob = float(default_prob)
         self.log_default = log_const(self.default_prob)
         self.limit = max_broadcast_bytes
-        self._g = None
-        self._r = None
+        self._ridx: dict = {}
 
     # ---- shared one-row parameters --------------------------------------
     def _gm(self, node: str) -> tuple[Column, Column]:
         """Global mean and sd (F4/F6) of a continuous node."""
-        if self._g is None:
-            cont = self.net.continuous_nodes()
+        j = self.net.continuous_nodes().index(node)
+        return F.col("__blg")[f"m{j}"], F.col("__blg")[f"s{j}"]
+
+    def _rho(self, parent: str, child: str) -> Column:
+        """Coefficient of an edge whose child has no discrete parents (F7)."""
+        return F.col("__blr")[f"r{self._ridx[(parent, child)]}"]
+
+    def attach_globals(self, plan: _Plan) -> None:
+        """One-row parameters as ONE scalar-subquery column each (a struct),
+        so the subquery is planned once however many nodes read it."""
+        cont = self.net.continuous_nodes()
+        if cont:
             g = self.m.gauss.filter(F.col("scope") == "root")
             fields = []
             for j, y in enumerate(cont):
                 fields.append(F.max(F.when(F.col("node") == y, F.col("mean"))).alias(f"m{j}"))
                 fields.append(F.max(F.when(F.col("node") == y, F.col("sd"))).alias(f"s{j}"))
-            self._g = g.agg(F.struct(*fields).alias("g")).scalar()
-            self._gidx = {y: j for j, y in enumerate(cont)}
-        j = self._gidx[node]
-        return self._g[f"m{j}"], self._g[f"s{j}"]
-
-    def _rho(self, parent: str, child: str) -> Column:
-        """Coefficient of an edge whose child has no discrete parents (F7)."""
-        if self._r is None:
-            es = [(p, c) for p, c in self.net.continuous_edges()
-                  if not self.net.discrete_parents(c)]
-            self._ridx = {e: j for j, e in enumerate(es)}
+            plan.df = plan.df.withColumn("__blg", g.agg(F.struct(*fields).alias("g")).scalar())
+            plan.tmp.append("__blg")
+        es = [(p, c) for p, c in self.net.continuous_edges() if not self.net.discrete_parents(c)]
+        self._ridx = {e: j for j, e in enumerate(es)}
+        if es:
             k = self.m.coef.filter(F.size("config") == 0)
-            self._r = k.agg(F.struct(*[
+            r = k.agg(F.struct(*[
                 F.max(F.when((F.col("parent") == p) & (F.col("child") == c), F.col("rho"))).alias(f"r{j}")
                 for (p, c), j in self._ridx.items()]).alias("r")).scalar()
-        return self._r[f"r{self._ridx[(parent, child)]}"]
+            plan.df = plan.df.withColumn("__blr", r)
+            plan.tmp.append("__blr")
 
     def candidates(self, output: str) -> Column:
         """Training domain of the output node: sorted observed values."""
@@ -94,13 +101,25 @@ class Scorer:
                 .agg(F.array_sort(F.collect_set("value")).alias("c")).scalar())
 
     # ---- per-node lookup tables --------------------------------------------
+    def _wide(self, node: str) -> bool:
+        return len(self.net.continuous_parents(node)) > WIDE_FAN_IN
+
     def _class_moments(self, node: str, key: str) -> DataFrame:
-        """Class moments of the continuous parents of discrete ``node``,
-        one row per value of ``node`` with columns {tag}m{j}, {tag}s{j}."""
+        """Class moments of the continuous parents of discrete ``node``, one
+        row per value of ``node``: columns {tag}m{j}, {tag}s{j}, or for a wide
+        fan-in two arrays {tag}M, {tag}S in parent order."""
         cpar = self.net.continuous_parents(node)
         tag = self._tag(node)
         g = self.m.gauss.filter((F.col("node") == node) & (F.col("scope") == "class"))
-        return g.groupBy(F.get(F.col("config"), 0).alias(key)).agg(*[
+        k = F.get(F.col("config"), 0).alias(key)
+        if self._wide(node):
+            names = F.array(*[F.lit(c) for c in cpar])
+            lst = F.array_sort(F.collect_list(F.struct(
+                F.array_position(names, F.col("dim")).alias("j"), "mean", "sd")))
+            return g.groupBy(k).agg(lst.alias("l")).select(
+                key, F.transform("l", lambda e: e["mean"]).alias(f"{tag}M"),
+                F.transform("l", lambda e: e["sd"]).alias(f"{tag}S"))
+        return g.groupBy(k).agg(*[
             e for j, c in enumerate(cpar) for e in (
                 F.max(F.when(F.col("dim") == c, F.col("mean"))).alias(f"{tag}m{j}"),
                 F.max(F.when(F.col("dim") == c, F.col("sd"))).alias(f"{tag}s{j}"))])
@@ -108,10 +127,26 @@ class Scorer:
     def _tag(self, node: str) -> str:
         return f"__bl{self.net.nodes.index(node)}_"
 
-    def _density_sum(self, node: str, mean_sd: Callable[[int], tuple[Column, Column]]) -> Column:
-        terms = [class_density_term(col(c), *mean_sd(j))
-                 for j, c in enumerate(self.net.continuous_parents(node))]
-        return _sum(terms)
+    def _row_values(self, plan: _Plan, node: str) -> None:
+        """Wide fan-in: pack the continuous parents of ``node`` into one array."""
+        if self._wide(node):
+            name = f"{self._tag(node)}x"
+            plan.df = plan.df.withColumn(name, F.array(*[col(c).cast("double")
+                                                         for c in self.net.continuous_parents(node)]))
+            plan.tmp.append(name)
+
+    def _density_sum(self, node: str, field: Callable[[str], Column]) -> Column:
+        """Sum of the class log densities of the continuous parents of
+        ``node``; ``field(name)`` resolves a class-moment column. A wide
+        fan-in folds over arrays so the plan does not grow with the width."""
+        cpar = self.net.continuous_parents(node)
+        tag = self._tag(node)
+        if self._wide(node):
+            M, S, xs = field(f"{tag}M"), field(f"{tag}S"), F.col(f"{tag}x")
+            return F.aggregate(F.sequence(F.lit(0), F.lit(len(cpar) - 1)), F.lit(0.0),
+                               lambda acc, j: acc + class_density_term(xs[j], M[j], S[j]))
+        return _sum([class_density_term(col(c), field(f"{tag}m{j}"), field(f"{tag}s{j}"))
+                     for j, c in enumerate(cpar)])
 
     def node_term(self, plan: _Plan, node: str) -> None:
         """Add the row's own log factor of ``node`` (no candidate) to ``plan.indep``."""
@@ -124,13 +159,14 @@ class Scorer:
                 F.col("value").alias(node), F.col("p").alias(f"{tag}p"))
             if cpar:
                 t = t.join(self._class_moments(node, node), on=[node], how="left")
+                self._row_values(plan, node)
             plan.df = lookup_join(plan.df, t, list(dpar) + [node], rows, 1 + 2 * len(cpar), self.limit)
             plan.tmp += [c for c in t.columns if c.startswith(tag)]
             p = F.col(f"{tag}p")
             if not dpar and not cpar:
                 plan.indep.append(safe_log(p))            # F9: unseen root value -> 0
             else:
-                dens = self._density_sum(node, lambda j: (F.col(f"{tag}m{j}"), F.col(f"{tag}s{j}")))
+                dens = self._density_sum(node, F.col)
                 plan.indep.append(F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens))
             return
         if not cpar:
@@ -188,6 +224,7 @@ class Scorer:
             mom_map = mom.agg(F.map_from_entries(F.collect_list(
                 F.struct("k", F.struct(*[c for c in mom.columns if c != "k"])))).alias("mm")).scalar()
             plan.df = plan.df.withColumn(f"{tag}mm", mom_map)
+            self._row_values(plan, output)
             # align the class moments with the candidate array once per row
             plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
             plan.tmp += [f"{tag}mm", f"{tag}ma"]
@@ -198,7 +235,7 @@ class Scorer:
             if is_root:
                 return F.when(p.isNull(), neg_inf()).otherwise(safe_log(p))
             ma = F.col(f"{tag}ma")[i] if cpar else None
-            dens = self._density_sum(output, lambda j: (ma[f"{tag}m{j}"], ma[f"{tag}s{j}"]))
+            dens = self._density_sum(output, lambda name: ma[name])
             return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
         plan.dep.append(term)
 
@@ -214,10 +251,11 @@ class Scorer:
                 F.struct(F.get(F.col("config"), pos), F.col("p")))).alias(f"{tag}pm"))
         if cpar:
             t = t.join(self._class_moments(node, node), on=[node], how="left")
+            self._row_values(plan, node)
         plan.df = lookup_join(plan.df, t, others + [node], m.rows("cpt", node),
                               8 + 2 * len(cpar), self.limit)
         plan.tmp += [c for c in t.columns if c.startswith(tag)]
-        dens = self._density_sum(node, lambda j: (F.col(f"{tag}m{j}"), F.col(f"{tag}s{j}")))
+        dens = self._density_sum(node, F.col)
         if cpar:
             plan.df = plan.df.withColumn(f"{tag}d", dens)
             plan.tmp.append(f"{tag}d")
@@ -240,6 +278,7 @@ class Scorer:
         if output not in net.nodes or not net.is_discrete(output):
             raise ValueError(f"output node {output!r} must be a discrete node of the model")
         plan = _Plan(self.prepare(df, skip=output))
+        self.attach_globals(plan)
         if candidates == "train":
             cands = self.candidates(output)
         elif candidates == "scored":
@@ -319,6 +358,7 @@ def node_factor(model: Model, df: DataFrame, node: str, default_prob: float = 0.
     """``df`` plus ``log_factor``: the node's factor for the row's own values."""
     sc = Scorer(model, default_prob, max_broadcast_bytes)
     plan = _Plan(sc.prepare(df))
+    sc.attach_globals(plan)
     sc.node_term(plan, node)
     return plan.df.withColumn("log_factor", _sum(plan.indep)).drop(*plan.tmp)
 
