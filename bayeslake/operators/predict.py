@@ -31,6 +31,8 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Above this many continuous parents, densities fold over arrays instead of
 # one unrolled term per parent (keeps analysis and codegen size constant).
 WIDE_FAN_IN = 8
+# Up to this many candidate classes, scores are unrolled into flat columns.
+MAX_UNROLLED_CANDIDATES = 32
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
@@ -62,6 +64,7 @@ class Scorer:
         self.log_default = log_const(self.default_prob)
         self.limit = max_broadcast_bytes
         self._ridx: dict = {}
+        self.fixed: list[int] | None = None
 
     # ---- shared one-row parameters --------------------------------------
     def _gm(self, node: str) -> tuple[Column, Column]:
@@ -95,6 +98,22 @@ class Scorer:
             plan.df = plan.df.withColumn("__blr", r)
             plan.tmp.append("__blr")
 
+    def _fixed_candidates(self, output: str) -> list[int] | None:
+        """The output's training domain as literals, when it is small.
+
+        Like ``pivot`` without values, this reads the distinct values (here
+        from the fitted model, at most MAX_UNROLLED_CANDIDATES + 1 integers)
+        so that each candidate becomes one flat, codegen'd score column.
+        Larger domains and wide fan-ins use the array path instead.
+        """
+        if self._wide(output):
+            return None
+        rows = (self.m.cpt.filter(F.col("node") == output).select("value").distinct()
+                .orderBy("value").limit(MAX_UNROLLED_CANDIDATES + 1).collect())
+        if len(rows) > MAX_UNROLLED_CANDIDATES:
+            return None
+        return [int(r[0]) for r in rows]
+
     def candidates(self, output: str) -> Column:
         """Training domain of the output node: sorted observed values."""
         return (self.m.cpt.filter(F.col("node") == output)
@@ -224,17 +243,24 @@ class Scorer:
             mom_map = mom.agg(F.map_from_entries(F.collect_list(
                 F.struct("k", F.struct(*[c for c in mom.columns if c != "k"])))).alias("mm")).scalar()
             plan.df = plan.df.withColumn(f"{tag}mm", mom_map)
+            plan.tmp.append(f"{tag}mm")
             self._row_values(plan, output)
-            # align the class moments with the candidate array once per row
-            plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
-            plan.tmp += [f"{tag}mm", f"{tag}ma"]
+            if self.fixed is None:
+                # align the class moments with the candidate array once per row
+                plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
+                plan.tmp.append(f"{tag}ma")
         is_root = not dpar and not cpar
 
         def term(k: Column, i: Column) -> Column:
             p = pm[k]
             if is_root:
                 return F.when(p.isNull(), neg_inf()).otherwise(safe_log(p))
-            ma = F.col(f"{tag}ma")[i] if cpar else None
+            if not cpar:
+                ma = None
+            elif self.fixed is not None:
+                ma = F.col(f"{tag}mm")[k]          # literal key: no higher-order function
+            else:
+                ma = F.col(f"{tag}ma")[i]
             dens = self._density_sum(output, lambda name: ma[name])
             return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
         plan.dep.append(term)
@@ -280,7 +306,11 @@ class Scorer:
         plan = _Plan(self.prepare(df, skip=output))
         self.attach_globals(plan)
         if candidates == "train":
-            cands = self.candidates(output)
+            self.fixed = self._fixed_candidates(output)
+            if self.fixed is not None:
+                cands = F.array(*[F.lit(k) for k in self.fixed]).cast("array<int>")
+            else:
+                cands = self.candidates(output)
         elif candidates == "scored":
             # reference behaviour: 0..K-1, K = distinct values (NULL included) in the scored table
             k = df.agg((F.count_distinct(col(output))
@@ -323,7 +353,11 @@ def candidate_scores(model: Model, df: DataFrame, output: str, default_prob: flo
     indep = _sum(plan.indep)
     out = plan.df.withColumn("candidates", cands).withColumn("__indep", indep)
     base = F.col("__indep")
-    scores = F.transform(F.col("candidates"), lambda k, i: _sum([base] + [d(k, i) for d in plan.dep]))
+    if sc.fixed is not None:
+        scores = F.array(*[_sum([base] + [d(F.lit(k), F.lit(i)) for d in plan.dep])
+                           for i, k in enumerate(sc.fixed)]).cast("array<double>")
+    else:
+        scores = F.transform(F.col("candidates"), lambda k, i: _sum([base] + [d(k, i) for d in plan.dep]))
     out = out.withColumn("scores", scores)
     return out.drop(*plan.tmp, "__indep")
 
@@ -337,8 +371,20 @@ def predict(model: Model, df: DataFrame, output: str, default_prob: float = 0.0,
     plan, cands = sc.score_plan(df, output, candidates)
     out = plan.df.withColumn("__indep", _sum(plan.indep))
     base = F.col("__indep")
-    best = F.array_max(F.transform(cands, lambda k, i: F.struct(
-        _sum([base] + [d(k, i) for d in plan.dep]).alias("s"), (-k).alias("nk"))))
+    if sc.fixed is not None:
+        # one flat score column per candidate; greatest(struct(score, -k))
+        # keeps the whole projection inside whole-stage codegen
+        structs = [F.struct(_sum([base] + [d(F.lit(k), F.lit(i)) for d in plan.dep]).alias("s"),
+                            F.lit(-k).alias("nk")) for i, k in enumerate(sc.fixed)]
+        if not structs:
+            best = F.lit(None).cast("struct<s:double,nk:int>")
+        elif len(structs) == 1:
+            best = structs[0]
+        else:
+            best = F.greatest(*structs)
+    else:
+        best = F.array_max(F.transform(cands, lambda k, i: F.struct(
+            _sum([base] + [d(k, i) for d in plan.dep]).alias("s"), (-k).alias("nk"))))
     out = out.withColumn("__best", best)
     out = out.withColumn("prediction", (-F.col("__best.nk")).cast("int")) \
              .withColumn("score", F.col("__best.s"))
