@@ -128,13 +128,13 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8) ->
             aggs.update(g.aggs)
             g.scan = s
             g.gid = _gid(g.key, cols)
-        exprs = [e.alias(a) for a, e in aggs.items()]
+        exprs = [e.alias("__" + a) for a, e in aggs.items()]  # prefixed: no clash with node names
         if cols:
             agg = X.groupingSets([list(g.key) for g in chunk], *[col(c) for c in cols]) \
-                   .agg(F.grouping_id().alias("gid"), *exprs)
+                   .agg(F.grouping_id().alias("__gid"), *exprs)
         else:
-            agg = X.agg(*exprs).withColumn("gid", F.lit(0).cast("long"))
-        parts.append(agg.withColumn("scan", F.lit(s)))
+            agg = X.agg(*exprs).withColumn("__gid", F.lit(0).cast("long"))
+        parts.append(agg.withColumn("__scan", F.lit(s)))
     stats = parts[0]
     for p in parts[1:]:
         stats = stats.unionByName(p, allowMissingColumns=True)
@@ -213,7 +213,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
 
     def rows(key):
         s, g = where[tuple(key)]
-        return stats.filter((F.col("scan") == s) & (F.col("gid") == g))
+        return stats.filter((F.col("__scan") == s) & (F.col("__gid") == g))
 
     cont = net.continuous_nodes()
     cidx = {c: i for i, c in enumerate(cont)}
@@ -226,7 +226,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         dpar = net.discrete_parents(x)
         fams.append(rows(dpar + (x,)).select(
             F.lit(x).alias("node"), config_expr(dpar).alias("config"),
-            col(x).alias("value"), F.col("n")))
+            col(x).alias("value"), F.col("__n").alias("n")))
     if fams:
         cpt = _union(fams).filter(no_null_config(F.col("config")))
         cpt = (cpt.withColumn("n_config", F.sum("n").over(Window.partitionBy("node", "config")))
@@ -242,8 +242,8 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         g_parts.append(glob.select(F.inline(F.array(*[
             F.struct(F.lit(y).alias("node"), F.lit("root").alias("scope"),
                      F.array().cast(ARRAY_INT).alias("config"), F.lit(y).alias("dim"),
-                     F.col(f"m{cidx[y]}").alias("mean"),
-                     F.coalesce(F.col(f"s{cidx[y]}"), F.lit(1.0)).alias("sd"))
+                     F.col(f"__m{cidx[y]}").alias("mean"),
+                     F.coalesce(F.col(f"__s{cidx[y]}"), F.lit(1.0)).alias("sd"))
             for y in cont]))))
     for n in net.nodes:
         dpar = net.discrete_parents(n)
@@ -252,15 +252,15 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             g_parts.append(rows(dpar).select(
                 F.lit(n).alias("node"), F.lit("config").alias("scope"),
                 config_expr(dpar).alias("config"), F.lit(n).alias("dim"),
-                F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias("mean"),
-                F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias("sd")))
+                F.coalesce(F.col(f"__m{i}"), F.lit(0.0)).alias("mean"),
+                F.coalesce(F.col(f"__s{i}"), F.lit(0.0)).alias("sd")))
         cpar = net.continuous_parents(n)
         if net.is_discrete(n) and cpar:
             g_parts.append(rows((n,)).select(F.inline(F.array(*[
                 F.struct(F.lit(n).alias("node"), F.lit("class").alias("scope"),
                          config_expr((n,)).alias("config"), F.lit(c).alias("dim"),
-                         F.coalesce(F.col(f"m{cidx[c]}"), F.lit(0.0)).alias("mean"),
-                         F.coalesce(F.col(f"s{cidx[c]}"), F.lit(0.0)).alias("sd"))
+                         F.coalesce(F.col(f"__m{cidx[c]}"), F.lit(0.0)).alias("mean"),
+                         F.coalesce(F.col(f"__s{cidx[c]}"), F.lit(0.0)).alias("sd"))
                 for c in cpar]))))
     if g_parts:
         gauss = _union(g_parts).filter(no_null_config(F.col("config")))
@@ -274,7 +274,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         names = [f"{a}{i}" for i in range(len(cont)) for a in ("m", "s")]
         names += [f"{a}{e}" for e in range(len(eidx)) for a in ("cv", "px", "py")]
         # one-row global statistics, attached as a scalar subquery
-        gsub = glob.select(F.struct(*[F.col(a) for a in names]).alias("g")).scalar()
+        gsub = glob.select(F.struct(*[F.col("__" + a).alias(a) for a in names]).alias("g")).scalar()
         gval = F.col("__g")
     for (p, y), e in eidx.items():
         ip, iy = cidx[p], cidx[y]
@@ -288,8 +288,8 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             src = glob
             cfg = F.array().cast(ARRAY_INT)
         else:
-            my = F.coalesce(F.col(f"m{iy}"), F.lit(0.0))
-            sy = F.coalesce(F.col(f"s{iy}"), F.lit(0.0))
+            my = F.coalesce(F.col(f"__m{iy}"), F.lit(0.0))
+            sy = F.coalesce(F.col(f"__s{iy}"), F.lit(0.0))
             src = rows(dpar)
             cfg = config_expr(dpar)
         # mean over rows of (x - mx)(y - c) == covar_pop + (E[x] - mx)(E[y] - c),

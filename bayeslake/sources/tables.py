@@ -3,13 +3,12 @@ categorical columns, z-scores and train/test splits."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.density import col, zscore
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 
@@ -67,7 +66,10 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
         columns = {c: c for c in columns}
     out = df
     for src, dst in columns.items():
-        codes = fit_codes(out, src).persist(StorageLevel.MEMORY_AND_DISK)
+        # materialised once in the shared checkpoint folder: small, lineage cut,
+        # no executor memory held for the rest of the session
+        ensure_checkpoint_dir(out.sparkSession)
+        codes = fit_codes(out, src).checkpoint()
         rows = codes.count()
         width = 16 + 8 * max(1, _avg_width(out.schema[src].dataType))
         codes = codes.withColumnRenamed("value", src).withColumnRenamed("code", f"__code_{dst}")
