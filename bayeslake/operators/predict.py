@@ -221,13 +221,21 @@ class Scorer:
             pm = F.col(f"{tag}pm")
         if cpar:
             mom = self._class_moments(output, "k")
-            mom_map = mom.agg(F.map_from_entries(F.collect_list(
-                F.struct("k", F.struct(*[c for c in mom.columns if c != "k"])))).alias("mm")).scalar()
-            plan.df = plan.df.withColumn(f"{tag}mm", mom_map)
+            mm = mom.agg(F.map_from_entries(F.collect_list(
+                F.struct("k", F.struct(*[c for c in mom.columns if c != "k"])))).alias("mm"))
             self._row_values(plan, output)
-            # align the class moments with the candidate array once per row
-            plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
-            plan.tmp += [f"{tag}mm", f"{tag}ma"]
+            if self._train_cands is not None:
+                # training candidates are known to the model: align the class
+                # moments with them once, inside the one-row subquery
+                aligned = (mm.withColumn("c", self._train_cands)
+                           .select(F.transform("c", lambda k: F.col("mm")[k]).alias("ma")).scalar())
+                plan.df = plan.df.withColumn(f"{tag}ma", aligned)
+                plan.tmp.append(f"{tag}ma")
+            else:
+                plan.df = plan.df.withColumn(f"{tag}mm", mm.scalar())
+                # align the class moments with the candidate array once per row
+                plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
+                plan.tmp += [f"{tag}mm", f"{tag}ma"]
         is_root = not dpar and not cpar
 
         def term(k: Column, i: Column) -> Column:
@@ -279,8 +287,9 @@ class Scorer:
             raise ValueError(f"output node {output!r} must be a discrete node of the model")
         plan = _Plan(self.prepare(df, skip=output))
         self.attach_globals(plan)
+        self._train_cands = None
         if candidates == "train":
-            cands = self.candidates(output)
+            cands = self._train_cands = self.candidates(output)
         elif candidates == "scored":
             # reference behaviour: 0..K-1, K = distinct values (NULL included) in the scored table
             k = df.agg((F.count_distinct(col(output))
