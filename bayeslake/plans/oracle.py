@@ -241,11 +241,17 @@ NETS = {
 }
 
 
-def base(g: str, src: tuple[str, str] | None = None) -> tuple[BN, list[tuple[str, str]]]:
+def base(g: str, src: tuple[str, str] | None = None, whole: bool = False) -> tuple[BN, list[tuple[str, str]]]:
+    """Network ``g`` with ``tr`` (training rows) and ``te`` (scored rows).
+
+    ``whole``: parameters are learned from every row of the table."""
     cols, edges, kinds, s, key = NETS[g]
     s = src or s
-    ctes = [s, ("tr", f"SELECT * FROM {s[0]} WHERE {key} % 5 <> 0"),
-            ("te", f"SELECT * FROM {s[0]} WHERE {key} % 5 = 0")]
+    if whole:
+        ctes = [s, ("tr", f"SELECT * FROM {s[0]}")]
+    else:
+        ctes = [s, ("tr", f"SELECT * FROM {s[0]} WHERE {key} % 5 <> 0"),
+                ("te", f"SELECT * FROM {s[0]} WHERE {key} % 5 = 0")]
     return BN(cols, edges, kinds), ctes
 
 
@@ -293,14 +299,16 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     bn1, c1 = base("G1")
     p1 = c1 + bn1.param_ctes()
+    bn1w, c1w = base("G1", whole=True)
+    p1w = c1w + bn1w.param_ctes()
     i_ln, i_ls, i_rf = (bn1.idx(n) for n in ("l_linenumber", "ls", "rf"))
     fam = (f"SELECT 'l_linenumber' AS node, '' AS config, v AS value, n, n_config, p FROM cpt{i_ln} UNION ALL "
            f"SELECT 'ls', '', v, n, n_config, p FROM cpt{i_ls} UNION ALL "
            f"SELECT 'rf', {_cfg(2)}, v, n, n_config, p FROM cpt{i_rf}")
-    o["family_count"] = with_(p1, f"SELECT node, config, value, n FROM ({fam}) f")
-    o["parent_total"] = with_(p1, f"SELECT DISTINCT node, config, n_config FROM ({fam}) f")
-    o["cpt_root"] = with_(p1, f"SELECT node, value, {r6('p')} AS p FROM ({fam}) f WHERE config = ''")
-    o["cpt_discrete"] = with_(p1, f"SELECT {_cfg(2)} AS config, v AS value, n, n_config, {r6('p')} AS p "
+    o["family_count"] = with_(p1w, f"SELECT node, config, value, n FROM ({fam}) f")
+    o["parent_total"] = with_(p1w, f"SELECT DISTINCT node, config, n_config FROM ({fam}) f")
+    o["cpt_root"] = with_(p1w, f"SELECT node, value, {r6('p')} AS p FROM ({fam}) f WHERE config = ''")
+    o["cpt_discrete"] = with_(p1w, f"SELECT {_cfg(2)} AS config, v AS value, n, n_config, {r6('p')} AS p "
                                   f"FROM cpt{i_rf}")
     exp = p1 + [("cands", f"SELECT DISTINCT v AS k FROM cpt{i_rf}")]
     o["candidate_expand"] = with_(exp, "SELECT l_orderkey, l_linenumber, ls, rf, c.k AS candidate "
@@ -314,7 +322,7 @@ def build() -> dict[str, str]:
                            "l_returnflag, l_linestatus FROM lineitem")
     o["encode_codes"] = with_([LI], "SELECT l_orderkey, l_linenumber, l_returnflag, rf, l_linestatus, ls FROM li")
 
-    bn3, c3 = base("G3")
+    bn3, c3 = base("G3", whole=True)
     p3 = c3 + bn3.param_ctes()
     inv = []
     for n in bn3.net.nodes:
@@ -331,7 +339,7 @@ def build() -> dict[str, str]:
         el.append(f"SELECT '{p}' AS parent, '{c}' AS child, '{bn3.net.kinds[p]}' AS parent_kind, "
                   f"'{bn3.net.kinds[c]}' AS child_kind, (SELECT count(*) FROM {src}) AS n_params")
     o["edge_list"] = with_(p3, " UNION ALL ".join(el))
-    o["fan_in_edges"] = with_(base("G2")[1], " UNION ALL ".join(
+    o["fan_in_edges"] = with_(base("G2", whole=True)[1], " UNION ALL ".join(
         f"SELECT '{p}' AS parent, 'rf' AS child, count(*) FILTER (WHERE {p} IS NOT NULL AND rf IS NOT NULL) "
         f"AS n_pairs FROM tr" for p in G2_COLS[:-1]))
     z = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -350,18 +358,21 @@ def build() -> dict[str, str]:
                                      f"{r6('my')} AS mean, {r6('sy')} AS sd FROM gc{i_ep}")
     bn2, c2 = base("G2")
     p2 = c2 + bn2.param_ctes()
+    bn2w, c2w = base("G2", whole=True)
+    p2w = c2w + bn2w.param_ctes()
     i_rf2 = bn2.idx("rf")
     cp2 = bn2.net.continuous_parents("rf")
-    o["class_moments"] = with_(p2, " UNION ALL ".join(
+    o["class_moments"] = with_(p2w, " UNION ALL ".join(
         f"SELECT 'rf' AS node, v AS class, '{c}' AS dim, {r6(f'm{j}')} AS mean, {r6(f's{j}')} AS sd "
         f"FROM cm{i_rf2}" for j, c in enumerate(cp2)))
-    o["cpt_hybrid"] = with_(p2, " UNION ALL ".join(
+    o["cpt_hybrid"] = with_(p2w, " UNION ALL ".join(
         f"SELECT {_cfg(1)} AS config, p.v AS value, {r6('p.p')} AS p, '{c}' AS dim, "
         f"{r6(f'm.m{j}')} AS mean, {r6(f'm.s{j}')} AS sd FROM cpt{i_rf2} p JOIN cm{i_rf2} m ON m.v = p.v"
         for j, c in enumerate(cp2)))
     bn4, c4 = base("G4")
     p4 = c4 + bn4.param_ctes()
-    o["coef_edge"] = with_(p4, f"SELECT 'l_quantity' AS parent, 'l_extendedprice' AS child, "
+    p4w = base("G4", whole=True)[1] + bn4.param_ctes()
+    o["coef_edge"] = with_(p4w, f"SELECT 'l_quantity' AS parent, 'l_extendedprice' AS child, "
                                f"{r6('rho')} AS rho FROM cf{bn4.idx('l_extendedprice')}_0")
     o["coef_by_config"] = with_(p3, f"SELECT 'l_quantity' AS parent, 'l_extendedprice' AS child, "
                                     f"{_cfg(2)} AS config, {r6('rho')} AS rho FROM cf{i_ep}_0")
@@ -370,7 +381,7 @@ def build() -> dict[str, str]:
                              "CAST(a.i * kk.k1 + b.i AS BIGINT) AS idx FROM kk "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k0)) AS i) a "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k1)) AS i) b")
-    bnd, cd = base("GD")
+    bnd, cd = base("GD", whole=True)
     pd_ = cd + bnd.param_ctes()
     i_nc = bnd.idx("n_chars")
     o["degenerate_params"] = with_(pd_, f"SELECT 'gauss_config' AS kind, 'n_chars' AS node, {_cfg(3)} AS config, "
