@@ -310,15 +310,18 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         # it. Later plans that read the model stay tiny (no re-analysis of the
         # wide aggregate), and the model survives the loss of an executor.
         ensure_checkpoint_dir(X.sparkSession)
+        # Lazy checkpoint: the size query below computes the table (from the
+        # cached aggregate) and Spark writes the checkpoint right after it.
         allp = (cpt.withColumn("t", F.lit("cpt"))
                 .unionByName(gauss.withColumn("t", F.lit("gauss")), allowMissingColumns=True)
                 .unionByName(coef.withColumn("t", F.lit("coef")), allowMissingColumns=True)
-                .checkpoint())
-        stats.unpersist()
+                .checkpoint(eager=False))
         cpt = allp.filter(F.col("t") == "cpt").select(*cpt.columns)
         gauss = allp.filter(F.col("t") == "gauss").select(*gauss.columns)
         coef = allp.filter(F.col("t") == "coef").select(*coef.columns)
     sizes = _sizes(cpt, gauss, coef)
+    if persist:
+        stats.unpersist()
     return Model(net, cpt, gauss, coef, sizes)
 
 
