@@ -21,10 +21,18 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return pred.agg(F.avg((col(label) == col(prediction)).cast("double")).alias("accuracy"))
 
 
+def accuracy_from_confusion(conf: DataFrame) -> DataFrame:
+    return conf.agg((F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+                     / F.sum("n")).alias("accuracy"))
+
+
 def per_label(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """precision = tp / predicted, recall = tp / true, over the union of the
     true and predicted classes; 0 when a denominator is 0."""
-    conf = confusion(pred, label, prediction)
+    return per_label_from_confusion(confusion(pred, label, prediction))
+
+
+def per_label_from_confusion(conf: DataFrame) -> DataFrame:
     by_class = conf.select(F.inline(F.array(
         F.struct(F.col("label").alias("cls"), F.col("n").alias("n_true"),
                  F.lit(0).cast("long").alias("n_pred"),

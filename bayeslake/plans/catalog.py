@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.density import col, log_normal_pdf, pair_density_term
 from ..operators.fit import Model, fit
-from ..operators.metrics import accuracy, confusion, per_label
+from ..operators.metrics import (accuracy, accuracy_from_confusion, confusion, per_label,
+                                 per_label_from_confusion)
 from ..operators.predict import candidate_scores, lookup_join, node_factor, predict
 from ..plans.dag import fan_in_edges
 from ..sources.tables import (csv_round_trip, encode_codes, read_table, split_key, split_random,
@@ -455,9 +456,11 @@ def worksheet_pipeline(spark, sf):
     z = standardize(li)
     m, _, test = fitted(spark, sf, G2, base=z)
     p = predict(m, test, "rf", default_prob=1e-5)
-    met = per_label(p, "rf", "prediction")
-    acc = accuracy(p, "rf", "prediction").select("accuracy").scalar()
-    return _rounded_metrics(met).withColumn("accuracy", r6(acc))
+    # score once: the confusion table (classes^2 rows) is checkpointed and both
+    # the per-class metrics and the accuracy are read from it
+    conf = confusion(p, "rf", "prediction").checkpoint()
+    acc = accuracy_from_confusion(conf).scalar()
+    return _rounded_metrics(per_label_from_confusion(conf)).withColumn("accuracy", r6(acc))
 
 
 QUERIES = {

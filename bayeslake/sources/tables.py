@@ -69,8 +69,8 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
         # materialised once in the shared checkpoint folder: small, lineage cut,
         # no executor memory held for the rest of the session
         ensure_checkpoint_dir(out.sparkSession)
-        codes = fit_codes(out, src).checkpoint()
-        rows = codes.count()
+        codes = fit_codes(out, src).checkpoint(eager=False)
+        rows = codes.count()   # computes the table; the checkpoint is written right after
         width = 16 + 8 * max(1, _avg_width(out.schema[src].dataType))
         codes = codes.withColumnRenamed("value", src).withColumnRenamed("code", f"__code_{dst}")
         if rows * width <= max_broadcast_bytes:
@@ -91,16 +91,20 @@ def _avg_width(dt) -> int:
 def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """z-score every DoubleType column (or ``columns``) in place.
 
-    All means and sample sds come from ONE aggregate, attached as a scalar
-    subquery; names and column order are preserved and a zero or NULL sd
-    gives NULL instead of an error.
+    All means and sample sds come from ONE aggregate (one job), attached as a
+    scalar subquery over its one-row result; names and column order are
+    preserved and a zero or NULL sd gives NULL instead of an error.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not columns:
         return df
-    stats = df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
-        F.avg(col(c)).alias(f"m{j}"), F.stddev_samp(col(c)).alias(f"s{j}"))]).alias("z")).scalar()
+    # computed once and kept as a one-row checkpoint, so every later action
+    # that reads the z-scores reads that row instead of rescanning the table
+    ensure_checkpoint_dir(df.sparkSession)
+    row = df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
+        F.avg(col(c)).alias(f"m{j}"), F.stddev_samp(col(c)).alias(f"s{j}"))]).alias("z")).checkpoint()
+    stats = row.scalar()
     return df.withColumns({c: zscore(col(c), stats[f"m{j}"], stats[f"s{j}"])
                            for j, c in enumerate(columns)})
 
