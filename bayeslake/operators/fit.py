@@ -27,7 +27,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -209,7 +208,12 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     X = prepare_frame(df, net)
     stats, where = shared_scan_stats(X, net, max_sets_per_scan)
     if persist:
-        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+        # The grouped statistics (a few rows per grouping, tiny next to the
+        # data) are written once to the shared checkpoint folder. Exactly one
+        # job scans the training data; every parameter table below is derived
+        # from this table, so concurrent subquery stages can never rescan it.
+        ensure_checkpoint_dir(X.sparkSession)
+        stats = stats.checkpoint(eager=True)
 
     def rows(key):
         s, g = where[tuple(key)]
@@ -233,8 +237,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
                .filter(F.col("value").isNotNull())
                .withColumn("p", F.col("n") / F.col("n_config")))
     else:
-        cpt = X.sparkSession.createDataFrame(
-            [], "node string, config array<int>, value int, n bigint, n_config bigint, p double")
+        cpt = _empty(X.sparkSession, "node string, config array<int>, value int, n bigint, n_config bigint, p double")
 
     # ---- gauss -------------------------------------------------------------
     g_parts = []
@@ -265,8 +268,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     if g_parts:
         gauss = _union(g_parts).filter(no_null_config(F.col("config")))
     else:
-        gauss = X.sparkSession.createDataFrame(
-            [], "node string, scope string, config array<int>, dim string, mean double, sd double")
+        gauss = _empty(X.sparkSession, "node string, scope string, config array<int>, dim string, mean double, sd double")
 
     # ---- coef --------------------------------------------------------------
     c_parts = []
@@ -301,30 +303,29 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     if c_parts:
         coef = _union(c_parts).filter(no_null_config(F.col("config")))
     else:
-        coef = X.sparkSession.createDataFrame(
-            [], "parent string, child string, config array<int>, rho double")
+        coef = _empty(X.sparkSession, "parent string, child string, config array<int>, rho double")
 
     if persist:
-        # Cut lineage: all parameters go to the shared checkpoint folder as ONE
-        # small long table (one write), and the three tables are projections of
-        # it. Later plans that read the model stay tiny (no re-analysis of the
-        # wide aggregate), and the model survives the loss of an executor.
-        ensure_checkpoint_dir(X.sparkSession)
-        # Lazy checkpoint: the size query below computes the table (from the
-        # cached aggregate) and Spark writes the checkpoint right after it.
+        # All parameters go to the shared checkpoint folder as ONE small long
+        # table, and the three tables are projections of it: later plans that
+        # read the model stay tiny and the model survives executor loss.
         allp = (cpt.withColumn("t", F.lit("cpt"))
                 .unionByName(gauss.withColumn("t", F.lit("gauss")), allowMissingColumns=True)
                 .unionByName(coef.withColumn("t", F.lit("coef")), allowMissingColumns=True)
-                .checkpoint(eager=False))
+                .checkpoint(eager=True))
         cpt = allp.filter(F.col("t") == "cpt").select(*cpt.columns)
         gauss = allp.filter(F.col("t") == "gauss").select(*gauss.columns)
         coef = allp.filter(F.col("t") == "coef").select(*coef.columns)
     sizes = _sizes(cpt, gauss, coef)
-    if persist:
-        stats.unpersist()
     return Model(net, cpt, gauss, coef, sizes)
 
 
+def _empty(spark: SparkSession, ddl: str) -> DataFrame:
+    """An empty frame of the given schema, planned in the JVM (no Python RDD)."""
+    fields = [f.strip().split(" ", 1) for f in ddl.split(", ")]
+    return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+
+
 def _union(parts):
     out = parts[0]
     for p in parts[1:]:

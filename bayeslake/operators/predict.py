@@ -23,14 +23,25 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.density import (class_density_term, col, log_const, neg_inf,
-                                 pair_density_term, root_density_term, safe_log)
+from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_const, log_norm_const,
+                                 log_p, neg_inf, pair_density_term, pre_density_term, safe_log)
 from .fit import Model
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Above this many continuous parents, densities fold over arrays instead of
 # one unrolled term per parent (keeps analysis and codegen size constant).
 WIDE_FAN_IN = 8
+# Small training domains of the output are scored as flat columns, one per
+# candidate: plain arithmetic that whole-stage codegen compiles. The budget
+# bounds the number of per-candidate terms so that the generated method stays
+# small enough for the JVM to JIT-compile it (HotSpot interprets methods over
+# 8000 bytes of bytecode; measured: ~300 bytes per term at 3 candidates, more
+# with more candidates). Larger domains use the candidate-array path.
+MAX_FLAT_CANDIDATES = 8
+MAX_FLAT_TERMS = 20
+# Upper bound on the candidate domain: every scored row carries one score
+# per candidate, so the candidate list (a one-row parameter) must stay small.
+MAX_CANDIDATES = 1 << 16
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
@@ -51,6 +62,9 @@ class _Plan:
     tmp: list[str] = field(default_factory=list)
     indep: list[Column] = field(default_factory=list)
     dep: list[Callable[[Column, Column], Column]] = field(default_factory=list)
+    # flat path: candidate values, and per-candidate terms j -> Column
+    ks: list[int] | None = None
+    flat: list[Callable[[int], Column]] = field(default_factory=list)
 
 
 class Scorer:
@@ -81,8 +95,12 @@ class Scorer:
             g = self.m.gauss.filter(F.col("scope") == "root")
             fields = []
             for j, y in enumerate(cont):
-                fields.append(F.max(F.when(F.col("node") == y, F.col("mean"))).alias(f"m{j}"))
-                fields.append(F.max(F.when(F.col("node") == y, F.col("sd"))).alias(f"s{j}"))
+                hit = F.col("node") == y
+                fields.append(F.max(F.when(hit, F.col("mean"))).alias(f"m{j}"))
+                fields.append(F.max(F.when(hit, F.col("sd"))).alias(f"s{j}"))
+                # root density constants; sd <= 0 gives factor 1 (Q8)
+                fields.append(F.max(F.when(hit, inv_sd(F.col("sd")))).alias(f"r{j}"))
+                fields.append(F.max(F.when(hit, log_norm_const(F.col("sd"), F.lit(0.0)))).alias(f"c{j}"))
             plan.df = plan.df.withColumn("__blg", g.agg(F.struct(*fields).alias("g")).scalar())
             plan.tmp.append("__blg")
         es = [(p, c) for p, c in self.net.continuous_edges() if not self.net.discrete_parents(c)]
@@ -156,23 +174,24 @@ class Scorer:
             rows = m.rows("cpt", node)
             t = m.cpt.filter(F.col("node") == node).select(
                 *[F.get(F.col("config"), i).alias(d) for i, d in enumerate(dpar)],
-                F.col("value").alias(node), F.col("p").alias(f"{tag}p"))
+                F.col("value").alias(node), log_p(F.col("p")).alias(f"{tag}lp"))
             if cpar:
                 t = t.join(self._class_moments(node, node), on=[node], how="left")
                 self._row_values(plan, node)
             plan.df = lookup_join(plan.df, t, list(dpar) + [node], rows, 1 + 2 * len(cpar), self.limit)
             plan.tmp += [c for c in t.columns if c.startswith(tag)]
-            p = F.col(f"{tag}p")
+            lp = F.col(f"{tag}lp")
             if not dpar and not cpar:
-                plan.indep.append(safe_log(p))            # F9: unseen root value -> 0
+                plan.indep.append(F.coalesce(lp, neg_inf()))   # F9: unseen root value -> 0
             else:
                 dens = self._density_sum(node, F.col)
-                plan.indep.append(F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens))
+                plan.indep.append(F.coalesce(lp + dens, self.log_default))
             return
         if not cpar:
-            if not dpar:
-                mean, sd = self._gm(node)
-                plan.indep.append(root_density_term(col(node), mean, sd))   # F10
+            if not dpar:                                                       # F10
+                j = self.net.continuous_nodes().index(node)
+                g = F.col("__blg")
+                plan.indep.append(pre_density_term(col(node), g[f"m{j}"], g[f"r{j}"], g[f"c{j}"]))
             return                                                             # F13: factor 1
         my, sy = self._gm(node)
         if not dpar:                                                           # F12, global moments
@@ -275,6 +294,104 @@ class Scorer:
             return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
         plan.dep.append(term)
 
+    # ---- flat path: one score column per candidate -------------------------
+    def domain(self, output: str) -> list[int] | None:
+        """The output's training domain as literals when it is small enough
+        for the flat path, else None. Reads at most MAX_FLAT_CANDIDATES + 1
+        values of the checkpointed model (metadata, like ``pivot``'s)."""
+        cp = self.m.cpt.filter(F.col("node") == output).select("value").distinct()
+        ks = sorted(int(r[0]) for r in cp.limit(MAX_FLAT_CANDIDATES + 1).collect())
+        if len(ks) > MAX_FLAT_CANDIDATES:
+            n = cp.count()
+            if n > MAX_CANDIDATES:
+                raise ValueError(f"output {output!r} has {n} classes; at most {MAX_CANDIDATES} "
+                                 "candidates can be scored per row")
+            return None
+        terms = len(ks) * (1 + len(self.net.continuous_parents(output))
+                           + sum(1 for c in self.net.children(output) if self.net.depends_on(c, output)))
+        if not ks or self._wide(output) or terms > MAX_FLAT_TERMS:
+            return None
+        return ks
+
+    @staticmethod
+    def _log_p() -> Column:
+        return log_p(F.col("p"))
+
+    def _class_consts(self, node: str, ks: list[int]) -> dict:
+        """Class moments of the continuous parents of ``node`` for each
+        candidate, pre-transformed for ``-0.5 ((x - m) r)^2 + c`` with
+        ``r = 1/sd``, ``c = -ln sd - ln(2 pi)/2`` (sd <= 0 or missing: r = 0,
+        c = -inf, i.e. factor 0). At most MAX_FLAT_TERMS rows of the model are
+        read (the flat path's budget), and become literals of the plan: the
+        generated code stays small enough to be JIT-compiled."""
+        cpar = self.net.continuous_parents(node)
+        g = (self.m.gauss.filter((F.col("node") == node) & (F.col("scope") == "class"))
+             .select(F.get(F.col("config"), 0).alias("k"), "dim", "mean",
+                     inv_sd(F.col("sd")).alias("r"), log_norm_const(F.col("sd"), neg_inf()).alias("c")))
+        got = {(r["k"], r["dim"]): r for r in g.limit(MAX_FLAT_TERMS + 1).collect()}
+        out = {}
+        for j, k in enumerate(ks):
+            for i, c in enumerate(cpar):
+                r = got.get((k, c))
+                out[(j, i)] = ((r["mean"] if r["mean"] is not None else 0.0, r["r"], r["c"])
+                               if r is not None else (0.0, 0.0, NEG_INF))
+        return out
+
+    def output_term_flat(self, plan: _Plan, output: str, ks: list[int]) -> None:
+        """Log factor of the output node for each literal candidate (F9 / F11)."""
+        net, m, tag = self.net, self.m, self._tag(output)
+        dpar, cpar = net.discrete_parents(output), net.continuous_parents(output)
+        cp = m.cpt.filter(F.col("node") == output)
+        logs = [F.max(F.when(F.col("value") == k, self._log_p())).alias(f"{tag}l{j}")
+                for j, k in enumerate(ks)]
+        if dpar:
+            t = cp.groupBy(*[F.get(F.col("config"), i).alias(d) for i, d in enumerate(dpar)]).agg(*logs)
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), len(ks), self.limit)
+            plan.tmp += [f"{tag}l{j}" for j in range(len(ks))]
+
+            def lp(j):
+                return F.col(f"{tag}l{j}")
+        else:
+            plan.df = plan.df.withColumn(f"{tag}L", cp.agg(F.struct(*logs).alias("s")).scalar())
+            plan.tmp.append(f"{tag}L")
+
+            def lp(j):
+                return F.col(f"{tag}L")[f"{tag}l{j}"]
+        if not dpar and not cpar:
+            plan.flat.append(lambda j: F.coalesce(lp(j), neg_inf()))       # F9: unseen -> 0
+            return
+        K = self._class_consts(output, ks) if cpar else {}
+
+        def dens(j):
+            return _sum([pre_density_term(col(c), *[F.lit(v) for v in K[(j, i)]])
+                         for i, c in enumerate(cpar)])
+        # unseen family -> default_prob alone
+        plan.flat.append(lambda j: F.coalesce(lp(j) + dens(j), self.log_default))
+
+    def child_term_flat(self, plan: _Plan, node: str, output: str, ks: list[int]) -> None:
+        """Log factor of a discrete child of the output for each literal candidate (F11)."""
+        net, m, tag = self.net, self.m, self._tag(node)
+        dpar, cpar = net.discrete_parents(node), net.continuous_parents(node)
+        pos = dpar.index(output)
+        others = [d for d in dpar if d != output]
+        t = m.cpt.filter(F.col("node") == node).groupBy(
+            *[F.get(F.col("config"), dpar.index(d)).alias(d) for d in others],
+            F.col("value").alias(node)).agg(*[
+                F.max(F.when(F.get(F.col("config"), pos) == k, self._log_p())).alias(f"{tag}l{j}")
+                for j, k in enumerate(ks)])
+        if cpar:
+            t = t.join(self._class_moments(node, node), on=[node], how="left")
+            self._row_values(plan, node)
+        plan.df = lookup_join(plan.df, t, others + [node], m.rows("cpt", node),
+                              len(ks) + 2 * len(cpar), self.limit)
+        plan.tmp += [c for c in t.columns if c.startswith(tag)]
+        dens = F.lit(0.0)
+        if cpar:   # the child's own class moments: the same for every candidate
+            plan.df = plan.df.withColumn(f"{tag}d", self._density_sum(node, F.col))
+            plan.tmp.append(f"{tag}d")
+            dens = F.col(f"{tag}d")
+        plan.flat.append(lambda j: F.coalesce(F.col(f"{tag}l{j}") + dens, self.log_default))
+
     # ---- assembly --------------------------------------------------------------
     def prepare(self, df: DataFrame, skip: str | None = None) -> DataFrame:
         casts = {n: col(n).cast("int" if self.net.is_discrete(n) else "double")
@@ -288,6 +405,19 @@ class Scorer:
         plan = _Plan(self.prepare(df, skip=output))
         self.attach_globals(plan)
         self._train_cands = None
+        ks = self.domain(output) if candidates == "train" else None
+        if ks is not None:
+            plan.ks = ks
+            for n in net.nodes:
+                if n == output:
+                    self.output_term_flat(plan, n, ks)
+                elif net.depends_on(n, output):
+                    self.child_term_flat(plan, n, output, ks)
+                elif not net.is_discrete(n) and output in net.discrete_parents(n):
+                    continue  # continuous child of the output: left out (README, Q18)
+                else:
+                    self.node_term(plan, n)
+            return plan, F.array(*[F.lit(k) for k in ks])
         if candidates == "train":
             cands = self._train_cands = self.candidates(output)
         elif candidates == "scored":
@@ -332,7 +462,10 @@ def candidate_scores(model: Model, df: DataFrame, output: str, default_prob: flo
     indep = _sum(plan.indep)
     out = plan.df.withColumn("candidates", cands).withColumn("__indep", indep)
     base = F.col("__indep")
-    scores = F.transform(F.col("candidates"), lambda k, i: _sum([base] + [d(k, i) for d in plan.dep]))
+    if plan.ks is not None:
+        scores = F.array(*[_sum([base] + [d(j) for d in plan.flat]) for j in range(len(plan.ks))])
+    else:
+        scores = F.transform(F.col("candidates"), lambda k, i: _sum([base] + [d(k, i) for d in plan.dep]))
     out = out.withColumn("scores", scores)
     return out.drop(*plan.tmp, "__indep")
 
@@ -346,8 +479,14 @@ def predict(model: Model, df: DataFrame, output: str, default_prob: float = 0.0,
     plan, cands = sc.score_plan(df, output, candidates)
     out = plan.df.withColumn("__indep", _sum(plan.indep))
     base = F.col("__indep")
-    best = F.array_max(F.transform(cands, lambda k, i: F.struct(
-        _sum([base] + [d(k, i) for d in plan.dep]).alias("s"), (-k).alias("nk"))))
+    if plan.ks is not None:
+        # one flat struct per candidate; greatest = highest score, then lowest k
+        sc_k = [F.struct(_sum([base] + [d(j) for d in plan.flat]).alias("s"), F.lit(-k).alias("nk"))
+                for j, k in enumerate(plan.ks)]
+        best = F.greatest(*sc_k) if len(sc_k) > 1 else sc_k[0]
+    else:
+        best = F.array_max(F.transform(cands, lambda k, i: F.struct(
+            _sum([base] + [d(k, i) for d in plan.dep]).alias("s"), (-k).alias("nk"))))
     out = out.withColumn("__best", best)
     out = out.withColumn("prediction", (-F.col("__best.nk")).cast("int")) \
              .withColumn("score", F.col("__best.s"))

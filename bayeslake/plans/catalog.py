@@ -4,7 +4,9 @@ Each query takes (spark, sf_dir) and returns a DataFrame whose columns match
 the DuckDB oracle in ``oracle.py``. Doubles are rounded to 6 places.
 
 Networks (codes: rf = l_returnflag, ls = l_linestatus, both dense-ranked
-from 0; train = key % 5 <> 0, test = key % 5 = 0):
+from 0). Every query fits on and scores the whole table, except
+``worksheet_evaluate`` (the reference's harness: train = key % 5 <> 0,
+test = key % 5 = 0) and ``split_key``, whose feature is that split:
 
     G1 lineitem  ls -> rf, l_linenumber -> rf                       (discrete)
     G2 lineitem  l_quantity, l_extendedprice, l_discount, l_tax, ls -> rf (hybrid fan-in)
@@ -96,43 +98,43 @@ def _source(spark, sf, g):
 
 
 def fitted(spark, sf, g, base: DataFrame | None = None,
-           whole: bool = False) -> tuple[Model, DataFrame, DataFrame | None]:
-    """Fit network ``g``; return (model, train, test).
+           split: bool = False) -> tuple[Model, DataFrame, DataFrame]:
+    """Fit network ``g``; return (model, train, scored).
 
-    ``whole=True`` (parameter reports) fits on every row of the table;
-    otherwise the model is fitted on the 80% training split and the other
-    20% is returned for scoring, as in the reference's harness.
+    By default the model is fitted on every row of the table and every row
+    is scored. ``split=True`` is the reference's harness (M8/M9): fit on the
+    80% training split and score the other 20%.
     """
     cols, edges, _ = g
     if base is None:
         base, key = _source(spark, sf, g)
     else:
         key = "l_orderkey"
-    if whole:
-        train, test = base, None
-    else:
+    if split:
         train, test = split_key(base, key)
+    else:
+        train, test = base, base
     return fit(train.select(*cols), edges), train, test
 
 
 # ---- milestone 1: discrete slice (G1) -----------------------------------------------
 def q_family_count(spark, sf):
-    m, _, _ = fitted(spark, sf, G1, whole=True)
+    m, _, _ = fitted(spark, sf, G1)
     return m.cpt.select("node", cfg_str().alias("config"), "value", "n")
 
 
 def q_parent_total(spark, sf):
-    m, _, _ = fitted(spark, sf, G1, whole=True)
+    m, _, _ = fitted(spark, sf, G1)
     return m.cpt.select("node", cfg_str().alias("config"), "n_config").distinct()
 
 
 def q_cpt_root(spark, sf):
-    m, _, _ = fitted(spark, sf, G1, whole=True)
+    m, _, _ = fitted(spark, sf, G1)
     return m.cpt.filter(F.size("config") == 0).select("node", "value", r6(F.col("p")).alias("p"))
 
 
 def q_cpt_discrete(spark, sf):
-    m, _, _ = fitted(spark, sf, G1, whole=True)
+    m, _, _ = fitted(spark, sf, G1)
     return m.cpt.filter(F.col("node") == "rf").select(
         cfg_str().alias("config"), "value", "n", "n_config", r6(F.col("p")).alias("p"))
 
@@ -184,7 +186,7 @@ def q_encode_codes(spark, sf):
 
 
 def q_node_inventory(spark, sf):
-    m, train, _ = fitted(spark, sf, G3, whole=True)
+    m, train, _ = fitted(spark, sf, G3)
     net = m.network
     counts = train.agg(*[e for n in net.nodes for e in (
         F.count_distinct(col(n)).alias(f"d_{n}"), F.count(col(n)).alias(f"c_{n}"))])
@@ -220,7 +222,7 @@ def _edge_params(m: Model) -> DataFrame:
 
 
 def q_edge_list(spark, sf):
-    m, _, _ = fitted(spark, sf, G3, whole=True)
+    m, _, _ = fitted(spark, sf, G3)
     return _edge_params(m)
 
 
@@ -263,24 +265,24 @@ def _gauss(m, scope):
 
 
 def q_gauss_root(spark, sf):
-    m, _, _ = fitted(spark, sf, G3, whole=True)
+    m, _, _ = fitted(spark, sf, G3)
     return _gauss(m, "root").select("node", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 def q_gauss_by_config(spark, sf):
-    m, _, _ = fitted(spark, sf, G3, whole=True)
+    m, _, _ = fitted(spark, sf, G3)
     return _gauss(m, "config").select("node", cfg_str().alias("config"),
                                       r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 def q_class_moments(spark, sf):
-    m, _, _ = fitted(spark, sf, G2, whole=True)
+    m, _, _ = fitted(spark, sf, G2)
     return _gauss(m, "class").select("node", F.get(F.col("config"), 0).alias("class"), "dim",
                                      r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
 def q_cpt_hybrid(spark, sf):
-    m, _, _ = fitted(spark, sf, G2, whole=True)
+    m, _, _ = fitted(spark, sf, G2)
     cpt = m.cpt.filter(F.col("node") == "rf")
     mom = _gauss(m, "class").filter(F.col("node") == "rf").select(
         F.get(F.col("config"), 0).alias("value"), "dim", "mean", "sd")
@@ -290,12 +292,12 @@ def q_cpt_hybrid(spark, sf):
 
 
 def q_coef_edge(spark, sf):
-    m, _, _ = fitted(spark, sf, G4, whole=True)
+    m, _, _ = fitted(spark, sf, G4)
     return m.coef.select("parent", "child", r6(F.col("rho")).alias("rho"))
 
 
 def q_coef_by_config(spark, sf):
-    m, _, _ = fitted(spark, sf, G3, whole=True)
+    m, _, _ = fitted(spark, sf, G3)
     return m.coef.select("parent", "child", cfg_str().alias("config"), r6(F.col("rho")).alias("rho"))
 
 
@@ -311,7 +313,7 @@ def config_grid(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def q_config_grid(spark, sf):
-    _, train, _ = fitted(spark, sf, G3, whole=True)
+    _, train, _ = fitted(spark, sf, G3)
     return config_grid(train, ["rf", "ls"])
 
 
@@ -328,7 +330,7 @@ def degenerate_params(m: Model) -> DataFrame:
 
 
 def q_degenerate_params(spark, sf):
-    m, _, _ = fitted(spark, sf, GD, whole=True)
+    m, _, _ = fitted(spark, sf, GD)
     return degenerate_params(m)
 
 
@@ -446,15 +448,15 @@ def q_metrics_per_label(spark, sf):
 
 
 def q_model_params(spark, sf):
-    m, _, _ = fitted(spark, sf, G3, whole=True)
+    m, _, _ = fitted(spark, sf, G3)
     return m.params().withColumn("value", r6(F.col("value")))
 
 
-def worksheet_pipeline(spark, sf):
+def worksheet_evaluate(spark, sf):
     """CSV-shaped table -> z-score (all rows) -> split -> fit -> predict -> metrics."""
     li = lineitem_coded(spark, sf).select("l_orderkey", *G2_COLS)
     z = standardize(li)
-    m, _, test = fitted(spark, sf, G2, base=z)
+    m, _, test = fitted(spark, sf, G2, base=z, split=True)
     p = predict(m, test, "rf", default_prob=1e-5)
     # score once: the confusion table (classes^2 rows) is checkpointed and both
     # the per-class metrics and the accuracy are read from it
@@ -505,7 +507,7 @@ QUERIES = {
     "metrics_accuracy": q_metrics_accuracy,
     "metrics_per_label": q_metrics_per_label,
     "model_params": q_model_params,
-    "worksheet_pipeline": worksheet_pipeline,
+    "worksheet_evaluate": worksheet_evaluate,
 }
 
 __all__ = ["QUERIES"]

@@ -241,17 +241,18 @@ NETS = {
 }
 
 
-def base(g: str, src: tuple[str, str] | None = None, whole: bool = False) -> tuple[BN, list[tuple[str, str]]]:
+def base(g: str, src: tuple[str, str] | None = None, split: bool = False) -> tuple[BN, list[tuple[str, str]]]:
     """Network ``g`` with ``tr`` (training rows) and ``te`` (scored rows).
 
-    ``whole``: parameters are learned from every row of the table."""
+    By default both are every row of the table; ``split`` is the harness's
+    80/20 split on the key."""
     cols, edges, kinds, s, key = NETS[g]
     s = src or s
-    if whole:
-        ctes = [s, ("tr", f"SELECT * FROM {s[0]}")]
-    else:
+    if split:
         ctes = [s, ("tr", f"SELECT * FROM {s[0]} WHERE {key} % 5 <> 0"),
                 ("te", f"SELECT * FROM {s[0]} WHERE {key} % 5 = 0")]
+    else:
+        ctes = [s, ("tr", f"SELECT * FROM {s[0]}"), ("te", f"SELECT * FROM {s[0]}")]
     return BN(cols, edges, kinds), ctes
 
 
@@ -289,8 +290,8 @@ def metrics_ctes(pred: str) -> list[tuple[str, str]]:
     ]
 
 
-def _g2_pred_ctes(default=0.0, src=None):
-    bn, ctes = base("G2", src)
+def _g2_pred_ctes(default=0.0, src=None, split=False):
+    bn, ctes = base("G2", src, split)
     return ctes + bn.scored("te", "rf", default) + [
         bn.best(), ("preds", "SELECT rf AS label, k AS prediction FROM best")]
 
@@ -299,7 +300,7 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     bn1, c1 = base("G1")
     p1 = c1 + bn1.param_ctes()
-    bn1w, c1w = base("G1", whole=True)
+    bn1w, c1w = base("G1")
     p1w = c1w + bn1w.param_ctes()
     i_ln, i_ls, i_rf = (bn1.idx(n) for n in ("l_linenumber", "ls", "rf"))
     fam = (f"SELECT 'l_linenumber' AS node, '' AS config, v AS value, n, n_config, p FROM cpt{i_ln} UNION ALL "
@@ -322,7 +323,7 @@ def build() -> dict[str, str]:
                            "l_returnflag, l_linestatus FROM lineitem")
     o["encode_codes"] = with_([LI], "SELECT l_orderkey, l_linenumber, l_returnflag, rf, l_linestatus, ls FROM li")
 
-    bn3, c3 = base("G3", whole=True)
+    bn3, c3 = base("G3")
     p3 = c3 + bn3.param_ctes()
     inv = []
     for n in bn3.net.nodes:
@@ -339,7 +340,7 @@ def build() -> dict[str, str]:
         el.append(f"SELECT '{p}' AS parent, '{c}' AS child, '{bn3.net.kinds[p]}' AS parent_kind, "
                   f"'{bn3.net.kinds[c]}' AS child_kind, (SELECT count(*) FROM {src}) AS n_params")
     o["edge_list"] = with_(p3, " UNION ALL ".join(el))
-    o["fan_in_edges"] = with_(base("G2", whole=True)[1], " UNION ALL ".join(
+    o["fan_in_edges"] = with_(base("G2")[1], " UNION ALL ".join(
         f"SELECT '{p}' AS parent, 'rf' AS child, count(*) FILTER (WHERE {p} IS NOT NULL AND rf IS NOT NULL) "
         f"AS n_pairs FROM tr" for p in G2_COLS[:-1]))
     z = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -358,7 +359,7 @@ def build() -> dict[str, str]:
                                      f"{r6('my')} AS mean, {r6('sy')} AS sd FROM gc{i_ep}")
     bn2, c2 = base("G2")
     p2 = c2 + bn2.param_ctes()
-    bn2w, c2w = base("G2", whole=True)
+    bn2w, c2w = base("G2")
     p2w = c2w + bn2w.param_ctes()
     i_rf2 = bn2.idx("rf")
     cp2 = bn2.net.continuous_parents("rf")
@@ -371,7 +372,7 @@ def build() -> dict[str, str]:
         for j, c in enumerate(cp2)))
     bn4, c4 = base("G4")
     p4 = c4 + bn4.param_ctes()
-    p4w = base("G4", whole=True)[1] + bn4.param_ctes()
+    p4w = base("G4")[1] + bn4.param_ctes()
     o["coef_edge"] = with_(p4w, f"SELECT 'l_quantity' AS parent, 'l_extendedprice' AS child, "
                                f"{r6('rho')} AS rho FROM cf{bn4.idx('l_extendedprice')}_0")
     o["coef_by_config"] = with_(p3, f"SELECT 'l_quantity' AS parent, 'l_extendedprice' AS child, "
@@ -381,7 +382,7 @@ def build() -> dict[str, str]:
                              "CAST(a.i * kk.k1 + b.i AS BIGINT) AS idx FROM kk "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k0)) AS i) a "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k1)) AS i) b")
-    bnd, cd = base("GD", whole=True)
+    bnd, cd = base("GD")
     pd_ = cd + bnd.param_ctes()
     i_nc = bnd.idx("n_chars")
     o["degenerate_params"] = with_(pd_, f"SELECT 'gauss_config' AS kind, 'n_chars' AS node, {_cfg(3)} AS config, "
@@ -439,8 +440,8 @@ def build() -> dict[str, str]:
 
     zli = ("zli", "SELECT l_orderkey, " + ", ".join(f"(({c} - m_{c}) / NULLIF(s_{c}, 0)) AS {c}" for c in z)
                   + ", ls, rf FROM li, st")
-    wsp = [LI, ("st", f"SELECT {zs} FROM li")] + _g2_pred_ctes(1e-5, zli)[1:]
-    o["worksheet_pipeline"] = with_(
+    wsp = [LI, ("st", f"SELECT {zs} FROM li")] + _g2_pred_ctes(1e-5, zli, split=True)[1:]
+    o["worksheet_evaluate"] = with_(
         [LI, ("st", f"SELECT {zs} FROM li"), zli] + wsp[2:] + metrics_ctes("preds")
         + [("acc", "SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM preds")],
         f"SELECT label, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, "

@@ -70,13 +70,13 @@ def main():
     m6 = timed(times, "g6_fit", lambda: fit(tr6.select(*cols), edges))
     timed(times, "g6_predict", lambda: noop(predict(m6, te6, out)))
 
-    # end-to-end worksheet pipeline (z-score -> split -> fit -> predict -> metrics)
-    def pipeline():
+    # end-to-end worksheet harness (z-score -> split -> fit -> predict -> metrics)
+    def evaluate():
         z = standardize(li.select("l_orderkey", *C.G2_COLS))
         tr, te = split_key(z, "l_orderkey")
         m = fit(tr.select(*C.G2_COLS), C.G2[1])
         return per_label(predict(m, te, "rf", default_prob=1e-5), "rf", "prediction").collect()
-    timed(times, "worksheet_pipeline", pipeline)
+    timed(times, "worksheet_evaluate", evaluate)
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times,

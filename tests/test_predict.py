@@ -157,3 +157,59 @@ def test_plan_has_no_shuffle_for_small_model(spark, h1):
     plan = predict(m, h1, "label")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def _both_paths(fn):
+    """Run ``fn`` with the flat per-candidate path and with the array path."""
+    import bayeslake.operators.predict as P
+    flat = fn()
+    old = P.MAX_FLAT_CANDIDATES
+    P.MAX_FLAT_CANDIDATES = 0
+    try:
+        arr = fn()
+    finally:
+        P.MAX_FLAT_CANDIDATES = old
+    return flat, arr
+
+
+@pytest.mark.parametrize("case", ["hybrid", "child", "root", "degenerate"])
+def test_flat_path_matches_array_path(spark, case):
+    if case == "hybrid":      # discrete parent + continuous parents of the output
+        rows = [(i % 3, float(i % 7), float((i * 3) % 5), i % 4) for i in range(120)]
+        df = spark.createDataFrame(rows, "a int, x double, y double, label int")
+        edges = [("a", "label"), ("x", "label"), ("y", "label")]
+    elif case == "child":     # output with a discrete child that has a continuous parent
+        rows = [(i % 2, i % 3, (i * 7) % 2, float(i % 5)) for i in range(90)]
+        df = spark.createDataFrame(rows, "a int, label int, t int, x double")
+        edges = [("a", "label"), ("label", "t"), ("x", "t")]
+    elif case == "root":      # output without parents, continuous roots beside it
+        rows = [(i % 3, float(i % 11), float(i % 4)) for i in range(60)]
+        df = spark.createDataFrame(rows, "label int, x double, y double")
+        edges = [("x", "y")]
+    else:                     # one-row class (sd 0), nulls, unseen families
+        rows = [(0, 1.0, 0), (0, 2.0, 0), (1, 5.0, 1), (0, 3.0, 2), (1, None, 0), (None, 4.0, 1)]
+        df = spark.createDataFrame(rows, "a int, x double, label int")
+        edges = [("a", "label"), ("x", "label")]
+    m = fit(df, edges)
+    q = df.union(df.limit(3).withColumn("a" if "a" in df.columns else "x",
+                                        F.lit(9).cast(df.schema[0].dataType)))
+    cols = [c for c in df.columns if c != "label"]
+
+    def run():
+        p = sorted(((tuple(r[:-2]), r[-2], r[-1]) for r in predict(m, q, "label", default_prob=1e-3)
+                    .select(*cols, "prediction", "score").collect()), key=repr)
+        s = sorted(((tuple(r[:-2]), list(r[-2]), list(r[-1])) for r in candidate_scores(m, q, "label")
+                    .select(*cols, "candidates", "scores").collect()), key=repr)
+        return p, s
+    (pf, sf), (pa, sa) = _both_paths(run)
+    assert [r[1] for r in pf] == [r[1] for r in pa]
+    assert [r[2] for r in pf] == pytest.approx([r[2] for r in pa], rel=1e-12)
+    assert [r[1] for r in sf] == [r[1] for r in sa]
+    for a, b in zip(sf, sa):
+        assert a[2] == pytest.approx(b[2], rel=1e-12)
+
+
+def test_flat_path_is_codegen_only(spark, h1):
+    m = fit(h1, [("d", "label"), ("c", "label")])
+    plan = predict(m, h1, "label")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "greatest" in plan
