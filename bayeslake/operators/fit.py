@@ -31,16 +31,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.density import col
+from ..functions.sqltext import q, s as lit_s
 from ..plans.dag import Network
 from ..session import ensure_checkpoint_dir
 
 ARRAY_INT = "array<int>"
 
 
+def config_sql(cols) -> str:
+    return f"CAST(array({', '.join(q(c) for c in cols)}) AS {ARRAY_INT})"
+
+
 def config_expr(cols) -> Column:
-    if not cols:
-        return F.array().cast(ARRAY_INT)
-    return F.array(*[col(c) for c in cols]).cast(ARRAY_INT)
+    return F.expr(config_sql(cols))
 
 
 def no_null_config(c: Column) -> Column:
@@ -49,14 +52,14 @@ def no_null_config(c: Column) -> Column:
 
 def prepare_frame(df: DataFrame, net: Network) -> DataFrame:
     """Cast every node to its role type: discrete -> int, continuous -> double."""
-    return df.select(*[col(n).cast("int" if net.is_discrete(n) else "double").alias(n)
-                       for n in net.nodes])
+    return df.selectExpr(*[f"CAST({q(n)} AS {'INT' if net.is_discrete(n) else 'DOUBLE'}) AS {q(n)}"
+                           for n in net.nodes])
 
 
 @dataclass
 class _Grouping:
     key: tuple[str, ...]
-    aggs: dict[str, Column]
+    aggs: dict[str, str]      # name -> aggregate as SQL text
     scan: int = -1
     gid: int = -1
 
@@ -69,22 +72,22 @@ def _plan_groupings(net: Network) -> list[_Grouping]:
 
     def mean_sd(c):
         i = cidx[c]
-        return {f"m{i}": F.avg(col(c)), f"s{i}": F.stddev_samp(col(c))}
+        return {f"m{i}": f"avg({q(c)})", f"s{i}": f"stddev_samp({q(c)})"}
 
-    groups: dict[tuple[str, ...], dict[str, Column]] = {}
+    groups: dict[tuple[str, ...], dict[str, str]] = {}
 
     def need(key, aggs):
-        groups.setdefault(tuple(key), {"n": F.count(F.lit(1))}).update(aggs)
+        groups.setdefault(tuple(key), {"n": "count(1)"}).update(aggs)
 
     # global grouping: always present (N, continuous roots, source moments)
-    glob: dict[str, Column] = {}
+    glob: dict[str, str] = {}
     for c in cont:
         glob.update(mean_sd(c))
     for (p, c), i in eidx.items():
-        x, y = col(p), col(c)
-        glob[f"cv{i}"] = F.covar_pop(x, y)
-        glob[f"px{i}"] = F.avg(F.when(y.isNotNull(), x))
-        glob[f"py{i}"] = F.avg(F.when(x.isNotNull(), y))
+        x, y = q(p), q(c)
+        glob[f"cv{i}"] = f"covar_pop({x}, {y})"
+        glob[f"px{i}"] = f"avg(CASE WHEN {y} IS NOT NULL THEN {x} END)"
+        glob[f"py{i}"] = f"avg(CASE WHEN {x} IS NOT NULL THEN {y} END)"
     need((), glob)
 
     for n in net.nodes:
@@ -122,12 +125,13 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8) ->
         cols = sorted({c for g in chunk for c in g.key}, key=order.__getitem__)
         if len(cols) > 63:
             raise ValueError("more than 63 discrete columns in one scan; lower max_sets_per_scan")
-        aggs: dict[str, Column] = {}
+        aggs: dict[str, str] = {}
         for g in chunk:
             aggs.update(g.aggs)
             g.scan = s
             g.gid = _gid(g.key, cols)
-        exprs = [e.alias("__" + a) for a, e in aggs.items()]  # prefixed: no clash with node names
+        # prefixed: no clash with node names
+        exprs = [F.expr(f"{e} AS {q('__' + a)}") for a, e in aggs.items()]
         if cols:
             agg = X.groupingSets([list(g.key) for g in chunk], *[col(c) for c in cols]) \
                    .agg(F.grouping_id().alias("__gid"), *exprs)
@@ -241,13 +245,17 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
 
     # ---- gauss -------------------------------------------------------------
     g_parts = []
+    def gauss_rows(scope, node_of, cfg, dims, m, sd):
+        """inline() of one struct per dimension, as one SQL expression."""
+        return F.expr("inline(array(" + ", ".join(
+            f"named_struct('node', {lit_s(node_of(d))}, 'scope', '{scope}', 'config', {cfg}, "
+            f"'dim', {lit_s(d)}, 'mean', {m(d)}, 'sd', {sd(d)})" for d in dims) + "))")
+
     if cont:
-        g_parts.append(glob.select(F.inline(F.array(*[
-            F.struct(F.lit(y).alias("node"), F.lit("root").alias("scope"),
-                     F.array().cast(ARRAY_INT).alias("config"), F.lit(y).alias("dim"),
-                     F.col(f"__m{cidx[y]}").alias("mean"),
-                     F.coalesce(F.col(f"__s{cidx[y]}"), F.lit(1.0)).alias("sd"))
-            for y in cont]))))
+        g_parts.append(glob.select(gauss_rows(
+            "root", lambda y: y, config_sql(()), cont,
+            lambda y: f"CAST(`__m{cidx[y]}` AS DOUBLE)",
+            lambda y: f"CAST(coalesce(`__s{cidx[y]}`, 1.0D) AS DOUBLE)")))
     for n in net.nodes:
         dpar = net.discrete_parents(n)
         if not net.is_discrete(n) and dpar:
@@ -259,12 +267,10 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
                 F.coalesce(F.col(f"__s{i}"), F.lit(0.0)).alias("sd")))
         cpar = net.continuous_parents(n)
         if net.is_discrete(n) and cpar:
-            g_parts.append(rows((n,)).select(F.inline(F.array(*[
-                F.struct(F.lit(n).alias("node"), F.lit("class").alias("scope"),
-                         config_expr((n,)).alias("config"), F.lit(c).alias("dim"),
-                         F.coalesce(F.col(f"__m{cidx[c]}"), F.lit(0.0)).alias("mean"),
-                         F.coalesce(F.col(f"__s{cidx[c]}"), F.lit(0.0)).alias("sd"))
-                for c in cpar]))))
+            g_parts.append(rows((n,)).select(gauss_rows(
+                "class", lambda c, n=n: n, config_sql((n,)), cpar,
+                lambda c: f"CAST(coalesce(`__m{cidx[c]}`, 0.0D) AS DOUBLE)",
+                lambda c: f"CAST(coalesce(`__s{cidx[c]}`, 0.0D) AS DOUBLE)")))
     if g_parts:
         gauss = _union(g_parts).filter(no_null_config(F.col("config")))
     else:

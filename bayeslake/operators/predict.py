@@ -20,11 +20,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_const, log_norm_const,
-                                 log_p, neg_inf, pair_density_term, pre_density_term, safe_log)
+                                 log_p, neg_inf, pair_density_term, safe_log)
+from ..functions import sqltext as S
+from ..functions.vectorized import class_density_udf
 from .fit import Model
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -42,6 +46,10 @@ MAX_FLAT_TERMS = 20
 # Upper bound on the candidate domain: every scored row carries one score
 # per candidate, so the candidate list (a one-row parameter) must stay small.
 MAX_CANDIDATES = 1 << 16
+# Wide fan-in: the class densities of all candidates are computed per Arrow
+# batch (functions.vectorized) when the class moments, K x C numbers, stay
+# under this many cells; beyond it the candidate-array path is used.
+MAX_UDF_CELLS = 1 << 20
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
@@ -95,21 +103,22 @@ class Scorer:
             g = self.m.gauss.filter(F.col("scope") == "root")
             fields = []
             for j, y in enumerate(cont):
-                hit = F.col("node") == y
-                fields.append(F.max(F.when(hit, F.col("mean"))).alias(f"m{j}"))
-                fields.append(F.max(F.when(hit, F.col("sd"))).alias(f"s{j}"))
-                # root density constants; sd <= 0 gives factor 1 (Q8)
-                fields.append(F.max(F.when(hit, inv_sd(F.col("sd")))).alias(f"r{j}"))
-                fields.append(F.max(F.when(hit, log_norm_const(F.col("sd"), F.lit(0.0)))).alias(f"c{j}"))
-            plan.df = plan.df.withColumn("__blg", g.agg(F.struct(*fields).alias("g")).scalar())
+                hit = f"node = {S.s(y)}"
+                fields += [f"max(CASE WHEN {hit} THEN mean END) AS m{j}",
+                           f"max(CASE WHEN {hit} THEN sd END) AS s{j}",
+                           # root density constants; sd <= 0 gives factor 1 (Q8)
+                           f"max(CASE WHEN {hit} THEN {S.inv_sd('sd')} END) AS r{j}",
+                           f"max(CASE WHEN {hit} THEN {S.log_norm_const('sd', '0.0D')} END) AS c{j}"]
+            struct = F.expr("struct(" + ", ".join(fields) + ") AS g")
+            plan.df = plan.df.withColumn("__blg", g.agg(struct).scalar())
             plan.tmp.append("__blg")
         es = [(p, c) for p, c in self.net.continuous_edges() if not self.net.discrete_parents(c)]
         self._ridx = {e: j for j, e in enumerate(es)}
         if es:
             k = self.m.coef.filter(F.size("config") == 0)
-            r = k.agg(F.struct(*[
-                F.max(F.when((F.col("parent") == p) & (F.col("child") == c), F.col("rho"))).alias(f"r{j}")
-                for (p, c), j in self._ridx.items()]).alias("r")).scalar()
+            r = k.agg(F.expr("struct(" + ", ".join(
+                f"max(CASE WHEN parent = {S.s(p)} AND child = {S.s(c)} THEN rho END) AS r{j}"
+                for (p, c), j in self._ridx.items()) + ") AS r")).scalar()
             plan.df = plan.df.withColumn("__blr", r)
             plan.tmp.append("__blr")
 
@@ -131,16 +140,15 @@ class Scorer:
         g = self.m.gauss.filter((F.col("node") == node) & (F.col("scope") == "class"))
         k = F.get(F.col("config"), 0).alias(key)
         if self._wide(node):
-            names = F.array(*[F.lit(c) for c in cpar])
+            names = F.expr("array(" + ", ".join(S.s(c) for c in cpar) + ")")
             lst = F.array_sort(F.collect_list(F.struct(
                 F.array_position(names, F.col("dim")).alias("j"), "mean", "sd")))
             return g.groupBy(k).agg(lst.alias("l")).select(
                 key, F.transform("l", lambda e: e["mean"]).alias(f"{tag}M"),
                 F.transform("l", lambda e: e["sd"]).alias(f"{tag}S"))
-        return g.groupBy(k).agg(*[
-            e for j, c in enumerate(cpar) for e in (
-                F.max(F.when(F.col("dim") == c, F.col("mean"))).alias(f"{tag}m{j}"),
-                F.max(F.when(F.col("dim") == c, F.col("sd"))).alias(f"{tag}s{j}"))])
+        return g.groupBy(k).agg(*[F.expr(e) for j, c in enumerate(cpar) for e in (
+            f"max(CASE WHEN dim = {S.s(c)} THEN mean END) AS {S.q(f'{tag}m{j}')}",
+            f"max(CASE WHEN dim = {S.s(c)} THEN sd END) AS {S.q(f'{tag}s{j}')}")])
 
     def _tag(self, node: str) -> str:
         return f"__bl{self.net.nodes.index(node)}_"
@@ -149,8 +157,8 @@ class Scorer:
         """Wide fan-in: pack the continuous parents of ``node`` into one array."""
         if self._wide(node):
             name = f"{self._tag(node)}x"
-            plan.df = plan.df.withColumn(name, F.array(*[col(c).cast("double")
-                                                         for c in self.net.continuous_parents(node)]))
+            plan.df = plan.df.withColumn(name, F.expr("array(" + ", ".join(
+                f"CAST({S.q(c)} AS DOUBLE)" for c in self.net.continuous_parents(node)) + ")"))
             plan.tmp.append(name)
 
     def _density_sum(self, node: str, field: Callable[[str], Column]) -> Column:
@@ -160,9 +168,12 @@ class Scorer:
         cpar = self.net.continuous_parents(node)
         tag = self._tag(node)
         if self._wide(node):
-            M, S, xs = field(f"{tag}M"), field(f"{tag}S"), F.col(f"{tag}x")
+            M, SD, xs = field(f"{tag}M"), field(f"{tag}S"), F.col(f"{tag}x")
             return F.aggregate(F.sequence(F.lit(0), F.lit(len(cpar) - 1)), F.lit(0.0),
-                               lambda acc, j: acc + class_density_term(xs[j], M[j], S[j]))
+                               lambda acc, j: acc + class_density_term(xs[j], M[j], SD[j]))
+        if field is F.col:   # row columns: one SQL expression for all parents
+            return F.expr(S.total([S.class_density(S.q(c), S.q(f"{tag}m{j}"), S.q(f"{tag}s{j}"))
+                                   for j, c in enumerate(cpar)]))
         return _sum([class_density_term(col(c), field(f"{tag}m{j}"), field(f"{tag}s{j}"))
                      for j, c in enumerate(cpar)])
 
@@ -190,8 +201,7 @@ class Scorer:
         if not cpar:
             if not dpar:                                                       # F10
                 j = self.net.continuous_nodes().index(node)
-                g = F.col("__blg")
-                plan.indep.append(pre_density_term(col(node), g[f"m{j}"], g[f"r{j}"], g[f"c{j}"]))
+                plan.indep.append(S.pre_density(S.q(node), f"`__blg`.m{j}", f"`__blg`.r{j}", f"`__blg`.c{j}"))
             return                                                             # F13: factor 1
         my, sy = self._gm(node)
         if not dpar:                                                           # F12, global moments
@@ -238,7 +248,21 @@ class Scorer:
             plan.df = plan.df.withColumn(f"{tag}pm", cp.agg(pmap.alias("pm")).scalar())
             plan.tmp.append(f"{tag}pm")
             pm = F.col(f"{tag}pm")
-        if cpar:
+        udf_ks = None
+        if cpar and self._wide(output):
+            udf_ks = self.train_domain(output, max(1, MAX_UDF_CELLS // len(cpar)))
+        if udf_ks:
+            # wide fan-in: all K class density sums of a row from one
+            # Arrow-batched numpy evaluation (the class moments, K x C
+            # numbers within MAX_UDF_CELLS, are the UDF's constants)
+            K = self._class_consts(output, udf_ks)
+            mat = [np.array([[K[(j, i)][a] for i in range(len(cpar))] for j in range(len(udf_ks))])
+                   for a in range(3)]
+            self._row_values(plan, output)
+            plan.df = plan.df.withColumn(f"{tag}D", class_density_udf(*mat)(F.col(f"{tag}x")))
+            plan.tmp.append(f"{tag}D")
+            known = F.array(*[F.lit(k) for k in udf_ks])
+        elif cpar:
             mom = self._class_moments(output, "k")
             mm = mom.agg(F.map_from_entries(F.collect_list(
                 F.struct("k", F.struct(*[c for c in mom.columns if c != "k"])))).alias("mm"))
@@ -261,8 +285,14 @@ class Scorer:
             p = pm[k]
             if is_root:
                 return F.when(p.isNull(), neg_inf()).otherwise(safe_log(p))
-            ma = F.col(f"{tag}ma")[i] if cpar else None
-            dens = self._density_sum(output, lambda name: ma[name])
+            if udf_ks and self._train_cands is not None:
+                dens = F.col(f"{tag}D")[i]        # same sorted domain as the candidates
+            elif udf_ks:
+                pos = F.array_position(known, k).cast("int")
+                dens = F.when(pos > 0, F.element_at(F.col(f"{tag}D"), pos)).otherwise(neg_inf())
+            else:
+                ma = F.col(f"{tag}ma")[i] if cpar else None
+                dens = self._density_sum(output, lambda name: ma[name])
             return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
         plan.dep.append(term)
 
@@ -294,18 +324,40 @@ class Scorer:
             return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
         plan.dep.append(term)
 
+    def roots_term(self, plan: _Plan, roots: list[str]) -> None:
+        """Log factors (F10) of many continuous roots in one Arrow-batched
+        evaluation: their sum as generated code would exceed the JIT limit.
+        The constants are one (mean, sd) row per root, read from the model."""
+        g = (self.m.gauss.filter((F.col("scope") == "root") & F.col("node").isin(roots))
+             .select("node", "mean", inv_sd(F.col("sd")).alias("r"),
+                     log_norm_const(F.col("sd"), F.lit(0.0)).alias("c")))
+        got = {r["node"]: r for r in g.limit(len(roots)).collect()}
+        mat = [np.array([[float(got[n][a]) if n in got and got[n][a] is not None else 0.0
+                          for n in roots]]) for a in ("mean", "r", "c")]
+        plan.df = plan.df.withColumn("__blroots", class_density_udf(*mat)(
+            F.expr("array(" + ", ".join(f"CAST({S.q(n)} AS DOUBLE)" for n in roots) + ")")))
+        plan.tmp.append("__blroots")
+        plan.indep.append(F.col("__blroots")[0])
+
+    def _scored_nodes(self, plan: _Plan, output: str) -> list[str]:
+        """Nodes left for per-node terms, after many continuous roots (not
+        children of the output) were scored together."""
+        net = self.net
+        roots = [n for n in net.nodes if n != output and not net.is_discrete(n) and not net.parents[n]]
+        if len(roots) > WIDE_FAN_IN:
+            self.roots_term(plan, roots)
+            return [n for n in net.nodes if n not in roots]
+        return list(net.nodes)
+
     # ---- flat path: one score column per candidate -------------------------
     def domain(self, output: str) -> list[int] | None:
         """The output's training domain as literals when it is small enough
         for the flat path, else None. Reads at most MAX_FLAT_CANDIDATES + 1
         values of the checkpointed model (metadata, like ``pivot``'s)."""
-        cp = self.m.cpt.filter(F.col("node") == output).select("value").distinct()
-        ks = sorted(int(r[0]) for r in cp.limit(MAX_FLAT_CANDIDATES + 1).collect())
-        if len(ks) > MAX_FLAT_CANDIDATES:
-            n = cp.count()
-            if n > MAX_CANDIDATES:
-                raise ValueError(f"output {output!r} has {n} classes; at most {MAX_CANDIDATES} "
-                                 "candidates can be scored per row")
+        if self._wide(output):
+            return None
+        ks = self.train_domain(output, MAX_FLAT_CANDIDATES)
+        if ks is None:
             return None
         terms = len(ks) * (1 + len(self.net.continuous_parents(output))
                            + sum(1 for c in self.net.children(output) if self.net.depends_on(c, output)))
@@ -313,6 +365,20 @@ class Scorer:
             return None
         return ks
 
+    def train_domain(self, output: str, limit: int) -> list[int] | None:
+        """Sorted training domain of the output if it has at most ``limit``
+        values (at most limit + 1 values of the model are read), else None.
+        Raises when the domain exceeds MAX_CANDIDATES."""
+        cp = self.m.cpt.filter(F.col("node") == output).select("value").distinct()
+        ks = sorted(int(r[0]) for r in cp.limit(limit + 1).collect())
+        if len(ks) <= limit:
+            return ks
+        n = cp.count()
+        if n > MAX_CANDIDATES:
+            raise ValueError(f"output {output!r} has {n} classes; at most {MAX_CANDIDATES} "
+                             "candidates can be scored per row")
+        return None
+
     @staticmethod
     def _log_p() -> Column:
         return log_p(F.col("p"))
@@ -328,7 +394,7 @@ class Scorer:
         g = (self.m.gauss.filter((F.col("node") == node) & (F.col("scope") == "class"))
              .select(F.get(F.col("config"), 0).alias("k"), "dim", "mean",
                      inv_sd(F.col("sd")).alias("r"), log_norm_const(F.col("sd"), neg_inf()).alias("c")))
-        got = {(r["k"], r["dim"]): r for r in g.limit(MAX_FLAT_TERMS + 1).collect()}
+        got = {(r["k"], r["dim"]): r for r in g.limit(len(ks) * len(cpar)).collect()}
         out = {}
         for j, k in enumerate(ks):
             for i, c in enumerate(cpar):
@@ -363,8 +429,8 @@ class Scorer:
         K = self._class_consts(output, ks) if cpar else {}
 
         def dens(j):
-            return _sum([pre_density_term(col(c), *[F.lit(v) for v in K[(j, i)]])
-                         for i, c in enumerate(cpar)])
+            return F.expr(S.total([S.pre_density(S.q(c), *[S.num(v) for v in K[(j, i)]])
+                                   for i, c in enumerate(cpar)]))
         # unseen family -> default_prob alone
         plan.flat.append(lambda j: F.coalesce(lp(j) + dens(j), self.log_default))
 
@@ -394,7 +460,7 @@ class Scorer:
 
     # ---- assembly --------------------------------------------------------------
     def prepare(self, df: DataFrame, skip: str | None = None) -> DataFrame:
-        casts = {n: col(n).cast("int" if self.net.is_discrete(n) else "double")
+        casts = {n: F.expr(f"CAST({S.q(n)} AS {'INT' if self.net.is_discrete(n) else 'DOUBLE'})")
                  for n in self.net.nodes if n != skip or n in df.columns}
         return df.withColumns(casts)
 
@@ -406,9 +472,10 @@ class Scorer:
         self.attach_globals(plan)
         self._train_cands = None
         ks = self.domain(output) if candidates == "train" else None
+        nodes = self._scored_nodes(plan, output)
         if ks is not None:
             plan.ks = ks
-            for n in net.nodes:
+            for n in nodes:
                 if n == output:
                     self.output_term_flat(plan, n, ks)
                 elif net.depends_on(n, output):
@@ -431,7 +498,7 @@ class Scorer:
         plan.df = plan.df.withColumn("__cands", cands)
         plan.tmp.append("__cands")
         cands = F.col("__cands")
-        for n in net.nodes:
+        for n in nodes:
             if n == output:
                 self.output_term(plan, n, cands)
             elif net.depends_on(n, output):
@@ -443,11 +510,17 @@ class Scorer:
         return plan, cands
 
 
-def _sum(terms: list[Column]) -> Column:
-    if not terms:
+def _sum(terms: list) -> Column:
+    """Sum of log terms given as Columns or SQL text (text terms are added
+    in one expression)."""
+    text = [t for t in terms if isinstance(t, str)]
+    cols = [t for t in terms if not isinstance(t, str)]
+    if text:
+        cols.append(F.expr(S.total(text)))
+    if not cols:
         return F.lit(0.0)
-    out = terms[0]
-    for t in terms[1:]:
+    out = cols[0]
+    for t in cols[1:]:
         out = out + t
     return out
 

@@ -36,50 +36,64 @@ def csv_round_trip(df: DataFrame) -> DataFrame:
 
 
 # ---- integer codes ----------------------------------------------------------------
-def fit_codes(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
-    """Code table (value, code): code = rank of the value among the distinct
-    non-null values, from 0, in sort order.
-
-    Distributed dense rank: the distinct values are range-partitioned,
-    ranked inside each partition, and shifted by the number of values in the
-    partitions before it (a table with one row per partition).
+def fit_codes(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
+    """Code table (col, value, code) for columns of ONE data type: code =
+    rank of the value among the distinct non-null values of its column, from
+    0, in sort order.
+
+    All the columns share one scan: (column index, value) pairs are
+    de-duplicated (partial aggregation map-side), range-partitioned on
+    (col, value), ranked inside each partition, and shifted by the number of
+    values of the same column in the partitions before it (a table with one
+    row per partition and column). No column's domain is gathered into one
+    task, however large it is.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dom = (df.select(col(column).alias("value")).where(F.col("value").isNotNull())
-           .distinct().repartitionByRange(n, "value")
+    pairs = F.inline(F.array(*[F.struct(F.lit(j).alias("col"), col(c).alias("value"))
+                               for j, c in enumerate(columns)]))
+    dom = (df.select(pairs).where(F.col("value").isNotNull()).distinct()
+           .repartitionByRange(n, "col", "value")
            .withColumn("pid", F.spark_partition_id()))
-    local = dom.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy("value")))
-    sizes = dom.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    offsets = sizes.select("pid", F.coalesce(F.sum("c").over(
-        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    return (local.join(F.broadcast(offsets), "pid")   # one row per partition
-            .select("value", (F.col("off") + F.col("r") - 1).cast("int").alias("code")))
+    local = dom.withColumn("r", F.row_number().over(Window.partitionBy("pid", "col").orderBy("value")))
+    sizes = dom.groupBy("pid", "col").agg(F.count(F.lit(1)).alias("c"))
+    offsets = sizes.select("pid", "col", F.coalesce(F.sum("c").over(
+        Window.partitionBy("col").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("off"))
+    return (local.join(F.broadcast(offsets), ["pid", "col"])   # partitions x columns rows
+            .select("col", "value", (F.col("off") + F.col("r") - 1).cast("int").alias("code")))
 
 
 def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool = False,
                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Replace (or add, for a ``{source: target}`` map) integer codes of
-    categorical columns. Each code table is materialised once and broadcast
-    only when its counted size allows; NULL stays NULL."""
+    categorical columns. Columns of the same type are coded together from one
+    scan; the code tables are materialised once in the shared checkpoint
+    folder and each is broadcast only when its counted size allows; NULL
+    stays NULL."""
     if not isinstance(columns, dict):
         columns = {c: c for c in columns}
+    by_type: dict[str, list[str]] = {}
+    for src in columns:
+        by_type.setdefault(df.schema[src].dataType.simpleString(), []).append(src)
+    ensure_checkpoint_dir(df.sparkSession)
     out = df
-    for src, dst in columns.items():
-        # materialised once in the shared checkpoint folder: small, lineage cut,
-        # no executor memory held for the rest of the session
-        ensure_checkpoint_dir(out.sparkSession)
-        codes = fit_codes(out, src).checkpoint(eager=False)
-        rows = codes.count()   # computes the table; the checkpoint is written right after
-        width = 16 + 8 * max(1, _avg_width(out.schema[src].dataType))
-        codes = codes.withColumnRenamed("value", src).withColumnRenamed("code", f"__code_{dst}")
-        if rows * width <= max_broadcast_bytes:
-            codes = F.broadcast(codes)
-        out = out.join(codes, on=[src], how="left")
-        if dst == src and not keep:
-            out = out.withColumn(src, F.col(f"__code_{dst}")).drop(f"__code_{dst}")
-        else:
-            out = out.withColumnRenamed(f"__code_{dst}", dst)
+    for srcs in by_type.values():
+        # small, lineage cut, survives executor loss, no executor memory held
+        codes = fit_codes(df, srcs).checkpoint()
+        counts = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for j, src in enumerate(srcs):
+            dst = columns[src]
+            width = 16 + 8 * max(1, _avg_width(df.schema[src].dataType))
+            t = codes.where(F.col("col") == j).select(F.col("value").alias(src),
+                                                     F.col("code").alias(f"__code_{dst}"))
+            if counts.get(j, 0) * width <= max_broadcast_bytes:
+                t = F.broadcast(t)
+            out = out.join(t, on=[src], how="left")
+            if dst == src and not keep:
+                out = out.withColumn(src, F.col(f"__code_{dst}")).drop(f"__code_{dst}")
+            else:
+                out = out.withColumnRenamed(f"__code_{dst}", dst)
     return out
 
 

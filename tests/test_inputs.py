@@ -23,6 +23,22 @@ def test_encode_codes_many_partitions(spark):
     assert sorted(r["s"] for r in out) == list(range(500))
 
 
+def test_encode_codes_columns_share_a_scan_but_not_codes(spark):
+    # two string columns with overlapping values and an int column; many
+    # range partitions: each column is ranked on its own domain
+    rows = [(f"v{i % 37:03d}", f"v{(i * 7) % 11 + 30:03d}", (i * 13) % 17 - 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, k int").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out = encode_codes(df, {"a": "ca", "b": "cb", "k": "ck"}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for src, dst in (("a", "ca"), ("b", "cb"), ("k", "ck")):
+        dom = sorted({r[src] for r in out})
+        assert {r[src]: r[dst] for r in out} == {v: i for i, v in enumerate(dom)}
+
+
 def test_standardize_keeps_names_and_order(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0)], "k int, x double, c double")
     z = standardize(df)
