@@ -48,8 +48,10 @@ MAX_FLAT_TERMS = 20
 MAX_CANDIDATES = 1 << 16
 # Wide fan-in: the class densities of all candidates are computed per Arrow
 # batch (functions.vectorized) when the class moments, K x C numbers, stay
-# under this many cells; beyond it the candidate-array path is used.
-MAX_UDF_CELLS = 1 << 20
+# under this many cells (3 x 8 bytes each travel in the task closure: at most
+# 6 MiB; the reference's largest grid point, 250 features x 20 classes, is
+# 5000 cells); beyond it the candidate-array path is used.
+MAX_UDF_CELLS = 1 << 18
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,

@@ -213,3 +213,30 @@ def test_flat_path_is_codegen_only(spark, h1):
     m = fit(h1, [("d", "label"), ("c", "label")])
     plan = predict(m, h1, "label")._jdf.queryExecution().executedPlan().toString()
     assert "lambdafunction" not in plan and "greatest" in plan
+
+
+def test_vectorized_class_sums_match_formula():
+    import numpy as np
+    from bayeslake.functions.vectorized import class_log_density_sums
+    x = np.array([[1.0, np.nan, 3.0], [0.5, 2.0, -1.0]])
+    mean = np.array([[0.0, 1.0, 2.0], [1.0, 1.0, 1.0]])
+    sd = np.array([[1.0, 2.0, 0.5], [2.0, 1.0, 0.0]])          # last: degenerate
+    r = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+    c = np.where(sd > 0, -np.log(np.where(sd > 0, sd, 1.0)) - 0.5 * math.log(2 * math.pi), -np.inf)
+    got = class_log_density_sums(x, mean, r, c)
+
+    def phi(v, m, s):
+        return -0.5 * ((v - m) / s) ** 2 - math.log(s) - 0.5 * math.log(2 * math.pi)
+    assert got[0, 0] == pytest.approx(phi(1.0, 0.0, 1.0) + phi(3.0, 2.0, 0.5), rel=1e-12)   # NaN skipped
+    assert got[0, 1] == -math.inf                                                           # sd 0, value present
+    assert got[1, 0] == pytest.approx(phi(0.5, 0, 1) + phi(2.0, 1, 2) + phi(-1.0, 2, 0.5), rel=1e-12)
+
+
+def test_wide_output_uses_one_vectorized_stage(spark):
+    rows = [tuple(float((i * (j + 3)) % 7) for j in range(10)) + (i % 3,) for i in range(60)]
+    cols = [f"f{j}" for j in range(10)] + ["label"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols[:-1]) + ", label int")
+    m = fit(df, [(c, "label") for c in cols[:-1]])
+    plan = predict(m, df, "label")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" in plan      # K=3 candidates: array path
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
