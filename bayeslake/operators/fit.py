@@ -64,13 +64,31 @@ class _Grouping:
     gid: int = -1
 
 
-def _plan_groupings(net: Network) -> list[_Grouping]:
-    """One grouping per distinct key, with the aggregates it needs."""
+# From this many continuous nodes on, their means and sds are aggregated in
+# long form (see long_moment_stats): one wide aggregate of 2 functions per
+# node generates code over the JIT size limit (measured at 256 features:
+# ~0.75 ms per row and core, interpreted).
+LONG_MOMENTS_MIN = 32
+
+
+def _edge_nodes(net: Network) -> set:
+    return {n for e in net.continuous_edges() for n in e}
+
+
+def _plan_groupings(net: Network, long_moments: bool = False) -> list[_Grouping]:
+    """One grouping per distinct key, with the aggregates it needs.
+
+    With ``long_moments`` the means / sds come from long_moment_stats, except
+    those of the ends of continuous edges (the coefficients need them here).
+    """
     cont = net.continuous_nodes()
     cidx = {c: i for i, c in enumerate(cont)}
     eidx = {e: i for i, e in enumerate(net.continuous_edges())}
+    keep = _edge_nodes(net)
 
     def mean_sd(c):
+        if long_moments and c not in keep:
+            return {}
         i = cidx[c]
         return {f"m{i}": f"avg({q(c)})", f"s{i}": f"stddev_samp({q(c)})"}
 
@@ -99,7 +117,7 @@ def _plan_groupings(net: Network) -> list[_Grouping]:
                 aggs.update(mean_sd(c))
             if aggs:
                 need((n,), aggs)
-        elif dpar:
+        elif dpar and (not long_moments or n in keep):
             need(dpar, mean_sd(n))
     return [_Grouping(k, a) for k, a in groups.items()]
 
@@ -109,13 +127,52 @@ def _gid(key, cols) -> int:
     return sum(1 << (m - 1 - i) for i, c in enumerate(cols) if c not in key)
 
 
-def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8) -> tuple[DataFrame, dict]:
+def moment_keys(net: Network) -> list[tuple[str, ...]]:
+    """Groupings under which continuous moments are needed: () for the roots,
+    the discrete parents of a continuous node, a discrete node with
+    continuous parents (its class moments)."""
+    keys = [()]
+    for n in net.nodes:
+        if not net.is_discrete(n) and net.discrete_parents(n):
+            keys.append(net.discrete_parents(n))
+        elif net.is_discrete(n) and net.continuous_parents(n):
+            keys.append((n,))
+    return list(dict.fromkeys(keys))
+
+
+def long_moment_stats(X: DataFrame, net: Network) -> tuple[DataFrame, dict]:
+    """Mean and sample sd of every continuous node under every moment key,
+    in long form: the row's continuous values are ``posexplode``d into
+    (__j, __v) and ONE grouping-sets aggregate over (key..., __j) computes
+    three functions, so the generated code does not grow with the width and
+    partial aggregation still combines map-side. Returns the result
+    (columns: key columns, __j, __gid, __mean, __sd) and key -> gid."""
+    cont = net.continuous_nodes()
+    keys = moment_keys(net)
+    order = {n: i for i, n in enumerate(net.nodes)}
+    dcols = sorted({c for k in keys for c in k}, key=order.__getitem__)
+    if len(dcols) > 62:
+        raise ValueError("more than 62 discrete columns in the moment aggregate")
+    arr = F.expr("array(" + ", ".join(q(c) for c in cont) + ")")
+    L = X.select(*[col(c) for c in dcols], F.posexplode(arr).alias("__j", "__v"))
+    aggs = [F.avg("__v").alias("__mean"), F.stddev_samp("__v").alias("__sd")]
+    cols = dcols + ["__j"]
+    if dcols:
+        out = L.groupingSets([list(k) + ["__j"] for k in keys], *[col(c) for c in cols]) \
+               .agg(F.grouping_id().alias("__gid"), *aggs)
+    else:
+        out = L.groupBy("__j").agg(*aggs).withColumn("__gid", F.lit(0).cast("long"))
+    return out, {k: _gid(k + ("__j",), cols) for k in keys}
+
+
+def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
+                      long_moments: bool = False) -> tuple[DataFrame, dict]:
     """Aggregate every grouping; one scan per ``max_sets_per_scan`` groupings.
 
     Returns the unioned small result (columns: discrete nodes, ``scan``,
     ``gid``, statistics) and a map key -> (scan, gid).
     """
-    groups = _plan_groupings(net)
+    groups = _plan_groupings(net, long_moments)
     order = {n: i for i, n in enumerate(net.nodes)}
     # deterministic: global first, then by key
     groups.sort(key=lambda g: (len(g.key) > 0, [order[c] for c in g.key]))
@@ -210,14 +267,20 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     """
     net = Network.from_schema(df.schema, edges, discrete, continuous)
     X = prepare_frame(df, net)
-    stats, where = shared_scan_stats(X, net, max_sets_per_scan)
+    long_mode = len(net.continuous_nodes()) >= LONG_MOMENTS_MIN
+    stats, where = shared_scan_stats(X, net, max_sets_per_scan, long_mode)
+    if long_mode:
+        lstats, lwhere = long_moment_stats(X, net)
     if persist:
         # The grouped statistics (a few rows per grouping, tiny next to the
         # data) are written once to the shared checkpoint folder. Exactly one
-        # job scans the training data; every parameter table below is derived
-        # from this table, so concurrent subquery stages can never rescan it.
+        # job scans the training data (two for a wide network: the long-form
+        # moments); every parameter table below is derived from these tables,
+        # so concurrent subquery stages can never rescan it.
         ensure_checkpoint_dir(X.sparkSession)
         stats = stats.checkpoint(eager=True)
+        if long_mode:
+            lstats = lstats.checkpoint(eager=True)
 
     def rows(key):
         s, g = where[tuple(key)]
@@ -251,12 +314,34 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             f"named_struct('node', {lit_s(node_of(d))}, 'scope', '{scope}', 'config', {cfg}, "
             f"'dim', {lit_s(d)}, 'mean', {m(d)}, 'sd', {sd(d)})" for d in dims) + "))")
 
-    if cont:
+    if long_mode:
+        names = "array(" + ", ".join(lit_s(c) for c in cont) + ")"
+
+        def lrows(key):
+            return lstats.filter(F.col("__gid") == lwhere[tuple(key)])
+
+        def long_rows(df, scope, node, cfg, dim, m0, s0):
+            return df.select(node.alias("node"), F.lit(scope).alias("scope"), cfg.alias("config"),
+                             dim.alias("dim"), F.coalesce("__mean", F.lit(m0)).alias("mean"),
+                             F.coalesce("__sd", F.lit(s0)).alias("sd"))
+        dim_name = F.expr(f"element_at({names}, __j + 1)")
+        g_parts.append(long_rows(lrows(()), "root", dim_name, config_expr(()), dim_name, None, 1.0)
+                       .withColumn("mean", F.col("mean").cast("double")))
+        for n in net.nodes:
+            dpar = net.discrete_parents(n)
+            if not net.is_discrete(n) and dpar:
+                g_parts.append(long_rows(lrows(dpar).filter(F.col("__j") == cidx[n]), "config", F.lit(n),
+                                         config_expr(dpar), F.lit(n), 0.0, 0.0))
+            cpar = net.continuous_parents(n)
+            if net.is_discrete(n) and cpar:
+                g_parts.append(long_rows(lrows((n,)).filter(F.col("__j").isin([cidx[c] for c in cpar])),
+                                         "class", F.lit(n), config_expr((n,)), dim_name, 0.0, 0.0))
+    elif cont:
         g_parts.append(glob.select(gauss_rows(
             "root", lambda y: y, config_sql(()), cont,
             lambda y: f"CAST(`__m{cidx[y]}` AS DOUBLE)",
             lambda y: f"CAST(coalesce(`__s{cidx[y]}`, 1.0D) AS DOUBLE)")))
-    for n in net.nodes:
+    for n in net.nodes if not long_mode else ():
         dpar = net.discrete_parents(n)
         if not net.is_discrete(n) and dpar:
             i = cidx[n]
@@ -279,7 +364,7 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     # ---- coef --------------------------------------------------------------
     c_parts = []
     if eidx:
-        names = [f"{a}{i}" for i in range(len(cont)) for a in ("m", "s")]
+        names = [f"{a}{cidx[c]}" for c in cont if c in _edge_nodes(net) for a in ("m", "s")]
         names += [f"{a}{e}" for e in range(len(eidx)) for a in ("cv", "px", "py")]
         # one-row global statistics, attached as a scalar subquery
         gsub = glob.select(F.struct(*[F.col("__" + a).alias(a) for a in names]).alias("g")).scalar()

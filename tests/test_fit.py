@@ -151,3 +151,28 @@ def test_chunked_scans_match_single_scan(spark):
     ga = sorted((r["node"], r["scope"], tuple(r["config"]), r["dim"], r["mean"], r["sd"]) for r in one.gauss.collect())
     gb = sorted((r["node"], r["scope"], tuple(r["config"]), r["dim"], r["mean"], r["sd"]) for r in many.gauss.collect())
     assert ga == gb
+
+
+@pytest.mark.parametrize("shape", ["fan_in", "mixed"])
+def test_long_form_moments_equal_wide_form(spark, shape):
+    import bayeslake.operators.fit as FIT
+    rows = [(i % 3, (i * 7) % 2, float(i % 11), float((i * 5) % 13) if i % 9 else None, float(i % 4) * 0.5)
+            for i in range(150)]
+    df = spark.createDataFrame(rows, "a int, label int, x double, y double, z double")
+    if shape == "fan_in":
+        edges = [("a", "label"), ("x", "label"), ("y", "label"), ("z", "label")]
+    else:       # config moments, class moments, a continuous edge kept wide
+        edges = [("a", "label"), ("x", "label"), ("label", "y"), ("a", "y"), ("x", "z")]
+
+    def params():
+        m = FIT.fit(df, edges)
+        return sorted((r["kind"], r["node"], r["config"], r["item"], r["stat"], round(r["value"], 9))
+                      for r in m.params().collect())
+    wide = params()
+    old = FIT.LONG_MOMENTS_MIN
+    FIT.LONG_MOMENTS_MIN = 1
+    try:
+        long = params()
+    finally:
+        FIT.LONG_MOMENTS_MIN = old
+    assert long == wide
