@@ -56,3 +56,33 @@ def class_density_udf(mean: np.ndarray, r: np.ndarray, c: np.ndarray):
                     x[i] = np.asarray(v, dtype=float)
         return pd.Series(list(class_log_density_sums(x, mean, r, c)))
     return sums
+
+
+def _stack(vals, width: int) -> np.ndarray:
+    if len(vals) and not any(v is None for v in vals):
+        return np.vstack(vals).astype(float)
+    out = np.full((len(vals), width), np.nan)
+    for i, v in enumerate(vals):
+        if v is not None:
+            out[i] = np.asarray(v, dtype=float)
+    return out
+
+
+def row_density_udf(width: int):
+    """pandas UDF: (values, means, sds), three ``array<double>`` of C entries
+    per row -> sum of the normal log densities, the moments being the row's
+    own (looked up by its class). NULL / NaN value: marginalised; sd <= 0 or
+    NULL with a value present: -inf; no moments for the row: NULL."""
+    const = 0.5 * np.log(2.0 * np.pi)
+
+    @pandas_udf("double")
+    def sums(xs: pd.Series, ms: pd.Series, ss: pd.Series) -> pd.Series:
+        x, m, s = (_stack(v.to_numpy(), width) for v in (xs, ms, ss))
+        missing = np.array([v is None for v in ms.to_numpy()], dtype=bool)
+        ok = s > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = (x - m) / np.where(ok, s, 1.0)
+            t = np.where(ok, -0.5 * z * z - np.log(np.where(ok, s, 1.0)) - const, -np.inf)
+        total = np.where(np.isnan(x), 0.0, t).sum(axis=1)
+        return pd.Series(np.where(missing, np.nan, total))   # NaN -> NULL
+    return sums

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_const, log_norm_const,
                                  log_p, neg_inf, pair_density_term, safe_log)
 from ..functions import sqltext as S
-from ..functions.vectorized import class_density_udf
+from ..functions.vectorized import class_density_udf, row_density_udf
 from .fit import Model
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -52,6 +52,10 @@ MAX_CANDIDATES = 1 << 16
 # 6 MiB; the reference's largest grid point, 250 features x 20 classes, is
 # 5000 cells); beyond it the candidate-array path is used.
 MAX_UDF_CELLS = 1 << 18
+# Wide discrete nodes scored with their own (looked-up) class moments: the
+# per-row density sum is one Arrow-batched evaluation instead of an
+# interpreted array fold.
+VECTORIZE_ROW_DENSITIES = True
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
@@ -169,6 +173,9 @@ class Scorer:
         fan-in folds over arrays so the plan does not grow with the width."""
         cpar = self.net.continuous_parents(node)
         tag = self._tag(node)
+        if self._wide(node) and field is F.col and VECTORIZE_ROW_DENSITIES:
+            # the row's own class moments (looked up): one Arrow-batched sum
+            return row_density_udf(len(cpar))(F.col(f"{tag}x"), F.col(f"{tag}M"), F.col(f"{tag}S"))
         if self._wide(node):
             M, SD, xs = field(f"{tag}M"), field(f"{tag}S"), F.col(f"{tag}x")
             return F.aggregate(F.sequence(F.lit(0), F.lit(len(cpar) - 1)), F.lit(0.0),

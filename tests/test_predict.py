@@ -240,3 +240,37 @@ def test_wide_output_uses_one_vectorized_stage(spark):
     plan = predict(m, df, "label")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "lambdafunction" in plan      # K=3 candidates: array path
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_wide_non_output_node_paths_agree(spark):
+    import bayeslake.operators.predict as P
+    rows = [tuple(float((i * (j + 3)) % 7) if (i + j) % 13 else None for j in range(10))
+            + (i % 3, (i * 5) % 2) for i in range(120)]
+    cols = [f"f{j}" for j in range(10)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", a int, label int")
+    m = fit(df, [(c, "a") for c in cols] + [("a", "label")])
+    q = df.union(df.limit(4).withColumn("a", F.lit(7)))          # unseen class of a
+
+    def run():
+        f = sorted((repr(tuple(r[:-1])), r[-1]) for r in node_factor(m, q, "a", default_prob=1e-4)
+                   .select(*cols, "a", "log_factor").collect())
+        p = sorted((repr(tuple(r[:-2])), r[-2], r[-1]) for r in predict(m, q, "label")
+                   .select(*cols, "a", "prediction", "score").collect())
+        return f, p
+    vec = run()
+    P.VECTORIZE_ROW_DENSITIES = False
+    try:
+        fold = run()
+        old = P.WIDE_FAN_IN
+        P.WIDE_FAN_IN = 100
+        try:
+            narrow = run()
+        finally:
+            P.WIDE_FAN_IN = old
+    finally:
+        P.VECTORIZE_ROW_DENSITIES = True
+    for other in (fold, narrow):
+        assert [k for k, _ in vec[0]] == [k for k, _ in other[0]]
+        assert [v for _, v in vec[0]] == pytest.approx([v for _, v in other[0]], rel=1e-12)
+        assert [r[1] for r in vec[1]] == [r[1] for r in other[1]]
+        assert [r[2] for r in vec[1]] == pytest.approx([r[2] for r in other[1]], rel=1e-12)
