@@ -500,8 +500,11 @@ class Scorer:
             # reference behaviour: 0..K-1, K = distinct values (NULL included) in the scored table
             k = df.agg((F.count_distinct(col(output))
                         + F.max(col(output).isNull().cast("int"))).alias("k")).scalar()
-            cands = F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))) \
-                     .otherwise(F.array().cast("array<int>"))
+            # K is only known at run time: the bound is checked in the plan
+            cands = (F.when(k > MAX_CANDIDATES, F.raise_error(F.lit(
+                        f"more than {MAX_CANDIDATES} candidates in the scored table")).cast("array<int>"))
+                     .when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int")))
+                     .otherwise(F.array().cast("array<int>")))
         else:
             raise ValueError("candidates must be 'train' or 'scored'")
         plan.df = plan.df.withColumn("__cands", cands)

@@ -274,3 +274,19 @@ def test_wide_non_output_node_paths_agree(spark):
         assert [v for _, v in vec[0]] == pytest.approx([v for _, v in other[0]], rel=1e-12)
         assert [r[1] for r in vec[1]] == [r[1] for r in other[1]]
         assert [r[2] for r in vec[1]] == pytest.approx([r[2] for r in other[1]], rel=1e-12)
+
+
+def test_candidate_domain_is_bounded(spark):
+    import bayeslake.operators.predict as P
+    rows = [(i % 3, float(i % 5)) for i in range(30)]
+    df = spark.createDataFrame(rows, "label int, x double")
+    m = fit(df, [("x", "label")])
+    old = (P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES)
+    P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES = 1, 2
+    try:
+        with pytest.raises(ValueError):
+            predict(m, df, "label")                         # training domain: checked when planning
+        with pytest.raises(Exception, match="candidates"):
+            predict(m, df, "label", candidates="scored").collect()   # scored domain: checked in the plan
+    finally:
+        P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES = old
