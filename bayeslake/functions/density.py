@@ -65,11 +65,6 @@ def class_density_term(x: Column, mean: Column, sd: Column) -> Column:
             .otherwise(log_normal_pdf(x, mean, sd)))
 
 
-def root_density_term(x: Column, mean: Column, sd: Column) -> Column:
-    """Log factor of a continuous root: sd = 0 gives factor 1 (it does not
-    depend on the class); a NULL value is marginalised."""
-    return (F.when(x.isNull() | sd.isNull() | (sd <= 0), F.lit(0.0))
-            .otherwise(log_normal_pdf(x, mean, sd)))
 
 
 def pair_density_term(x: Column, mx: Column, sx: Column,
@@ -90,9 +85,10 @@ def zscore(x: Column, mean: Column, sd: Column) -> Column:
 
 
 # ---- pre-transformed normal log density ---------------------------------------
-# The per-row form ``-0.5 ((x - m) r)^2 + c`` with the constants computed once
-# per parameter row (``r = 1/sd``, ``c = -ln sd - ln(2 pi)/2``) keeps the
-# generated code small and moves every logarithm out of the per-row path.
+# The per-row form ``-0.5 ((x - m) r)^2 + c`` (sqltext.pre_density) with the
+# constants computed once per parameter row (``r = 1/sd``,
+# ``c = -ln sd - ln(2 pi)/2``) keeps the generated code small and moves every
+# logarithm out of the per-row path.
 def inv_sd(sd: Column) -> Column:
     """1/sd, 0 when sd <= 0 or NULL."""
     return F.coalesce(F.when(sd > 0, F.lit(1.0) / sd), F.lit(0.0))
@@ -103,12 +99,6 @@ def log_norm_const(sd: Column, degenerate: Column) -> Column:
     return F.coalesce(F.when(sd > 0, -F.ln(sd) - F.lit(0.5 * LOG_2PI)), degenerate)
 
 
-def pre_density_term(x: Column, mean: Column, r: Column, c: Column) -> Column:
-    """ln phi(x) from pre-transformed constants; NULL x is marginalised (0).
-    With r = 0 the term is c: -inf gives factor 0, 0 gives factor 1."""
-    return F.coalesce(F.lit(-0.5) * F.pow((x - mean) * r, 2) + c, F.lit(0.0))
-
-
 def log_p(p: Column) -> Column:
     """ln p for a probability column, -inf for 0 (computed on parameter rows)."""
     return F.when(p > 0, F.ln(p)).otherwise(neg_inf())

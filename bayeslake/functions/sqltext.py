@@ -11,9 +11,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 LOG_2PI = math.log(2.0 * math.pi)
 NEG_INF = "CAST('-Infinity' AS DOUBLE)"
 
@@ -62,7 +59,3 @@ def class_density(x: str, mean: str, sd: str) -> str:
     z = f"(({x} - {mean}) / {sd})"
     return (f"CASE WHEN {x} IS NULL THEN 0.0D WHEN {sd} IS NULL OR {sd} <= 0 THEN {NEG_INF} "
             f"ELSE -0.5D * {z} * {z} - ln({sd}) - {num(0.5 * LOG_2PI)} END")
-
-
-def expr(text: str) -> Column:
-    return F.expr(text)
