@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import line_dedup, packing, sharding, token_files
+from . import line_dedup, packing, quality, sharding, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +29,20 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
                                   capacity=1024, end_id=2, keep_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, chain).drop("text")
+    return scored.withColumn("toxic", F.col("p_toxic") > toxicity.THRESHOLD)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit_rules(docs, read_table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select(
+        "doc_id", *[f"statistics.{c}" for c in quality.STATISTICS], "base_failed", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return (line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
@@ -40,7 +54,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op8_line_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op5_quality_rules, op8_line_dedup, op10_jump_sharding)}
 
 
 #: DuckDB SQL over the same tables, where SQL can express the result.

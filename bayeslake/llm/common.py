@@ -69,3 +69,11 @@ def text_key(text, *, salt: int = 0):
     """128-bit fingerprint of a text as two longs (a struct)."""
     t = F.coalesce(text, F.lit(""))
     return F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(salt + 1), t).alias("h2"))
+
+
+def bound(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column that is computed once per row. A plain column
+    would be copied into every place that uses it, filters and lambdas
+    included; the generator is a border that the optimizer does not move
+    expressions across."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
