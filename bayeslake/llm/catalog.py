@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import line_dedup, packing, quality, sharding, token_files, toxicity
+from . import embeddings, line_dedup, minhash, packing, quality, sharding, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,6 +43,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[f"statistics.{c}" for c in quality.STATISTICS], "base_failed", "kept")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), similarity=0.8)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return (line_dedup.dedup_lines(docs, min_chars=40, min_docs=5)
@@ -54,7 +62,8 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op5_quality_rules, op8_line_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op5_quality_rules,
+                                op6_minhash_near_dedup, op7_embedding_near_dedup, op8_line_dedup, op10_jump_sharding)}
 
 
 #: DuckDB SQL over the same tables, where SQL can express the result.

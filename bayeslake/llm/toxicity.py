@@ -87,7 +87,8 @@ def fit_linear(x: Rows, y: np.ndarray, weight: np.ndarray, *, l2: float = 1e-5,
     diagonal scaling (each weight's step follows how often its feature occurs)."""
     total = weight.sum()
     w = np.zeros(x.n_features + x.dense.shape[1] + 1)
-    if not total:
+    if not (weight * y).any():
+        w[-1] = -20.0           # nothing is labelled with the category: nothing has it
         return w
     hits = np.bincount(x.row, minlength=x.n) + (x.dense != 0).sum(axis=1) + 1.0
     scale = x.gradient(weight * hits * 0.25) / total            # bounds the curvature of each weight
