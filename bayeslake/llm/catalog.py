@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import embeddings, line_dedup, minhash, packing, quality, sharding, token_files, toxicity
+from . import embeddings, licences, line_dedup, minhash, packing, pieces, quality, sharding, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") > toxicity.THRESHOLD)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = model or tokenizer_path("piece_bpe_32k.model")
+    decoded = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit_rules(docs, read_table(spark, sf_dir, "labels"))
@@ -58,12 +65,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op5_quality_rules,
-                                op6_minhash_near_dedup, op7_embedding_near_dedup, op8_line_dedup, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op4_sentencepiece,
+                                op5_quality_rules, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_line_dedup,
+                                op9_licence_scan, op10_jump_sharding)}
 
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
