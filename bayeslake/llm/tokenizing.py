@@ -1,10 +1,12 @@
 """Whole-text encoding with the tokenizers library inside Python workers.
 
-A text is cut at white space into pieces that the tokenizer's own
-pre-tokenizer never joins, each distinct piece is encoded once per worker by
-the library, and a text's ids are the concatenation. Tokenizers of another
-shape, and texts with the four separators U+001C..U+001F on which the
-library and Python disagree about white space, are encoded whole.
+A text is cut at white space, and before punctuation that ends a plain word,
+into pieces that the tokenizer's own pre-tokenizer never joins. Each distinct
+piece is encoded once per worker by the library, and a text's ids are the
+concatenation. A plain word or a run of plain punctuation is one pre-token,
+so the library's model takes it directly. Tokenizers of another shape, and
+texts with the four separators U+001C..U+001F on which the library and Python
+disagree about white space, are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,18 +14,27 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces remembered by a worker; the memo is emptied when it is full.
-MEMO_PIECES = 1_000_000
+#: Pieces in each of a worker's two memos. When the young one is full it becomes
+#: the old one, so pieces that go on being used stay and the rest is forgotten.
+MEMO_PIECES = 250_000
 #: Longer pieces are encoded each time, so one memo entry stays small.
 MEMO_CHARS = 64
-#: Characters split at a time, which bounds the piece lists in memory.
+#: Characters split at a time, which bounds the piece lists in memory, and pieces
+#: given to the library at a time, which bounds its results.
 CHUNK_CHARS = 1 << 20
-
-_DROPPED = re.compile(r"\S+")                        # white space removed by the tokenizer
-_LEADING = re.compile(r" ?\S+|\s+(?!\S)|\s+")        # one space belongs to the next word
+LIBRARY_PIECES = 8192
+
+# Letters whose lower case is one letter and whose normal form is themselves.
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_MARK = "[.,;:!?]"
+# White space removed by the tokenizer; or one space belongs to the next word.
+_DROPPED = re.compile(rf"{_LETTER}+(?={_MARK}*(?:\s|\Z))|{_MARK}+(?=\s|\Z)|\S+")
+_LEADING = re.compile(rf" ?{_LETTER}+(?={_MARK}*(?:\s|\Z))|{_MARK}+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf" ?{_LETTER}+|{_MARK}+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -45,6 +56,14 @@ def split_pattern(spec: dict):
     return None
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves,
+    the others for the code points from 256 on."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
 
@@ -54,12 +73,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.pattern = split_pattern(json.load(f))
+        self.lower = self.pattern is _DROPPED
+        self.letters = byte_letters()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                for at in range(0, len(texts), LIBRARY_PIECES)
+                for e in self.tokenizer.encode_batch_fast(texts[at:at + LIBRARY_PIECES], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Distinct pieces: plain ones by the model, the others by the whole library."""
+        out = dict.fromkeys(pieces, b"")
+        other = []
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for w in pieces:
+            if _PLAIN.fullmatch(w):
+                token = (w.lower() if self.lower else w).encode().decode("latin-1").translate(letters)
+                out[w] = array("I", [t.id for t in tokenize(token)]).tobytes()
+            else:
+                other.append(w)
+        out.update(zip(other, self._library(other)))
+        return list(out.values())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
@@ -76,19 +113,21 @@ class Encoder:
         return out + self._chunk(chunk)
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         cut = [None if _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts]
-        new = set().union(*[c for c in cut if c is not None])
-        new.difference_update(memo)
-        new = list(new)
-        long = [w for w in new if len(w) > MEMO_CHARS]
-        memo.update(zip(new, self._library(new)))
+        need = set().union(*[c for c in cut if c is not None])
+        need.difference_update(memo)
+        known = need.intersection(old)
+        memo.update((w, old[w]) for w in known)
+        need = list(need - known)
+        memo.update(zip(need, self._pieces(need)))
         out = [self._library([t])[0] if c is None else b"".join(map(memo.__getitem__, c))
                for t, c in zip(texts, cut)]
-        for w in long:
-            del memo[w]
+        for w in need:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
         return out
 
 
