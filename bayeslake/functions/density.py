@@ -34,12 +34,6 @@ def log_const(p: float) -> Column:
     return F.lit(math.log(p) if p > 0 else NEG_INF)
 
 
-def normal_pdf(x: Column, mean: Column, sd: Column) -> Column:
-    """Normal density phi(x; mean, sd)."""
-    z = (x - mean) / sd
-    return F.exp(F.lit(-0.5) * z * z) / (F.lit(math.sqrt(2.0 * math.pi)) * sd)
-
-
 def log_normal_pdf(x: Column, mean: Column, sd: Column) -> Column:
     """ln phi(x; mean, sd); assumes sd > 0."""
     z = (x - mean) / sd

@@ -11,6 +11,8 @@ moments (K × C numbers, size-checked before the plan is built).
 
 from __future__ import annotations
 
+import types
+
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -41,24 +43,25 @@ def class_log_density_sums(x: np.ndarray, mean: np.ndarray, r: np.ndarray, c: np
 def class_density_udf(mean: np.ndarray, r: np.ndarray, c: np.ndarray):
     """pandas UDF: ``array<double>`` of C feature values -> ``array<double>``
     of the K class log-density sums (classes in the order of the rows of
-    ``mean``)."""
-    width = mean.shape[1]
+    ``mean``). Helpers are bound here, so they are pickled by value and the
+    workers need no copy of this package."""
+    width, kernel, stack = mean.shape[1], _by_value(class_log_density_sums), _by_value(_stack)
 
     @pandas_udf("array<double>")
     def sums(xs: pd.Series) -> pd.Series:
-        vals = xs.to_numpy()
-        if len(vals) and not any(v is None for v in vals):
-            x = np.vstack(vals).astype(float)          # inner NULLs arrive as NaN
-        else:
-            x = np.full((len(vals), width), np.nan)
-            for i, v in enumerate(vals):
-                if v is not None:
-                    x[i] = np.asarray(v, dtype=float)
-        return pd.Series(list(class_log_density_sums(x, mean, r, c)))
+        return pd.Series(list(kernel(stack(xs.to_numpy(), width), mean, r, c)))
     return sums
 
 
+def _by_value(f):
+    """A copy of a module-level function that belongs to no importable module."""
+    copy = types.FunctionType(f.__code__, {"np": np, "_CELLS_PER_CHUNK": _CELLS_PER_CHUNK}, f.__name__, f.__defaults__)
+    copy.__module__ = "__main__"
+    return copy
+
+
 def _stack(vals, width: int) -> np.ndarray:
+    """Rows of values; inner NULLs arrive as NaN, a NULL row becomes NaN."""
     if len(vals) and not any(v is None for v in vals):
         return np.vstack(vals).astype(float)
     out = np.full((len(vals), width), np.nan)
@@ -73,11 +76,11 @@ def row_density_udf(width: int):
     per row -> sum of the normal log densities, the moments being the row's
     own (looked up by its class). NULL / NaN value: marginalised; sd <= 0 or
     NULL with a value present: -inf; no moments for the row: NULL."""
-    const = 0.5 * np.log(2.0 * np.pi)
+    const, stack = 0.5 * np.log(2.0 * np.pi), _by_value(_stack)
 
     @pandas_udf("double")
     def sums(xs: pd.Series, ms: pd.Series, ss: pd.Series) -> pd.Series:
-        x, m, s = (_stack(v.to_numpy(), width) for v in (xs, ms, ss))
+        x, m, s = (stack(v.to_numpy(), width) for v in (xs, ms, ss))
         missing = np.array([v is None for v in ms.to_numpy()], dtype=bool)
         ok = s > 0
         with np.errstate(divide="ignore", invalid="ignore"):

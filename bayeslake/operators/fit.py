@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.density import col
@@ -50,10 +50,16 @@ def no_null_config(c: Column) -> Column:
     return F.forall(c, lambda v: v.isNotNull())
 
 
+def node_sql(net: Network, n: str) -> str:
+    """A node in its role type: discrete -> int, continuous -> double, where
+    NaN counts as missing (NULL) in training and in scoring."""
+    if net.is_discrete(n):
+        return f"CAST({q(n)} AS INT)"
+    return f"nullif(CAST({q(n)} AS DOUBLE), CAST('NaN' AS DOUBLE))"
+
+
 def prepare_frame(df: DataFrame, net: Network) -> DataFrame:
-    """Cast every node to its role type: discrete -> int, continuous -> double."""
-    return df.selectExpr(*[f"CAST({q(n)} AS {'INT' if net.is_discrete(n) else 'DOUBLE'}) AS {q(n)}"
-                           for n in net.nodes])
+    return df.selectExpr(*[f"{node_sql(net, n)} AS {q(n)}" for n in net.nodes])
 
 
 @dataclass
@@ -151,18 +157,52 @@ def long_moment_stats(X: DataFrame, net: Network) -> tuple[DataFrame, dict]:
     keys = moment_keys(net)
     order = {n: i for i, n in enumerate(net.nodes)}
     dcols = sorted({c for k in keys for c in k}, key=order.__getitem__)
-    if len(dcols) > 62:
-        raise ValueError("more than 62 discrete columns in the moment aggregate")
     arr = F.expr("array(" + ", ".join(q(c) for c in cont) + ")")
-    L = X.select(*[col(c) for c in dcols], F.posexplode(arr).alias("__j", "__v"))
     aggs = [F.avg("__v").alias("__mean"), F.stddev_samp("__v").alias("__sd")]
-    cols = dcols + ["__j"]
-    if dcols:
-        out = L.groupingSets([list(k) + ["__j"] for k in keys], *[col(c) for c in cols]) \
-               .agg(F.grouping_id().alias("__gid"), *aggs)
-    else:
-        out = L.groupBy("__j").agg(*aggs).withColumn("__gid", F.lit(0).cast("long"))
-    return out, {k: _gid(k + ("__j",), cols) for k in keys}
+    parts, where = [], {}
+    for s, chunk in enumerate(_chunks(keys, len(keys), MAX_SET_COLUMNS - 1)):
+        dcols = sorted({c for k in chunk for c in k}, key=order.__getitem__)
+        L = X.select(*[col(c) for c in dcols], F.posexplode(arr).alias("__j", "__v"))
+        cols = dcols + ["__j"]
+        if len(chunk) > 1:
+            out = L.groupingSets([list(k) + ["__j"] for k in chunk], *[col(c) for c in cols]) \
+                   .agg(F.grouping_id().alias("__gid"), *aggs)
+            where.update({k: (s, _gid(k + ("__j",), cols)) for k in chunk})
+        else:
+            out = L.groupBy(*[col(c) for c in cols]).agg(*aggs).withColumn("__gid", F.lit(0).cast("long"))
+            where[chunk[0]] = (s, 0)
+        parts.append(out.withColumn("__scan", F.lit(s)))
+    return _union(parts, missing=True), where
+
+
+# GROUPING SETS numbers its sets with one bit per column of a 64-bit id.
+MAX_SET_COLUMNS = 60
+# The scan number of groupings that come from long_counts.
+LONG_SCAN = -1
+
+
+def _chunks(keys: list[tuple[str, ...]], max_sets: int, max_columns: int) -> list[list[tuple[str, ...]]]:
+    """Groupings that share one scan: at most ``max_sets`` of them over at
+    most ``max_columns`` columns; a grouping of more columns stands alone."""
+    out: list[list[tuple[str, ...]]] = []
+    cols: set[str] = set()
+    for k in keys:
+        if out and len(out[-1]) < max_sets and len(cols | set(k)) <= max_columns:
+            out[-1].append(k)
+            cols |= set(k)
+        else:
+            out.append([k])
+            cols = set(k)
+    return out
+
+
+def long_counts(X: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
+    """(__set, __key array<int>, __n): rows per value of every grouping, in
+    one scan however many groupings and columns there are. A row becomes one
+    (set, values) pair per grouping; equal pairs combine map-side."""
+    sets = ", ".join(f"named_struct('s', {i}, 'k', {config_sql(k)})" for i, k in enumerate(keys))
+    return (X.select(F.expr(f"inline(array({sets}))").alias("__set", "__key"))
+            .groupBy("__set", "__key").agg(F.count(F.lit(1)).alias("__n")))
 
 
 def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
@@ -170,35 +210,45 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
     """Aggregate every grouping; one scan per ``max_sets_per_scan`` groupings.
 
     Returns the unioned small result (columns: discrete nodes, ``scan``,
-    ``gid``, statistics) and a map key -> (scan, gid).
+    ``gid``, statistics) and a map key -> (scan, gid). Groupings of which only
+    the row count is wanted, when there are more than ``max_sets_per_scan`` in
+    all, come from ``long_counts`` instead: one scan for all of them.
     """
     groups = _plan_groupings(net, long_moments)
+    if len(groups) > max_sets_per_scan:
+        counted = [g for g in groups if len(g.aggs) == 1]
+        groups = [g for g in groups if len(g.aggs) > 1]
+    else:
+        counted = []
     order = {n: i for i, n in enumerate(net.nodes)}
     # deterministic: global first, then by key
     groups.sort(key=lambda g: (len(g.key) > 0, [order[c] for c in g.key]))
-    chunks = [groups[i:i + max_sets_per_scan] for i in range(0, len(groups), max_sets_per_scan)]
+    by_key = {g.key: g for g in groups}
     parts = []
-    for s, chunk in enumerate(chunks):
+    for s, keys in enumerate(_chunks(list(by_key), max_sets_per_scan, MAX_SET_COLUMNS)):
+        chunk = [by_key[k] for k in keys]
         cols = sorted({c for g in chunk for c in g.key}, key=order.__getitem__)
-        if len(cols) > 63:
-            raise ValueError("more than 63 discrete columns in one scan; lower max_sets_per_scan")
         aggs: dict[str, str] = {}
         for g in chunk:
             aggs.update(g.aggs)
             g.scan = s
-            g.gid = _gid(g.key, cols)
+            g.gid = _gid(g.key, cols) if len(chunk) > 1 else 0
         # prefixed: no clash with node names
         exprs = [F.expr(f"{e} AS {q('__' + a)}") for a, e in aggs.items()]
-        if cols:
+        if len(chunk) > 1:
             agg = X.groupingSets([list(g.key) for g in chunk], *[col(c) for c in cols]) \
                    .agg(F.grouping_id().alias("__gid"), *exprs)
+        elif cols:
+            agg = X.groupBy(*[col(c) for c in cols]).agg(*exprs).withColumn("__gid", F.lit(0).cast("long"))
         else:
             agg = X.agg(*exprs).withColumn("__gid", F.lit(0).cast("long"))
         parts.append(agg.withColumn("__scan", F.lit(s)))
-    stats = parts[0]
-    for p in parts[1:]:
-        stats = stats.unionByName(p, allowMissingColumns=True)
-    return stats, {g.key: (g.scan, g.gid) for g in groups}
+    if counted:
+        parts.append(long_counts(X, [g.key for g in counted]).select(
+            "__key", "__n", F.col("__set").cast("long").alias("__gid"), F.lit(LONG_SCAN).alias("__scan")))
+        for i, g in enumerate(counted):
+            g.scan, g.gid = LONG_SCAN, i
+    return _union(parts, missing=True), {g.key: (g.scan, g.gid) for g in groups + counted}
 
 
 @dataclass
@@ -233,12 +283,14 @@ class Model:
         return a.unionByName(b).unionByName(c)
 
     def save(self, path: str) -> None:
-        self.cpt.write.mode("overwrite").parquet(f"{path}/cpt")
-        self.gauss.write.mode("overwrite").parquet(f"{path}/gauss")
-        self.coef.write.mode("overwrite").parquet(f"{path}/coef")
+        """Write the model to a folder that does not hold one yet. An existing
+        model is never overwritten: it may be the one that is being read."""
         spark = self.cpt.sparkSession
+        self.cpt.write.mode("errorifexists").parquet(f"{path}/cpt")
+        self.gauss.write.mode("errorifexists").parquet(f"{path}/gauss")
+        self.coef.write.mode("errorifexists").parquet(f"{path}/coef")
         spark.createDataFrame([(self.network.to_json(),)], "network string") \
-            .coalesce(1).write.mode("overwrite").json(f"{path}/network")
+            .coalesce(1).write.mode("errorifexists").json(f"{path}/network")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Model":
@@ -273,10 +325,11 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         lstats, lwhere = long_moment_stats(X, net)
     if persist:
         # The grouped statistics (a few rows per grouping, tiny next to the
-        # data) are written once to the shared checkpoint folder. Exactly one
-        # job scans the training data (two for a wide network: the long-form
-        # moments); every parameter table below is derived from these tables,
-        # so concurrent subquery stages can never rescan it.
+        # data) are written once to the shared checkpoint folder: one scan per
+        # chunk of groupings with moments, one for the counts of many
+        # families, and one for the long-form moments of a wide network. Every
+        # parameter table below is derived from these tables, so concurrent
+        # subquery stages never rescan the training data.
         ensure_checkpoint_dir(X.sparkSession)
         stats = stats.checkpoint(eager=True)
         if long_mode:
@@ -286,6 +339,16 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         s, g = where[tuple(key)]
         return stats.filter((F.col("__scan") == s) & (F.col("__gid") == g))
 
+    def family(dpar, x):
+        """(config, value, n) of a discrete node."""
+        key = dpar + (x,)
+        if where[key][0] == LONG_SCAN:
+            config, value = F.slice("__key", 1, len(dpar)), F.get("__key", F.lit(len(dpar)))
+        else:
+            config, value = config_expr(dpar), col(x)
+        return rows(key).select(F.lit(x).alias("node"), config.alias("config"), value.alias("value"),
+                                F.col("__n").alias("n"))
+
     cont = net.continuous_nodes()
     cidx = {c: i for i, c in enumerate(cont)}
     eidx = {e: i for i, e in enumerate(net.continuous_edges())}
@@ -295,13 +358,13 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     fams = []
     for x in net.discrete_nodes():
         dpar = net.discrete_parents(x)
-        fams.append(rows(dpar + (x,)).select(
-            F.lit(x).alias("node"), config_expr(dpar).alias("config"),
-            col(x).alias("value"), F.col("__n").alias("n")))
+        fams.append(family(dpar, x))
     if fams:
         cpt = _union(fams).filter(no_null_config(F.col("config")))
-        cpt = (cpt.withColumn("n_config", F.sum("n").over(Window.partitionBy("node", "config")))
-               .filter(F.col("value").isNotNull())
+        # two-level: totals combine map-side, so a root's many values never meet in one task
+        totals = cpt.groupBy("node", "config").agg(F.sum("n").alias("n_config"))
+        cpt = (cpt.filter(F.col("value").isNotNull()).join(totals, ["node", "config"])
+               .select("node", "config", "value", "n", "n_config")
                .withColumn("p", F.col("n") / F.col("n_config")))
     else:
         cpt = _empty(X.sparkSession, "node string, config array<int>, value int, n bigint, n_config bigint, p double")
@@ -318,7 +381,8 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
         names = "array(" + ", ".join(lit_s(c) for c in cont) + ")"
 
         def lrows(key):
-            return lstats.filter(F.col("__gid") == lwhere[tuple(key)])
+            s, g = lwhere[tuple(key)]
+            return lstats.filter((F.col("__scan") == s) & (F.col("__gid") == g))
 
         def long_rows(df, scope, node, cfg, dim, m0, s0):
             return df.select(node.alias("node"), F.lit(scope).alias("scope"), cfg.alias("config"),
@@ -417,8 +481,8 @@ def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
 
 
-def _union(parts):
+def _union(parts, missing: bool = False):
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=missing)
     return out

@@ -29,7 +29,7 @@ from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_c
                                  log_p, neg_inf, pair_density_term, safe_log)
 from ..functions import sqltext as S
 from ..functions.vectorized import class_density_udf, row_density_udf
-from .fit import Model
+from .fit import Model, node_sql
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 # Above this many continuous parents, densities fold over arrays instead of
@@ -43,9 +43,6 @@ WIDE_FAN_IN = 8
 # with more candidates). Larger domains use the candidate-array path.
 MAX_FLAT_CANDIDATES = 8
 MAX_FLAT_TERMS = 20
-# Upper bound on the candidate domain: every scored row carries one score
-# per candidate, so the candidate list (a one-row parameter) must stay small.
-MAX_CANDIDATES = 1 << 16
 # Wide fan-in: the class densities of all candidates are computed per Arrow
 # batch (functions.vectorized) when the class moments, K x C numbers, stay
 # under this many cells (3 x 8 bytes each travel in the task closure: at most
@@ -244,19 +241,18 @@ class Scorer:
         net, m, tag = self.net, self.m, self._tag(output)
         dpar, cpar = net.discrete_parents(output), net.continuous_parents(output)
         cp = m.cpt.filter(F.col("node") == output)
-        pmap = F.map_from_entries(F.collect_list(F.struct("value", "p")))
+        t = self._dense_log_p(cp, [F.get(F.col("config"), i) for i in range(len(dpar))],
+                              self._cands, f"{tag}lp")
         if dpar:
-            t = cp.groupBy(*[F.get(F.col("config"), i).alias(d) for i, d in enumerate(dpar)]) \
-                  .agg(pmap.alias(f"{tag}pm"))
-            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), 8, self.limit)
-            plan.tmp.append(f"{tag}pm")
-            pm = F.col(f"{tag}pm")
+            t = t.select(*[F.col(f"__k{i}").alias(d) for i, d in enumerate(dpar)], f"{tag}lp")
+            # one dense row per configuration: as wide as there are candidates
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), self._n_cands(output), self.limit)
         else:
             # one-row parameter: a scalar subquery, held in a column because
             # subqueries may not appear inside higher-order functions
-            plan.df = plan.df.withColumn(f"{tag}pm", cp.agg(pmap.alias("pm")).scalar())
-            plan.tmp.append(f"{tag}pm")
-            pm = F.col(f"{tag}pm")
+            plan.df = plan.df.withColumn(f"{tag}lp", t.scalar())
+        plan.tmp.append(f"{tag}lp")
+        lp = F.col(f"{tag}lp")
         udf_ks = None
         if cpar and self._wide(output):
             udf_ks = self.train_domain(output, max(1, MAX_UDF_CELLS // len(cpar)))
@@ -285,15 +281,15 @@ class Scorer:
                 plan.tmp.append(f"{tag}ma")
             else:
                 plan.df = plan.df.withColumn(f"{tag}mm", mm.scalar())
-                # align the class moments with the candidate array once per row
+                # align the class moments with the candidate array
                 plan.df = plan.df.withColumn(f"{tag}ma", F.transform(cands, lambda k: F.col(f"{tag}mm")[k]))
                 plan.tmp += [f"{tag}mm", f"{tag}ma"]
         is_root = not dpar and not cpar
 
         def term(k: Column, i: Column) -> Column:
-            p = pm[k]
+            p = F.get(lp, i)
             if is_root:
-                return F.when(p.isNull(), neg_inf()).otherwise(safe_log(p))
+                return F.coalesce(p, neg_inf())
             if udf_ks and self._train_cands is not None:
                 dens = F.col(f"{tag}D")[i]        # same sorted domain as the candidates
             elif udf_ks:
@@ -302,7 +298,7 @@ class Scorer:
             else:
                 ma = F.col(f"{tag}ma")[i] if cpar else None
                 dens = self._density_sum(output, lambda name: ma[name])
-            return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
+            return F.when(p.isNull(), self.log_default).otherwise(p + dens)
         plan.dep.append(term)
 
     def child_term(self, plan: _Plan, node: str, output: str) -> None:
@@ -311,28 +307,35 @@ class Scorer:
         dpar, cpar = net.discrete_parents(node), net.continuous_parents(node)
         pos = dpar.index(output)
         others = [d for d in dpar if d != output]
-        t = m.cpt.filter(F.col("node") == node).groupBy(
-            *[F.get(F.col("config"), dpar.index(d)).alias(d) for d in others],
-            F.col("value").alias(node)).agg(F.map_from_entries(F.collect_list(
-                F.struct(F.get(F.col("config"), pos), F.col("p")))).alias(f"{tag}pm"))
+        cp = m.cpt.filter(F.col("node") == node)
+        # here the candidate is one of the parents: ln P(value | candidate, others)
+        keys = [F.get(F.col("config"), dpar.index(d)) for d in others] + [F.col("value")]
+        per = cp.select(*[k.alias(f"__o{i}") for i, k in enumerate(keys)],
+                        F.get(F.col("config"), pos).alias("value"), "p")
+        t = self._dense_log_p(per, [F.col(f"__o{i}") for i in range(len(keys))], self._cands, f"{tag}lp")
+        t = t.select(*[F.col(f"__k{i}").alias(d) for i, d in enumerate(others + [node])], f"{tag}lp")
         if cpar:
             t = t.join(self._class_moments(node, node), on=[node], how="left")
             self._row_values(plan, node)
         plan.df = lookup_join(plan.df, t, others + [node], m.rows("cpt", node),
-                              8 + 2 * len(cpar), self.limit)
+                              self._n_cands(output) + 2 * len(cpar), self.limit)
         plan.tmp += [c for c in t.columns if c.startswith(tag)]
         dens = self._density_sum(node, F.col)
         if cpar:
             plan.df = plan.df.withColumn(f"{tag}d", dens)
             plan.tmp.append(f"{tag}d")
             dens = F.col(f"{tag}d")
-        pm = F.col(f"{tag}pm")
+        lp = F.col(f"{tag}lp")
 
         def term(k: Column, i: Column) -> Column:
-            p = pm[k]
-            return F.when(p.isNull(), self.log_default).otherwise(safe_log(p) + dens)
+            p = F.get(lp, i)
+            return F.when(p.isNull(), self.log_default).otherwise(p + dens)
         plan.dep.append(term)
 
+    def _n_cands(self, output: str) -> int:
+        """Values of the output in the model: the width of a dense row."""
+        return max(8, self.m.rows("cpt", output))
+
     def roots_term(self, plan: _Plan, roots: list[str]) -> None:
         """Log factors (F10) of many continuous roots in one Arrow-batched
         evaluation: their sum as generated code would exceed the JIT limit.
@@ -340,7 +343,7 @@ class Scorer:
         g = (self.m.gauss.filter((F.col("scope") == "root") & F.col("node").isin(roots))
              .select("node", "mean", inv_sd(F.col("sd")).alias("r"),
                      log_norm_const(F.col("sd"), F.lit(0.0)).alias("c")))
-        got = {r["node"]: r for r in g.limit(len(roots)).collect()}
+        got = {r["node"]: r for r in g.collect()}          # one row per root of the network
         mat = [np.array([[float(got[n][a]) if n in got and got[n][a] is not None else 0.0
                           for n in roots]]) for a in ("mean", "r", "c")]
         plan.df = plan.df.withColumn("__blroots", class_density_udf(*mat)(
@@ -376,17 +379,10 @@ class Scorer:
 
     def train_domain(self, output: str, limit: int) -> list[int] | None:
         """Sorted training domain of the output if it has at most ``limit``
-        values (at most limit + 1 values of the model are read), else None.
-        Raises when the domain exceeds MAX_CANDIDATES."""
+        values (at most limit + 1 values of the model are read), else None."""
         cp = self.m.cpt.filter(F.col("node") == output).select("value").distinct()
         ks = sorted(int(r[0]) for r in cp.limit(limit + 1).collect())
-        if len(ks) <= limit:
-            return ks
-        n = cp.count()
-        if n > MAX_CANDIDATES:
-            raise ValueError(f"output {output!r} has {n} classes; at most {MAX_CANDIDATES} "
-                             "candidates can be scored per row")
-        return None
+        return ks if len(ks) <= limit else None
 
     @staticmethod
     def _log_p() -> Column:
@@ -396,21 +392,39 @@ class Scorer:
         """Class moments of the continuous parents of ``node`` for each
         candidate, pre-transformed for ``-0.5 ((x - m) r)^2 + c`` with
         ``r = 1/sd``, ``c = -ln sd - ln(2 pi)/2`` (sd <= 0 or missing: r = 0,
-        c = -inf, i.e. factor 0). At most MAX_FLAT_TERMS rows of the model are
-        read (the flat path's budget), and become literals of the plan: the
-        generated code stays small enough to be JIT-compiled."""
+        c = -inf, i.e. factor 0). The rows of exactly these candidates are
+        read, at most MAX_FLAT_TERMS of them on the flat path and
+        MAX_UDF_CELLS on the wide one; the table may hold other classes, seen
+        only with a NULL parent."""
         cpar = self.net.continuous_parents(node)
         g = (self.m.gauss.filter((F.col("node") == node) & (F.col("scope") == "class"))
              .select(F.get(F.col("config"), 0).alias("k"), "dim", "mean",
-                     inv_sd(F.col("sd")).alias("r"), log_norm_const(F.col("sd"), neg_inf()).alias("c")))
-        got = {(r["k"], r["dim"]): r for r in g.limit(len(ks) * len(cpar)).collect()}
-        out = {}
-        for j, k in enumerate(ks):
-            for i, c in enumerate(cpar):
-                r = got.get((k, c))
-                out[(j, i)] = ((r["mean"] if r["mean"] is not None else 0.0, r["r"], r["c"])
-                               if r is not None else (0.0, 0.0, NEG_INF))
-        return out
+                     inv_sd(F.col("sd")).alias("r"), log_norm_const(F.col("sd"), neg_inf()).alias("c"))
+             .filter(F.col("k").isin(ks)))
+        got = {(r["k"], r["dim"]): r for r in g.collect()}
+        missing = [(k, c) for k in ks for c in cpar if (k, c) not in got]
+        if missing:
+            raise ValueError(f"the model has no moments of {node!r} for {missing[:3]}")
+        return {(j, i): (got[k, c]["mean"], got[k, c]["r"], got[k, c]["c"])
+                for j, k in enumerate(ks) for i, c in enumerate(cpar)}
+
+    def _dense_log_p(self, cp: DataFrame, keys: list, cands: Column, name: str) -> DataFrame:
+        """One row per value of ``keys`` with ``name``: ln p of every candidate
+        in order, NULL where the family is unseen. Scored rows then read the
+        i-th entry instead of searching a map for each candidate."""
+        if not keys and self._train_cands is not None:
+            # the candidates are the observed values themselves
+            lps = F.array_sort(F.collect_list(F.struct("value", log_p(F.col("p")).alias("lp"))))
+            return cp.agg(F.transform(lps, lambda e: e["lp"]).alias(name))
+        at = [F.col(f"__k{i}") for i in range(len(keys))]
+        seen = cp.select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)], F.col("value").alias("__v"),
+                         log_p(F.col("p")).alias("__lp"))
+        one = seen.select(*at).distinct() if keys else cp.sparkSession.range(1).select()
+        grid = one.withColumn("__c", cands).select(*at, F.posexplode("__c").alias("__i", "__v"))
+        on = [f"__k{i}" for i in range(len(keys))] + ["__v"]
+        lps = F.array_sort(F.collect_list(F.struct("__i", "__lp")))
+        return (grid.join(seen, on, "left").groupBy(*at).agg(lps.alias("__l"))
+                .select(*at, F.transform("__l", lambda e: e["__lp"]).alias(name)))
 
     def output_term_flat(self, plan: _Plan, output: str, ks: list[int]) -> None:
         """Log factor of the output node for each literal candidate (F9 / F11)."""
@@ -469,8 +483,7 @@ class Scorer:
 
     # ---- assembly --------------------------------------------------------------
     def prepare(self, df: DataFrame, skip: str | None = None) -> DataFrame:
-        casts = {n: F.expr(f"CAST({S.q(n)} AS {'INT' if self.net.is_discrete(n) else 'DOUBLE'})")
-                 for n in self.net.nodes if n != skip or n in df.columns}
+        casts = {n: F.expr(node_sql(self.net, n)) for n in self.net.nodes if n != skip or n in df.columns}
         return df.withColumns(casts)
 
     def score_plan(self, df: DataFrame, output: str, candidates: str = "train") -> tuple[_Plan, Column]:
@@ -500,13 +513,11 @@ class Scorer:
             # reference behaviour: 0..K-1, K = distinct values (NULL included) in the scored table
             k = df.agg((F.count_distinct(col(output))
                         + F.max(col(output).isNull().cast("int"))).alias("k")).scalar()
-            # K is only known at run time: the bound is checked in the plan
-            cands = (F.when(k > MAX_CANDIDATES, F.raise_error(F.lit(
-                        f"more than {MAX_CANDIDATES} candidates in the scored table")).cast("array<int>"))
-                     .when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int")))
+            cands = (F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int")))
                      .otherwise(F.array().cast("array<int>")))
         else:
             raise ValueError("candidates must be 'train' or 'scored'")
+        self._cands = cands
         plan.df = plan.df.withColumn("__cands", cands)
         plan.tmp.append("__cands")
         cands = F.col("__cands")
@@ -537,11 +548,19 @@ def _sum(terms: list) -> Column:
     return out
 
 
+def _no_clash(df: DataFrame, *names: str) -> None:
+    """Result columns never replace a column of the scored table."""
+    taken = sorted(set(names) & set(df.columns))
+    if taken:
+        raise ValueError(f"the scored table has columns {taken}, which the result adds; rename them first")
+
+
 def candidate_scores(model: Model, df: DataFrame, output: str, default_prob: float = 0.0,
                      candidates: str = "train",
                      max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """``df`` plus ``candidates array<int>`` and ``scores array<double>``
     (log joint score of each candidate, aligned)."""
+    _no_clash(df, "candidates", "scores")
     sc = Scorer(model, default_prob, max_broadcast_bytes)
     plan, cands = sc.score_plan(df, output, candidates)
     indep = _sum(plan.indep)
@@ -560,6 +579,7 @@ def predict(model: Model, df: DataFrame, output: str, default_prob: float = 0.0,
             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """``df`` plus ``prediction int`` (arg-max candidate, lowest on ties)
     and ``score double`` (its log joint score)."""
+    _no_clash(df, "prediction", "score")
     sc = Scorer(model, default_prob, max_broadcast_bytes)
     plan, cands = sc.score_plan(df, output, candidates)
     out = plan.df.withColumn("__indep", _sum(plan.indep))
@@ -589,6 +609,7 @@ def predict_with_labels(model: Model, df: DataFrame, output: str,
 def node_factor(model: Model, df: DataFrame, node: str, default_prob: float = 0.0,
                 max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """``df`` plus ``log_factor``: the node's factor for the row's own values."""
+    _no_clash(df, "log_factor")
     sc = Scorer(model, default_prob, max_broadcast_bytes)
     plan = _Plan(sc.prepare(df))
     sc.attach_globals(plan)

@@ -5,8 +5,8 @@ the DuckDB oracle in ``oracle.py``. Doubles are rounded to 6 places.
 
 Networks (codes: rf = l_returnflag, ls = l_linestatus, both dense-ranked
 from 0). Every query fits on and scores the whole table, except
-``worksheet_evaluate`` (the reference's harness: train = key % 5 <> 0,
-test = key % 5 = 0) and ``split_key``, whose feature is that split:
+``worksheet_evaluate`` (the train / evaluate harness, with a random split),
+``split_random`` and ``split_key``, whose feature is the split:
 
     G1 lineitem  ls -> rf, l_linenumber -> rf                       (discrete)
     G2 lineitem  l_quantity, l_extendedprice, l_discount, l_tax, ls -> rf (hybrid fan-in)
@@ -16,7 +16,9 @@ test = key % 5 = 0) and ``split_key``, whose feature is that split:
     G6 embeddings  f0..f63 -> label                                 (wide fan-in)
     G7 orders  prio -> o_totalprice -> status                       (chain)
     GS labels+documents  lang, source, n_chars -> quality            (sparse families)
-    GD labels+documents  quality, lang, source -> n_chars            (degenerate groups)
+    GD labels+documents  quality, lang, source, half -> n_chars      (degenerate groups)
+    GN lineitem  ls (NULL for one class), l_quantity, l_discount -> rf
+    GM lineitem  l_linenumber, ls -> bucket                          (500 classes)
 """
 
 from __future__ import annotations
@@ -65,13 +67,14 @@ G6 = (G6_COLS, fan_in_edges(G6_COLS, "label"), "label")
 G7 = (["prio", "o_totalprice", "status"], [("prio", "o_totalprice"), ("o_totalprice", "status")], "status")
 GS = (["lang", "source", "n_chars", "quality"],
       [("lang", "quality"), ("source", "quality"), ("n_chars", "quality")], "quality")
-GD = (["quality", "lang", "source", "n_chars"],
-      [("quality", "n_chars"), ("lang", "n_chars"), ("source", "n_chars")], None)
+GD = (["quality", "lang", "source", "n_chars", "half"],
+      [("quality", "n_chars"), ("lang", "n_chars"), ("source", "n_chars"), ("half", "n_chars")], None)
 
 
 def labelled_docs(spark, sf) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source",
                                                     F.col("n_chars").cast("double").alias("n_chars"))
+    docs = docs.withColumn("half", F.col("n_chars") / 2)
     lab = read_table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     return encode_codes(lab.join(docs, "doc_id"), ["lang", "source"])
 
@@ -97,24 +100,12 @@ def _source(spark, sf, g):
     return orders_coded(spark, sf), "o_orderkey"
 
 
-def fitted(spark, sf, g, base: DataFrame | None = None,
-           split: bool = False) -> tuple[Model, DataFrame, DataFrame]:
-    """Fit network ``g``; return (model, train, scored).
-
-    By default the model is fitted on every row of the table and every row
-    is scored. ``split=True`` is the reference's harness (M8/M9): fit on the
-    80% training split and score the other 20%.
-    """
+def fitted(spark, sf, g) -> tuple[Model, DataFrame, DataFrame]:
+    """Fit network ``g`` on every row of its table; (model, train, scored),
+    where both frames are the whole table."""
     cols, edges, _ = g
-    if base is None:
-        base, key = _source(spark, sf, g)
-    else:
-        key = "l_orderkey"
-    if split:
-        train, test = split_key(base, key)
-    else:
-        train, test = base, base
-    return fit(train.select(*cols), edges), train, test
+    table, _ = _source(spark, sf, g)
+    return fit(table.select(*cols), edges), table, table
 
 
 # ---- milestone 1: discrete slice (G1) -----------------------------------------------
@@ -253,10 +244,14 @@ def q_split_key(spark, sf):
                          .select(F.lit("test").alias("part"), "n_rows")))
 
 
+ROW_KEY = ["l_orderkey", "l_linenumber"]
+
+
 def q_split_random(spark, sf):
-    li = lineitem_coded(spark, sf).select("l_orderkey", "l_linenumber", *G2_COLS)
-    train, _ = split_random(li)
-    return train
+    li = lineitem_coded(spark, sf).select(*ROW_KEY, *G2_COLS)
+    train, test = split_random(li, ROW_KEY)
+    return (train.withColumn("side", F.lit("train"))
+            .unionByName(test.withColumn("side", F.lit("test"))))
 
 
 # ---- milestone 3: Gaussian parameters ------------------------------------------------------
@@ -453,10 +448,14 @@ def q_model_params(spark, sf):
 
 
 def worksheet_evaluate(spark, sf):
-    """CSV-shaped table -> z-score (all rows) -> split -> fit -> predict -> metrics."""
-    li = lineitem_coded(spark, sf).select("l_orderkey", *G2_COLS)
-    z = standardize(li)
-    m, _, test = fitted(spark, sf, G2, base=z, split=True)
+    """CSV with inferred types -> fan-in from its columns -> z-score (all rows)
+    -> random split, both sides kept -> fit -> predict -> metrics."""
+    csv = csv_round_trip(lineitem_coded(spark, sf).select(*ROW_KEY, *G2_COLS))
+    features = [c for c in csv.columns if c not in ROW_KEY]
+    z = standardize(csv)
+    # both sides are written once: fit and predict read the same rows
+    train, test = (part.checkpoint() for part in split_random(z, ROW_KEY))
+    m = fit(train.select(*features), fan_in_edges(features, "rf"))
     p = predict(m, test, "rf", default_prob=1e-5)
     # score once: the confusion table (classes^2 rows) is checkpointed and both
     # the per-class metrics and the accuracy are read from it
@@ -465,6 +464,46 @@ def worksheet_evaluate(spark, sf):
     return _rounded_metrics(per_label_from_confusion(conf)).withColumn("accuracy", r6(acc))
 
 
+# ---- cases of the first review ----------------------------------------------------------
+GN = (["ls", "l_quantity", "l_discount", "rf"], [("ls", "rf"), ("l_quantity", "rf"), ("l_discount", "rf")], "rf")
+
+
+def q_predict_null_parent(spark, sf):
+    """One class (rf = 0) occurs only in rows whose discrete parent is NULL:
+    it has class moments but is no candidate."""
+    li = lineitem_coded(spark, sf).withColumn("ls", F.when(F.col("rf") != 0, F.col("ls")))
+    cols, edges, out = GN
+    return _pred_out(predict(fit(li.select(*cols), edges), li, out, default_prob=1e-5),
+                     ["l_orderkey", "l_linenumber", "ls", "rf"])
+
+
+GM = (["l_linenumber", "ls", "bucket"], [("l_linenumber", "bucket"), ("ls", "bucket")], "bucket")
+
+
+def q_predict_many_classes(spark, sf):
+    """Hundreds of classes: the part number modulo 500 from two discrete parents."""
+    li = read_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_linestatus", (F.col("l_partkey") % 500).cast("int").alias("bucket"))
+    li = encode_codes(li.withColumn("l_linenumber", F.col("l_linenumber").cast("int")), {"l_linestatus": "ls"})
+    cols, edges, out = GM
+    return _pred_out(predict(fit(li.select(*cols), edges), li, out, default_prob=1e-5),
+                     ["l_orderkey", "l_linenumber", "ls", "bucket"])
+
+
+WIDE_BITS = 70
+
+
+def q_cpt_wide_discrete(spark, sf):
+    """A family of 71 discrete columns, more than GROUPING SETS can number."""
+    li = read_table(spark, sf, "lineitem")
+    bits = [(F.floor(F.col("l_partkey") / (i + 1)) % 2).cast("int").alias(f"b{i}") for i in range(WIDE_BITS)]
+    df = li.select(*bits, (F.col("l_linenumber") % 2).cast("int").alias("odd"))
+    m = fit(df, [(f"b{i}", "odd") for i in range(WIDE_BITS)])
+    return m.cpt.filter(F.col("node") == "odd").select(
+        F.concat_ws("", F.col("config").cast("array<string>")).alias("config"), "value", "n", "n_config",
+        r6(F.col("p")).alias("p"))
+
+
 QUERIES = {
     "family_count": q_family_count,
     "parent_total": q_parent_total,
@@ -508,6 +547,9 @@ QUERIES = {
     "metrics_per_label": q_metrics_per_label,
     "model_params": q_model_params,
     "worksheet_evaluate": worksheet_evaluate,
+    "predict_null_parent": q_predict_null_parent,
+    "predict_many_classes": q_predict_many_classes,
+    "cpt_wide_discrete": q_cpt_wide_discrete,
 }
 
 __all__ = ["QUERIES"]

@@ -202,7 +202,7 @@ LI = ("li", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_dis
 DOCS = ("dl", "SELECT l.doc_id, l.quality, l.toxic, "
               "CAST(dense_rank() OVER (ORDER BY d.lang) - 1 AS INTEGER) AS lang, "
               "CAST(dense_rank() OVER (ORDER BY d.source) - 1 AS INTEGER) AS source, "
-              "CAST(d.n_chars AS DOUBLE) AS n_chars "
+              "CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(d.n_chars AS DOUBLE) / 2 AS half "
               "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
 EMB = ("em", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(64))
              + ", label FROM embeddings")
@@ -220,7 +220,15 @@ G6_COLS = [f"f{i}" for i in range(64)] + ["label"]
 K_G6 = {c: Cn for c in G6_COLS[:-1]} | {"label": D}
 K_G7 = {"prio": D, "o_totalprice": Cn, "status": D}
 K_GS = {"lang": D, "source": D, "n_chars": Cn, "quality": D}
-K_GD = {"quality": D, "lang": D, "source": D, "n_chars": Cn}
+K_GD = {"quality": D, "lang": D, "source": D, "n_chars": Cn, "half": Cn}
+K_GN = {"ls": D, "l_quantity": Cn, "l_discount": Cn, "rf": D}
+K_GM = {"l_linenumber": D, "ls": D, "bucket": D}
+LIN = ("lin", "SELECT * REPLACE (CASE WHEN rf <> 0 THEN ls END AS ls) FROM li")
+LIM = ("lim", f"SELECT l_orderkey, l_linenumber, {code('l_linestatus')} AS ls, "
+              "CAST(l_partkey % 500 AS INTEGER) AS bucket FROM lineitem")
+# the harness's random split: 32 bits of an md5 of seed and row key
+TRAIN_SIDE = ("CAST('0x' || substr(md5('1|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) "
+              "/ 4294967296.0 < 0.8")
 
 NETS = {
     "G1": (["l_linenumber", "ls", "rf"], [("ls", "rf"), ("l_linenumber", "rf")], K_G1, LI, "l_orderkey"),
@@ -236,8 +244,12 @@ NETS = {
            K_G7, ORD, "o_orderkey"),
     "GS": (["lang", "source", "n_chars", "quality"],
            [("lang", "quality"), ("source", "quality"), ("n_chars", "quality")], K_GS, DOCS, "doc_id"),
-    "GD": (["quality", "lang", "source", "n_chars"],
-           [("quality", "n_chars"), ("lang", "n_chars"), ("source", "n_chars")], K_GD, DOCS, "doc_id"),
+    "GD": (["quality", "lang", "source", "n_chars", "half"],
+           [("quality", "n_chars"), ("lang", "n_chars"), ("source", "n_chars"), ("half", "n_chars")],
+           K_GD, DOCS, "doc_id"),
+    "GN": (["ls", "l_quantity", "l_discount", "rf"],
+           [("ls", "rf"), ("l_quantity", "rf"), ("l_discount", "rf")], K_GN, LIN, "l_orderkey"),
+    "GM": (["l_linenumber", "ls", "bucket"], [("l_linenumber", "bucket"), ("ls", "bucket")], K_GM, LIM, "l_orderkey"),
 }
 
 
@@ -245,12 +257,12 @@ def base(g: str, src: tuple[str, str] | None = None, split: bool = False) -> tup
     """Network ``g`` with ``tr`` (training rows) and ``te`` (scored rows).
 
     By default both are every row of the table; ``split`` is the harness's
-    80/20 split on the key."""
+    random 80/20 split."""
     cols, edges, kinds, s, key = NETS[g]
     s = src or s
     if split:
-        ctes = [s, ("tr", f"SELECT * FROM {s[0]} WHERE {key} % 5 <> 0"),
-                ("te", f"SELECT * FROM {s[0]} WHERE {key} % 5 = 0")]
+        ctes = [s, ("tr", f"SELECT * FROM {s[0]} WHERE {TRAIN_SIDE}"),
+                ("te", f"SELECT * FROM {s[0]} WHERE NOT ({TRAIN_SIDE})")]
     else:
         ctes = [s, ("tr", f"SELECT * FROM {s[0]}"), ("te", f"SELECT * FROM {s[0]}")]
     return BN(cols, edges, kinds), ctes
@@ -352,6 +364,9 @@ def build() -> dict[str, str]:
     o["split_key"] = ("SELECT 'train' AS part, count(*) AS n_rows FROM lineitem WHERE l_orderkey % 5 <> 0 "
                       "UNION ALL SELECT 'test', count(*) FROM lineitem WHERE l_orderkey % 5 = 0")
 
+    o["split_random"] = with_([LI], "SELECT l_orderkey, l_linenumber, " + ", ".join(G2_COLS) +
+                              f", CASE WHEN {TRAIN_SIDE} THEN 'train' ELSE 'test' END AS side FROM li")
+
     o["gauss_root"] = with_(p3, " UNION ALL ".join(
         f"SELECT '{y}' AS node, {r6(f'm{j}')} AS mean, {r6(f's{j}')} AS sd FROM g"
         for j, y in enumerate(bn3.net.continuous_nodes())))
@@ -386,7 +401,11 @@ def build() -> dict[str, str]:
     pd_ = cd + bnd.param_ctes()
     i_nc = bnd.idx("n_chars")
     o["degenerate_params"] = with_(pd_, f"SELECT 'gauss_config' AS kind, 'n_chars' AS node, {_cfg(3)} AS config, "
-                                        f"'n_chars' AS item, 'zero_sd' AS issue FROM gc{i_nc} WHERE sy <= 0")
+                                        f"'n_chars' AS item, 'zero_sd' AS issue FROM gc{i_nc} WHERE sy <= 0 "
+                                        f"UNION ALL SELECT 'coef', 'n_chars', {_cfg(3)}, 'half', "
+                                        "CASE WHEN rho IS NULL OR isnan(rho) THEN 'undefined_rho' "
+                                        f"ELSE 'rho_out_of_range' END FROM cf{i_nc}_0 "
+                                        "WHERE rho IS NULL OR isnan(rho) OR abs(rho) >= 1")
 
     o["pdf_normal"] = with_(p4, f"SELECT l_orderkey, l_linenumber, l_quantity, "
                                 f"{r6(logphi('l_quantity', 'g.m0', 'g.s0'))} AS log_pdf FROM te, g")
@@ -438,7 +457,7 @@ def build() -> dict[str, str]:
     o["model_params"] = with_(p3, "SELECT kind, node, config, item, stat, " + r6("value") +
                               " AS value FROM (" + " UNION ALL ".join(mp) + ") u")
 
-    zli = ("zli", "SELECT l_orderkey, " + ", ".join(f"(({c} - m_{c}) / NULLIF(s_{c}, 0)) AS {c}" for c in z)
+    zli = ("zli", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"(({c} - m_{c}) / NULLIF(s_{c}, 0)) AS {c}" for c in z)
                   + ", ls, rf FROM li, st")
     wsp = [LI, ("st", f"SELECT {zs} FROM li")] + _g2_pred_ctes(1e-5, zli, split=True)[1:]
     o["worksheet_evaluate"] = with_(
@@ -446,4 +465,15 @@ def build() -> dict[str, str]:
         + [("acc", "SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM preds")],
         f"SELECT label, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, "
         f"{r6('acc.a')} AS accuracy FROM met, acc")
+    bnn, cn = base("GN")
+    o["predict_null_parent"] = with_(
+        [LI] + cn + bnn.scored("te", "rf", 1e-5) + [bnn.best()],
+        f"SELECT l_orderkey, l_linenumber, ls, rf, k AS prediction, {r6('s')} AS score FROM best")
+    o["predict_many_classes"] = predict_sql("GM", "bucket", ["l_orderkey", "l_linenumber", "ls", "bucket"], 1e-5)
+    bits = " || ".join(f"CAST(CAST(floor(l_partkey / {i + 1}) AS BIGINT) % 2 AS VARCHAR)" for i in range(70))
+    o["cpt_wide_discrete"] = with_(
+        [("w", f"SELECT {bits} AS config, CAST(l_linenumber % 2 AS INTEGER) AS value, count(*) AS n "
+               "FROM lineitem GROUP BY 1, 2")],
+        f"SELECT config, value, n, CAST(sum(n) OVER (PARTITION BY config) AS BIGINT) AS n_config, "
+        f"{r6('n / sum(n) OVER (PARTITION BY config)')} AS p FROM w")
     return o

@@ -36,8 +36,9 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read, never replaced.
-    Only when it is unset (local tests) is a private folder created.
+    On a cluster this is set by the deployment and is read, never replaced;
+    without it a cluster run is refused. Only a local master gets a private
+    folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="bayeslake-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -3,7 +3,7 @@ categorical columns, z-scores and train/test splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,8 @@ from ..functions.density import col, zscore
 from ..session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of a code table's row beside the value (row header, lengths, code).
+CODE_ROW_BYTES = 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +54,18 @@ def fit_codes(df: DataFrame, columns: list[str], partitions: int | None = None)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = F.inline(F.array(*[F.struct(F.lit(j).alias("col"), col(c).alias("value"))
                                for j, c in enumerate(columns)]))
+    # kept with its partition numbers before both uses: range bounds come from a
+    # sample, so two evaluations need not agree
+    ensure_checkpoint_dir(spark)
     dom = (df.select(pairs).where(F.col("value").isNotNull()).distinct()
            .repartitionByRange(n, "col", "value")
-           .withColumn("pid", F.spark_partition_id()))
+           .withColumn("pid", F.spark_partition_id())).checkpoint()
     local = dom.withColumn("r", F.row_number().over(Window.partitionBy("pid", "col").orderBy("value")))
     sizes = dom.groupBy("pid", "col").agg(F.count(F.lit(1)).alias("c"))
     offsets = sizes.select("pid", "col", F.coalesce(F.sum("c").over(
         Window.partitionBy("col").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("off"))
-    return (local.join(F.broadcast(offsets), ["pid", "col"])   # partitions x columns rows
+    return (local.join(offsets, ["pid", "col"])       # partitions x columns rows
             .select("col", "value", (F.col("off") + F.col("r") - 1).cast("int").alias("code")))
 
 
@@ -81,13 +86,15 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
     for srcs in by_type.values():
         # small, lineage cut, survives executor loss, no executor memory held
         codes = fit_codes(df, srcs).checkpoint()
-        counts = {r["col"]: r["n"] for r in codes.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
+        size = F.octet_length("value") if isinstance(df.schema[srcs[0]].dataType, (T.StringType, T.BinaryType)) \
+            else F.lit(8)
+        sizes = {r["col"]: r["bytes"] for r in codes.groupBy("col").agg(
+            F.sum(size + CODE_ROW_BYTES).alias("bytes")).collect()}
         for j, src in enumerate(srcs):
             dst = columns[src]
-            width = 16 + 8 * max(1, _avg_width(df.schema[src].dataType))
             t = codes.where(F.col("col") == j).select(F.col("value").alias(src),
                                                      F.col("code").alias(f"__code_{dst}"))
-            if counts.get(j, 0) * width <= max_broadcast_bytes:
+            if sizes.get(j, 0) <= max_broadcast_bytes:
                 t = F.broadcast(t)
             out = out.join(t, on=[src], how="left")
             if dst == src and not keep:
@@ -97,10 +104,6 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
     return out
 
 
-def _avg_width(dt) -> int:
-    return 4 if isinstance(dt, T.StringType) else 1
-
-
 # ---- z-score -----------------------------------------------------------------------
 def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """z-score every DoubleType column (or ``columns``) in place.
@@ -130,6 +133,24 @@ def split_key(df: DataFrame, key: str, buckets: int = 5) -> tuple[DataFrame, Dat
     return df.filter(k != 0), df.filter(k == 0)
 
 
-def split_random(df: DataFrame, weights=(0.8, 0.2), seed: int = 2222) -> list[DataFrame]:
-    """Random split; the assignment depends on the partitioning of ``df``."""
-    return df.randomSplit(list(weights), seed=seed)
+def random_side(keys: list[str], weights=(0.8, 0.2), seed: int = 1) -> Column:
+    """Side 0, 1, ... of a row: a random number in [0, 1) that depends only on
+    the seed and the row's key columns (the first 32 bits of an md5), so the
+    assignment is the same however the table is partitioned or read again.
+    A NULL key counts as the empty text."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys])
+    u = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    total, bound, side = float(sum(weights)), 0.0, F.lit(len(weights) - 1)
+    bounds = []
+    for w in weights[:-1]:
+        bound += w / total
+        bounds.append(bound)
+    for i in reversed(range(len(bounds))):
+        side = F.when(u < bounds[i], F.lit(i)).otherwise(side)
+    return side
+
+
+def split_random(df: DataFrame, keys: list[str], weights=(0.8, 0.2), seed: int = 1) -> list[DataFrame]:
+    """Random split by ``random_side``; the parts together are ``df``."""
+    side = random_side(keys, weights, seed)
+    return [df.filter(side == i) for i in range(len(weights))]

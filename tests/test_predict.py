@@ -276,17 +276,17 @@ def test_wide_non_output_node_paths_agree(spark):
         assert [r[2] for r in vec[1]] == pytest.approx([r[2] for r in other[1]], rel=1e-12)
 
 
-def test_candidate_domain_is_bounded(spark):
+def test_no_candidate_domain_is_refused(spark, monkeypatch):
+    """Beyond the flat path's size the array path gives the same answer."""
     import bayeslake.operators.predict as P
-    rows = [(i % 3, float(i % 5)) for i in range(30)]
-    df = spark.createDataFrame(rows, "label int, x double")
-    m = fit(df, [("x", "label")])
-    old = (P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES)
-    P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES = 1, 2
-    try:
-        with pytest.raises(ValueError):
-            predict(m, df, "label")                         # training domain: checked when planning
-        with pytest.raises(Exception, match="candidates"):
-            predict(m, df, "label", candidates="scored").collect()   # scored domain: checked in the plan
-    finally:
-        P.MAX_FLAT_CANDIDATES, P.MAX_CANDIDATES = old
+    rows = [(i % 3, i % 3 + (i * 37 % 19) / 7.0, i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "label int, x double, d int")
+    m = fit(df, [("x", "label"), ("d", "label")])
+    flat = predict(m, df, "label").collect()
+    monkeypatch.setattr(P, "MAX_FLAT_CANDIDATES", 1)
+    arrays = predict(m, df, "label").collect()
+    scored = predict(m, df, "label", candidates="scored").collect()
+    key = lambda r: (r.label, r.x, r.d)
+    for a, b, c in zip(sorted(flat, key=key), sorted(arrays, key=key), sorted(scored, key=key)):
+        assert a.prediction == b.prediction == c.prediction
+        assert a.score == pytest.approx(b.score) and a.score == pytest.approx(c.score)

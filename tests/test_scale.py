@@ -50,7 +50,9 @@ def test_hot_key_broadcast_and_shuffle_paths_agree(spark, limit):
     assert got == _brute_force(rows)
     plan = p._jdf.queryExecution().executedPlan().toString()
     if limit == 0:
-        assert "BroadcastHashJoin" not in plan or "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        # the scored side meets every parameter table in a shuffle join (one-row
+        # parameters are subqueries, not joins)
+        assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") >= 3
     else:
         assert "SortMergeJoin" not in plan
 
