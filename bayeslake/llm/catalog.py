@@ -96,4 +96,28 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op10_jump_sharding": r"""
+WITH RECURSIVE crc_steps(i, c, k) AS (
+    SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS (
+    SELECT doc_id, octet_length(b) AS n,
+           list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS v FROM d),
+crcs AS (
+    SELECT doc_id, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), v),
+           lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) AS crc
+    FROM bytes, crc_table),
+jump(n, doc_id, k, b, j) AS (
+    SELECT n, doc_id, CAST(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616 ELSE doc_id END AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT)
+    FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (40), (41)) s(n)
+    UNION ALL
+    SELECT n, doc_id, k2, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(k2 // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+    FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE j < n)),
+shards AS (SELECT doc_id, n, CAST(max(b) AS INTEGER) AS shard FROM jump GROUP BY doc_id, n)
+SELECT c.doc_id, CAST(c.n + 16 AS BIGINT) AS size, c.crc AS text_crc32, 'key' AS law, a.shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY c.doc_id, c.crc, c.n) - 1 AS slot, g.shard AS grown_shard
+FROM crcs c JOIN shards a ON a.doc_id = c.doc_id AND a.n = 40 JOIN shards g ON g.doc_id = c.doc_id AND g.n = 41""",
 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, need, stored
+from .common import fresh, need, shuffle_partitions, stored
 
 # Fixed values of the published hash.
 MULTIPLIER = 2862933555777941757
@@ -44,16 +44,17 @@ def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_
     """One row per document: its id, size, text_crc32, shard, slot, grown_shard.
 
     ``size`` is the UTF-8 length of the text plus ``overhead``; ``slot``
-    numbers the rows of a shard from 0 without gaps; ``grown_shard`` is the
-    shard if there were one more. NULL ids hash as 0, a NULL text has no
+    numbers the rows of a shard from 0 without gaps, by id (NULL first), then
+    crc and size; ``grown_shard`` is the shard if there were one more. NULL
+    ids hash as 0, a NULL text has no
     bytes and the crc of the empty text, repeated rows get slots of their
     own, an empty table gives no row; other columns are ignored.
 
-    Slots need the rows before in the same shard. Rows are numbered within
-    (shard, writing task), a group no larger than a task's input however few
-    the shards or hot the key, and shifted by the counts of the tasks before
-    (one row for each task and shard). The digests are stored first, so both
-    uses see the same tasks.
+    Slots need the rows before in the same shard. The digests are dealt out in
+    ranges of that order (equal rows by their place, so no id fills a range),
+    numbered within (shard, range), a group no larger than a range however few
+    the shards, and shifted by the counts of the ranges before (one row for
+    each range and shard). Texts are read once and never shuffled.
     """
     need(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -62,8 +63,10 @@ def assign_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_
                        F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.select("*", jump_hash("doc_id", shards).alias("shard"),
                        jump_hash("doc_id", shards + 1).alias("grown_shard"),
-                       F.spark_partition_id().alias("part"))
+                       F.monotonically_increasing_id().alias("place"))
     rows = stored(rows, "shard-rows")
+    rows = stored(rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "text_crc32", "size", "place")
+                  .drop("place").withColumn("part", F.spark_partition_id()), "shard-ranges")
     before = (rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
               .select("shard", "part", F.coalesce(F.sum("n").over(
                   Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
