@@ -298,12 +298,15 @@ def q_coef_by_config(spark, sf):
 
 def config_grid(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every configuration of ``columns`` over 0..K-1 (K = distinct values),
-    mixed radix with the last column fastest, and its index."""
+    mixed radix with the last column fastest, and its index. The product is
+    dealt out again before each further column, so no task makes it alone."""
     k = df.agg(*[F.count_distinct(col(c)).alias(f"k{j}") for j, c in enumerate(columns)])
     out = k.withColumn("idx", F.lit(0).cast("long"))
     for j, c in enumerate(columns):
         out = (out.withColumn(c, F.explode(F.sequence(F.lit(0), F.col(f"k{j}").cast("int") - 1)))
                .withColumn("idx", F.col("idx") * F.col(f"k{j}") + col(c)))
+        if j + 1 < len(columns):
+            out = out.repartition("idx")
     return out.select(*columns, "idx")
 
 
@@ -400,7 +403,9 @@ def q_predict_with_labels(spark, sf):
 
 
 def q_predict_unseen_default(spark, sf):
+    """The rows of one language are scored with sources that training has not seen."""
     m, _, test = fitted(spark, sf, GS)
+    test = test.withColumn("source", F.when(F.col("lang") == 0, F.col("source") + 1000).otherwise(F.col("source")))
     return _pred_out(predict(m, test, "quality", default_prob=1e-5), ["doc_id", "quality"])
 
 

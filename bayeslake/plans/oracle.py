@@ -427,7 +427,11 @@ def build() -> dict[str, str]:
     o["predict_with_labels"] = with_(c2 + bn2.scored("te", "rf", 0.0) + [bn2.best()],
                                      "SELECT l_orderkey, l_linenumber, CAST(rf AS DOUBLE) AS label, "
                                      "CAST(k AS DOUBLE) AS prediction FROM best")
-    o["predict_unseen_default"] = predict_sql("GS", "quality", ["doc_id", "quality"], 1e-5)
+    bns, cs = base("GS")
+    unseen = ("te", "SELECT * REPLACE (CASE WHEN lang = 0 THEN source + 1000 ELSE source END AS source) FROM dl")
+    o["predict_unseen_default"] = with_(
+        cs[:-1] + [unseen] + bns.scored("te", "quality", 1e-5) + [bns.best()],
+        f"SELECT doc_id, quality, k AS prediction, {r6('s')} AS score FROM best")
     o["predict_wide"] = predict_sql("G6", "label", ["vec_id", "label"])
     o["predict_chain"] = predict_sql("G7", "status", ["o_orderkey", "status"])
     o["predict_child"] = predict_sql("G5", "quality", ["doc_id", "quality", "toxic"])
