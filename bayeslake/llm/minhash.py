@@ -16,11 +16,12 @@ components of the verified links.
 
 Pairs are not enumerated inside a bucket. Every member is first compared with
 the bucket's least member, which joins most of any large group in a number of
-pairs linear in its size. Where a bucket then still spans several classes, its
-members' registers are compared in blocks, and every member gets its closest
-partners in other classes that no round has tested yet, more of them from
-round to round, until no round finds any: no pair that may be similar is left
-untested unless its two texts are in one class already.
+pairs linear in its size. A bucket that then still spans several classes is
+settled inside the tasks, block against block: pairs of different classes
+whose registers agree often enough are verified there, closest first, and a
+link makes two classes one, so only links come out, fewer than members. A pair
+that shares several buckets is looked at in the first of them. No pair that
+may be similar is left unverified unless its texts are in one class already.
 """
 
 from __future__ import annotations
@@ -45,11 +46,8 @@ REGISTERS = BANDS * ROWS
 #: Standard deviations below the threshold at which an estimate from the registers
 #: rules a pair out (5.2: one in ten million pairs at the threshold).
 DEVIATIONS = 5.2
-#: Members of a block of a bucket whose registers are compared with another block's.
-BLOCK = 512
-#: Partners of a member in the first round of blocks, how the number grows, and a
-#: number that no block reaches (blocks are dealt by hash, BLOCK on average).
-PARTNERS, GROWTH, ALL_PARTNERS = 8, 8, 1 << 20
+#: Members of a block of a bucket that is settled, on average.
+BLOCK = 1024
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 300_000
 
@@ -187,14 +185,6 @@ def lowest_estimate(similarity: float) -> float:
     return similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal registers of every row of x with every row of y."""
-    out = np.empty((len(x), len(y)))
-    for i, row in enumerate(x):
-        out[i] = (y == row).mean(axis=1)
-    return out
-
-
 def _verify(similarity: float):
     def run(batches):
         last, of_last = None, None          # pairs come sorted by their first text
@@ -223,35 +213,74 @@ def _near(similarity: float):
     return run
 
 
-def _partners(similarity: float, partners: int):
-    """Of two blocks of a bucket: each member's closest partners in other classes."""
+def similar_texts(a, b, similarity: float) -> bool:
+    """a, b: (hashes, weights, set of hashes or None where some weight is not 1)."""
+    if a[2] is None or b[2] is None:
+        return probability_jaccard(a[:2], b[:2]) >= similarity - 1e-12
+    small, large = sorted((len(a[2]), len(b[2])))
+    if small < (similarity - 1e-12) * large:
+        return False
+    both = len(a[2] & b[2])                     # with weights of 1, J is shared / all
+    return both >= (similarity - 1e-12) * (small + large - both)
+
+
+def _settle(similarity: float):
+    """Links that join the classes of two blocks of a bucket."""
     low = lowest_estimate(similarity)
 
+    def pairs(sig, comp, bands, band, same):
+        """(left, right) rows of different classes to verify here, closest first."""
+        x, y, e = [], [], []
+        for c in np.unique(comp[0]):
+            rows, cols = np.flatnonzero(comp[0] == c), np.flatnonzero(comp[1] != c)
+            if not len(cols):
+                continue
+            for r in rows:
+                near = cols[cols > r] if same else cols
+                est = (sig[1][near] == sig[0][r]).mean(axis=1)
+                near, est = near[est >= low], est[est >= low]
+                first = (bands[1][near] == bands[0][r]).argmax(axis=1) == band
+                x.append(np.full(first.sum(), r))
+                y.append(near[first])
+                e.append(est[first])
+        if not x:
+            return []
+        x, y, e = map(np.concatenate, (x, y, e))
+        order = np.argsort(-e, kind="stable")
+        return zip(x[order].tolist(), y[order].tolist())
+
     def run(batches):
         for batch in batches:
             left, right = [], []
             for i in range(batch.num_rows):
-                ids, comp, sig = [], [], []
-                for side in (0, 1):
-                    m = batch.column(side)[i].as_py()
-                    ids.append(np.array([r["rep"] for r in m]))
-                    comp.append(np.array([r["comp"] for r in m]))
-                    sig.append(np.frombuffer(b"".join(r["sig"] for r in m), "<u2").reshape(-1, REGISTERS))
-                if comp[0].min() == comp[0].max() == comp[1].min() == comp[1].max():
-                    continue
-                e = agreement(sig[0], sig[1])
-                e[comp[0][:, None] == comp[1][None, :]] = -1
-                for est, own, other in ((e, ids[0], ids[1]), (e.T, ids[1], ids[0])):
-                    k = min(partners, est.shape[1])
-                    best = np.argpartition(-est, k - 1, axis=1)[:, :k]
-                    u, v = np.nonzero(np.take_along_axis(est, best, 1) >= low)
-                    x, y = own[u], other[best[u, v]]
-                    left.append(np.minimum(x, y))
-                    right.append(np.maximum(x, y))
+                band, same = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                sides = [batch.column(side)[i].values for side in (0, 1)]
+                field = lambda s, f: s.field(f).to_numpy(zero_copy_only=False)
+                ids, comp = ([field(s, f) for s in sides] for f in ("rep", "comp"))
+                sig = [np.frombuffer(b"".join(s.field("sig").to_pylist()), "<u2").reshape(-1, REGISTERS) for s in sides]
+                bands = [s.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for s in sides]
+                sets: dict[tuple[int, int], tuple] = {}
+                up: dict[int, int] = {}
+
+                def top(c):
+                    while c in up:
+                        c = up[c]
+                    return c
+
+                def of(side, row):
+                    if (side, row) not in sets:
+                        h, w = shingles(sides[side].field("text")[row].as_py())
+                        sets[side, row] = (h, w, set(h.tolist()) if (w == 1).all() else None)
+                    return sets[side, row]
+
+                for x, y in pairs(sig, comp, bands, band, same):
+                    a, b = top(int(comp[0][x])), top(int(comp[1][y]))
+                    if a != b and similar_texts(of(0, x), of(0 if same else 1, y), similarity):
+                        up[max(a, b)] = min(a, b)
+                        left.append(int(ids[0][x]))
+                        right.append(int(ids[1][y]))
             if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())],
-                                                 names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
     return run
 
 
@@ -276,33 +305,40 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col:
                                                  F.first("sig").alias("sig")), "texts")
     sigs = reps.select("rep", "sig")
 
-    banded = reps.select("rep", F.explode("bands").alias("key"))
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    members = stored(banded.join(buckets.select("key", "least"), "key").select("key", "rep", "least"), "buckets")
+    members = stored(banded.join(buckets.select("key", "least"), "key").select("key", "band", "rep", "least"), "buckets")
+    # the texts of bucket members, the only ones that are shuffled whole
+    used = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("rep").alias("doc_id"), "h1", "h2")
+    texts = stored(rows.join(used, ["doc_id", "h1", "h2"]).select("rep", "text").dropDuplicates(["rep"]), "bucket-texts")
 
     # every member against the least one of its bucket
     pairs = members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = (pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
              .join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
              .select("a", "b", "sa", "sb").mapInArrow(_near(similarity), "a long, b long"))
-    # the texts of bucket members, the only ones that are shuffled whole
-    used = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("rep").alias("doc_id"), "h1", "h2")
-    texts = stored(rows.join(used, ["doc_id", "h1", "h2"]).select("rep", "text"), "bucket-texts").dropDuplicates(["rep"])
-    tested = _test(stored(pairs, "pairs"), texts, similarity)
-    partners = PARTNERS
-    while True:
-        labels = components(tested.where("similar"), "a", "b")
-        pairs = _untested(members, sigs, labels, tested, similarity, partners)
-        if pairs is None:
-            break                                   # every bucket lies in one class
-        pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            tested = stored(tested.unionByName(_test(pairs, texts, similarity)), "tested")
-            partners *= GROWTH
-        elif partners < ALL_PARTNERS:
-            partners = ALL_PARTNERS                 # the closest were tested: now any
-        else:
-            break
+    links = _test(stored(pairs, "pairs"), texts, similarity).where("similar").select("a", "b")
+    labels = components(links, "a", "b")
+
+    # buckets that still span several classes
+    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
+    spans = stored(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
+                                             F.count(F.lit(1)).alias("n")).where("c1 < c2")
+                   .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+    if not spans.isEmpty():
+        block = (placed.join(spans, "key").join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
+                 .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                 .groupBy("key", "band", "blocks", "block")
+                 .agg(F.collect_list(F.struct("rep", "comp", "sig", "bands", "text")).alias("m")))
+        block = stored(block, "blocks")
+        left = block.select("key", "band", F.col("block").alias("x"),
+                            F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("m").alias("mx"))
+        right = block.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"),
+                             F.col("m").alias("my"))
+        more = (left.join(right, ["key", "x", "y"]).select("mx", "my", "band", (F.col("x") == F.col("y")).alias("same"))
+                .mapInArrow(_settle(similarity), "a long, b long"))
+        labels = components(links.unionByName(more), "a", "b")
 
     # rows that share an id may stand for several texts
     alias = signed.select("doc_id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
@@ -321,32 +357,6 @@ def _test(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return stored(both.mapInArrow(_verify(similarity), "a long, b long, similar boolean"), "verified")
 
 
-def _untested(members: DataFrame, sigs: DataFrame, labels: DataFrame, tested: DataFrame, similarity: float,
-              partners: int) -> DataFrame | None:
-    """Pairs (a, b) across classes inside buckets that may be similar and have
-    not been tested; None if no bucket spans several classes."""
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n"),
-                                      F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.min("rep").alias("r1"))
-    # one of the buckets with the same members
-    open_ = stored(open_.where("c1 < c2").groupBy("n", "sum", "r1").agg(F.min("key").alias("key"))
-                   .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
-    if open_.isEmpty():
-        return None
-    block = (placed.join(open_, "key").join(sigs, "rep")
-             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("m")))
-    block = stored(block, "blocks")
-    left = block.select("key", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
-                        F.col("m").alias("mx"))
-    right = block.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"),
-                         F.col("m").alias("my"))
-    near = (left.join(right, ["key", "x", "y"]).select("mx", "my")
-            .mapInArrow(_partners(similarity, partners), "a long, b long").distinct())
-    return near.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each class, all columns kept."""
     (gone,) = fresh(docs, "gone_id")

@@ -102,7 +102,6 @@ def test_families_blocks_and_rounds(spark, monkeypatch):
                                                  for _ in range(30)]
     rng.shuffle(texts)
     monkeypatch.setattr(M, "BLOCK", 16)
-    monkeypatch.setattr(M, "PARTNERS", 1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in M.near_duplicates(df).collect()}
     assert got == brute(list(enumerate(texts)))
