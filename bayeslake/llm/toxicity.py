@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, need, ship_package
+from .common import fresh, need, ship_package, stored
 
 #: Labelled texts at most that the chain is trained on, and features at most that it weighs.
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
+#: Least log-likelihood ratio of a feature: 30 leaves less than one chance feature in ten million.
+MIN_EVIDENCE = 30.0
 STEMS = (4, 5, 6)
 FOLDS = 5
 #: Texts over this probability of the label count as toxic.
@@ -155,6 +157,7 @@ def _counts(batches):
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen.update((f, toxic) for f in text_features(text))
+            seen["", toxic] += 1                       # the texts themselves
             if len(seen) > MEMO_WORDS:
                 yield flush()
     if seen:
@@ -193,10 +196,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
               .agg(F.min("t").alias("t")))
     counts = (sample.select("t", "toxic").mapInArrow(_counts, "feature string, pos long, neg long")
               .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    # evidence: how much more toxic texts use the feature than its use elsewhere lets expect
-    evidence = F.col("pos") * F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
-    strongest = (counts.where((F.col("pos") >= 5) & (F.col("pos") > F.col("neg")))
-                 .orderBy(evidence.desc(), "feature").limit(max_features).collect())
+    counts = stored(counts, "feature-counts")
+    totals = counts.where("feature = ''").first()
+    share = (totals.pos + 0.5) / (totals.pos + totals.neg + 1) if totals else 0.5
+    # evidence: log-likelihood ratio of the feature's toxic share against the sample's
+    n, p, q = F.col("pos") + F.col("neg"), F.col("pos"), F.greatest(F.col("neg"), F.lit(1e-9))
+    evidence = 2 * (p * F.ln(p / (n * share)) + q * F.ln(q / (n * (1 - share))))
+    strongest = (counts.where((F.col("feature") != "") & (p > 0) & (p > n * share)).withColumn("evidence", evidence)
+                 .where(F.col("evidence") >= MIN_EVIDENCE)
+                 .orderBy(F.col("evidence").desc(), "feature").limit(max_features).collect())
     features = {r.feature: j for j, r in enumerate(strongest)}
     rows = sample.select("h", "t", "toxic").mapInArrow(
         _vectors(features), "h long, toxic boolean, indices array<int>, seeds array<boolean>").collect()
