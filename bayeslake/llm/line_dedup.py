@@ -115,10 +115,12 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     runs = streamed.where(F.col("kind") == RUN)
     by_key = Window.partitionBy("h1", "h2").orderBy("part", "run")
     again = F.coalesce((F.lag("last_doc").over(by_key) == F.col("doc_id")).cast("long"), F.lit(0))
-    settled = (runs.withColumn("n", F.col("n_docs") - again).groupBy("h1", "h2")
-               .agg(F.sum("n").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-               .select("h1", "h2", "keeper"))
-    opened = (streamed.where(F.col("kind") == OPEN).join(settled, ["h1", "h2"])
+    whole = Window.partitionBy("h1", "h2")
+    # the lines of a run are joined by the task's run, so a common line stays spread over its tasks
+    settled = (runs.withColumn("n", F.col("n_docs") - again)
+               .select("part", "run", F.sum("n").over(whole).alias("n"), F.max("doc_id").over(whole).alias("keeper"))
+               .where(F.col("n") >= min_docs).select("part", "run", "keeper"))
+    opened = (streamed.where(F.col("kind") == OPEN).join(settled, ["part", "run"])
               .where(F.col("doc_id") != F.col("keeper")))
     return (streamed.where(F.col("kind") == DROP).select("doc_id", "th", "pos")
             .unionByName(opened.select("doc_id", "th", "pos")))
