@@ -20,7 +20,7 @@ import numpy as np
 
 #: Pieces in each of a worker's two memos. When the young one is full it becomes
 #: the old one, so pieces that go on being used stay and the rest is forgotten.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 400_000
 #: Longer pieces are encoded each time, so one memo entry stays small.
 MEMO_CHARS = 64
 #: Characters split at a time, which bounds the piece lists in memory, and pieces
@@ -72,7 +72,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.pattern = split_pattern(json.load(f))
+            spec = json.load(f)
+        self.pattern = split_pattern(spec)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens") or []]
         self.lower = self.pattern is _DROPPED
         self.letters = byte_letters()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -84,6 +86,16 @@ class Encoder:
                 for at in range(0, len(texts), LIBRARY_PIECES)
                 for e in self.tokenizer.encode_batch_fast(texts[at:at + LIBRARY_PIECES], add_special_tokens=False)]
 
+    def _lower(self, text: str) -> str:
+        """The text as the tokenizer's own lower case makes it, where Python's
+        is sure to agree (Latin-1 text), so that fewer pieces are distinct."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.added) else low
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Distinct pieces: plain ones by the model, the others by the whole library."""
         out = dict.fromkeys(pieces, b"")
@@ -116,12 +128,13 @@ class Encoder:
         if len(self.memo) > MEMO_PIECES:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
+        if self.lower:
+            texts = [self._lower(t) for t in texts]
         cut = [None if _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts]
-        need = set().union(*[c for c in cut if c is not None])
-        need.difference_update(memo)
-        known = need.intersection(old)
+        need = set().union(*[c for c in cut if c is not None]).difference(memo)
+        known = [w for w in need if w in old]
         memo.update((w, old[w]) for w in known)
-        need = list(need - known)
+        need = list(need.difference(known))
         memo.update(zip(need, self._pieces(need)))
         out = [self._library([t])[0] if c is None else b"".join(map(memo.__getitem__, c))
                for t, c in zip(texts, cut)]

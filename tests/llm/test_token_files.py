@@ -35,7 +35,7 @@ def test_width_is_the_fewest_bits():
 
 ODD = ["", " ", "\n", "a", " a  b\tc \n\n d", "x" * 5000, "don't  stop\r\n", "ÁÅ ﬁ ΣΣ", "a\x1cb\x1d c",
        "<|endoftext|> a<|endoftext|>b <|startoftext|>", " a b　 c", "\U0001f600\U0001f600 x", "  \n \n\tend  ", "Straße, ÀÉ. Ünï!? x.y, z... ...a ,b 'S it's, ſ ²x Ⅷ. a\u0301. e\u0301, K Å",
-       "end. ", "a,b c,\nd,\n\ne;  f: g"]
+       "<|ENDOFTEXT|> Ab İI K", "ÀB µ ß Ÿ Œ", "end. ", "a,b c,\nd,\n\ne;  f: g"]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
