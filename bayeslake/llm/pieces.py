@@ -193,11 +193,10 @@ class Codec:
         memo, old = self.memo, self.old
         lead = MARK if self.v.dummy_prefix else ""
         cut = [self.v.words.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut)
-        new.difference_update(memo)
-        known = new.intersection(old)
+        new = set().union(*cut).difference(memo)
+        known = [w for w in new if w in old]
         memo.update((w, old[w]) for w in known)
-        for w, ids in self.lattice.encode(list(new - known)).items():
+        for w, ids in self.lattice.encode(list(new.difference(known))).items():
             memo[w] = np.array(ids, "<u4").tobytes()
         out = [b"".join(map(memo.__getitem__, c)) for c in cut]
         for w in new:
