@@ -48,8 +48,9 @@ REGISTERS = BANDS * ROWS
 DEVIATIONS = 5.2
 #: Members of a block of a bucket that is settled, on average.
 BLOCK = 1024
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 300_000
+#: Texts whose registers are filled at a time, and words whose hashes a worker remembers.
+TEXTS = 256
+MEMO_WORDS = 150_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -166,14 +167,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _signatures(batches):
     for batch in batches:
         keys, h1, h2 = batch.column(0), batch.column(2), batch.column(3)
-        for at in range(0, batch.num_rows, 512):
-            sets = [shingles(t) for t in batch.column(1).slice(at, 512).to_pylist()]
+        for at in range(0, batch.num_rows, TEXTS):
+            sets = [shingles(t) for t in batch.column(1).slice(at, TEXTS).to_pylist()]
             has = [i for i, s in enumerate(sets) if len(s[0])]
             sig = signatures([sets[i] for i in has])
             take = pa.array(has, pa.int64())
             n = len(has)
             yield pa.RecordBatch.from_arrays(
-                [c.slice(at, 512).take(take) for c in (keys, h1, h2)]
+                [c.slice(at, TEXTS).take(take) for c in (keys, h1, h2)]
                 + [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()),
                                             pa.array(band_keys(sig).ravel(), pa.int64())),
                    pa.array([row.tobytes() for row in sig.astype("<u2")], pa.binary())],

@@ -38,7 +38,7 @@ FOLDS = 5
 #: Texts over this probability of the label count as toxic.
 THRESHOLD = 0.3
 #: Distinct words whose features a worker remembers, and entries of a task's partial counts.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 #: Category -> seed words; the last category of the chain is the label itself.
 CATEGORIES = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
