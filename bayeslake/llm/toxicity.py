@@ -10,7 +10,9 @@ parts by a small seed list: a toxic text that uses one of the seeds.
 
 A text's features are its distinct words in lower case and their stems of
 ``STEMS`` characters. The features with most evidence in the labelled sample
-are kept, so a model is a short table of weights that every task holds.
+are kept, so a model is a short table of weights that every task holds. How
+much evidence is enough depends on the sample, so the floor is the one whose
+features, chosen and weighed without a fold, lose least on that fold.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from .common import fresh, need, ship_package, stored
 #: Labelled texts at most that the chain is trained on, and features at most that it weighs.
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
-#: Least log-likelihood ratio of a feature: 30 leaves less than one chance feature in ten million.
-MIN_EVIDENCE = 30.0
+#: Least log-likelihood ratios of a feature to choose from, by held-out loss (ties: the first).
+FLOORS = (30.0, 20.0, 15.0, 12.0, 10.0, 8.0)
 STEMS = (4, 5, 6)
 FOLDS = 5
 #: Texts over this probability of the label count as toxic.
@@ -120,6 +123,32 @@ class Chain:
         return x.dense
 
 
+def class_weights(y: np.ndarray) -> np.ndarray:
+    """Toxic texts are few: one weighs as the root of the others' number to theirs."""
+    return np.where(y > 0, (max(1.0, len(y) - y.sum()) / max(1.0, y.sum())) ** 0.5, 1.0)
+
+
+def best_floor(indices: list[list[int]], y: np.ndarray, fold: np.ndarray,
+               candidates: list[list[tuple[float, int]]], **options) -> float:
+    """The floor with the least held-out loss. ``candidates[k]`` are the
+    (evidence, column) that the texts outside of fold k give, strongest first."""
+    best, done = (math.inf, FLOORS[0]), {}
+    for floor in FLOORS:
+        loss = 0.0
+        for k, found in enumerate(candidates):
+            kept = [j for e, j in found if e >= floor]
+            if (k, len(kept)) not in done:
+                out, place = fold == k, {j: i for i, j in enumerate(kept)}
+                x = Rows([[place[j] for j in row if j in place] for row in indices], len(kept))
+                w = fit_linear(x, y, class_weights(y) * ~out, **{"steps": 100, **options})
+                p = sigmoid(x.dot(w))[out].clip(1e-3, 1 - 1e-3)
+                done[k, len(kept)] = -(y[out] * np.log(p) + (1 - y[out]) * np.log(1 - p)).sum()
+            loss += done[k, len(kept)]
+        if loss < best[0] - 1e-9:
+            best = (loss, floor)
+    return best[1]
+
+
 def train_chain(indices: list[list[int]], targets: np.ndarray, features: dict[str, int], *,
                 folds: int = FOLDS, **options) -> Chain:
     """``targets`` has one 0/1 column per category of the chain."""
@@ -129,9 +158,12 @@ def train_chain(indices: list[list[int]], targets: np.ndarray, features: dict[st
     weights = []
     for k in range(targets.shape[1]):
         y = targets[:, k].astype(float)
-        # toxic texts are few: together they weigh as much as the others
-        even = np.where(y > 0, max(1.0, n - y.sum()) / max(1.0, y.sum()), 1.0)
-        weights.append(fit_linear(x, y, even, **options))
+        even = class_weights(y)
+        w = fit_linear(x, y, even, **options)
+        # a text without any feature is not likelier to have the category than any text of the sample
+        share = (y.sum() + 0.5) / (n + 1)
+        w[-1] = min(w[-1], math.log(share / (1 - share)))
+        weights.append(w)
         if k + 1 < targets.shape[1]:                     # out-of-fold input of the later models
             held = np.zeros(n)
             for f in range(folds):
@@ -143,21 +175,23 @@ def train_chain(indices: list[list[int]], targets: np.ndarray, features: dict[st
 
 # ---- training data ------------------------------------------------------------------------
 def _counts(batches):
-    """Partial (feature, toxic texts, other texts) of a task."""
+    """Partial (feature, fold, toxic texts, other texts) of a task."""
     seen: Counter = Counter()
 
     def flush():
-        keys = list({f for f, _ in seen})
-        row = pa.RecordBatch.from_pydict({"feature": keys, "pos": [seen[f, True] for f in keys],
-                                          "neg": [seen[f, False] for f in keys]},
-                                         pa.schema([("feature", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())]))
+        keys = list({k[:2] for k in seen})
+        row = pa.RecordBatch.from_pydict({"feature": [f for f, _ in keys], "fold": [k for _, k in keys],
+                                          "pos": [seen[f, k, True] for f, k in keys],
+                                          "neg": [seen[f, k, False] for f, k in keys]},
+                                         pa.schema([("feature", pa.string()), ("fold", pa.int64()),
+                                                    ("pos", pa.int64()), ("neg", pa.int64())]))
         seen.clear()
         return row
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen.update((f, toxic) for f in text_features(text))
-            seen["", toxic] += 1                       # the texts themselves
+        for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+            seen.update((f, fold, toxic) for f in text_features(text))
+            seen["", fold, toxic] += 1                 # the texts themselves
             if len(seen) > MEMO_WORDS:
                 yield flush()
     if seen:
@@ -182,7 +216,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
               **options) -> Chain:
     """Train on at most ``max_labelled`` labelled texts (the lowest hashes of
     their ids). Their feature counts are summed by Spark; the driver gets the
-    ``max_features`` strongest features and the sample's rows over those.
+    ``max_features`` strongest features of the sample and of the sample
+    without each fold, and the sample's rows over those.
     NULL ids, labels and texts are passed over."""
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
@@ -194,23 +229,38 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     # copies of one text say it once
     sample = (texts.join(F.broadcast(some), "k").groupBy(F.xxhash64("t").alias("h"), "toxic")
               .agg(F.min("t").alias("t")))
-    counts = (sample.select("t", "toxic").mapInArrow(_counts, "feature string, pos long, neg long")
-              .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    fold = F.pmod("h", F.lit(FOLDS))
+    counts = (sample.select("t", "toxic", fold.alias("fold")).mapInArrow(_counts, "feature string, fold long, pos long, neg long")
+              .groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+                                        for c in ("pos", "neg") for k in range(FOLDS)]))
     counts = stored(counts, "feature-counts")
     totals = counts.where("feature = ''").first()
-    share = (totals.pos + 0.5) / (totals.pos + totals.neg + 1) if totals else 0.5
-    # evidence: log-likelihood ratio of the feature's toxic share against the sample's
-    n, p, q = F.col("pos") + F.col("neg"), F.col("pos"), F.greatest(F.col("neg"), F.lit(1e-9))
-    evidence = 2 * (p * F.ln(p / (n * share)) + q * F.ln(q / (n * (1 - share))))
-    strongest = (counts.where((F.col("feature") != "") & (p > 0) & (p > n * share)).withColumn("evidence", evidence)
-                 .where(F.col("evidence") >= MIN_EVIDENCE)
-                 .orderBy(F.col("evidence").desc(), "feature").limit(max_features).collect())
-    features = {r.feature: j for j, r in enumerate(strongest)}
+
+    def strongest(without: int) -> DataFrame:
+        """Features of the texts outside of a fold (FOLDS: of all texts)."""
+        every = [k for k in range(FOLDS) if k != without]
+        pos, neg = (sum(totals[f"{c}{k}"] for k in every) if totals else 0 for c in ("pos", "neg"))
+        share = (pos + 0.5) / (pos + neg + 1)
+        # evidence: log-likelihood ratio of the feature's toxic share against the sample's
+        p, q = (sum((F.col(f"{c}{k}") for k in every), F.lit(0)) for c in ("pos", "neg"))
+        n, q = p + q, F.greatest(q, F.lit(1e-9))
+        evidence = 2 * (p * F.ln(p / (n * share)) + q * F.ln(q / (n * (1 - share))))
+        return (counts.where((F.col("feature") != "") & (p > 0) & (p > n * share))
+                .select(F.lit(without).alias("without"), "feature", evidence.alias("evidence"))
+                .where(F.col("evidence") >= FLOORS[-1]).orderBy(F.col("evidence").desc(), "feature").limit(max_features))
+    found = reduce(DataFrame.unionByName, map(strongest, range(FOLDS + 1))).collect()
+    found.sort(key=lambda r: (-r.without, -r.evidence, r.feature))
+    column = {f: j for j, f in enumerate(dict.fromkeys(r.feature for r in found))}
     rows = sample.select("h", "t", "toxic").mapInArrow(
-        _vectors(features), "h long, toxic boolean, indices array<int>, seeds array<boolean>").collect()
+        _vectors(column), "h long, toxic boolean, indices array<int>, seeds array<boolean>").collect()
     rows.sort(key=lambda r: (r.h, r.toxic, r.indices))
+    floor = best_floor([r.indices for r in rows], np.array([r.toxic for r in rows], dtype=float),
+                       np.array([r.h % FOLDS for r in rows]),
+                       [[(r.evidence, column[r.feature]) for r in found if r.without == k] for k in range(FOLDS)], **options)
+    features = {r.feature: column[r.feature] for r in found if r.without == FOLDS and r.evidence >= floor}
+    indices = [[j for j in r.indices if j < len(features)] for r in rows]      # those of all texts come first
     targets = np.array([[*(r.toxic and s for s in r.seeds), r.toxic] for r in rows], dtype=float)
-    return train_chain([r.indices for r in rows], targets.reshape(len(rows), len(CHAIN)), features, **options)
+    return train_chain(indices, targets.reshape(len(rows), len(CHAIN)), features, **options)
 
 
 # ---- scoring ------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """The classifier chain on held-out labels, out-of-fold training, odd rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,28 @@ def test_held_out_labels(spark, tables):
     assert wrong < 0.01 * (wrong + clean), n
 
 
+@pytest.mark.parametrize("sf, seeded, other, clean", [("sf0.001", 0.9, 0.0, 0.01), ("sf0.01", 0.9, 0.5, 0.04)])
+def test_small_samples_catch_what_large_ones_do(spark, tables, sf, seeded, other, clean):
+    """Trained on few labels, held against the texts of sf0.1 that were not among them."""
+    docs, labels = tables
+    few = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    chain = X.fit_chain(few, spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"))
+    held = docs.join(labels, "doc_id").join(few.select("text"), "text", "left_anti").dropDuplicates(["text", "toxic"])
+    seeds = {w for s in X.CATEGORIES.values() for w in s}
+    n = Counter((r.toxic, bool(X.words(r.text) & seeds), r.found) for r in X.flag(
+        held.withColumnRenamed("toxic", "label"), chain).withColumnsRenamed({"toxic": "found", "label": "toxic"}).collect())
+    share = lambda toxic, seed: n[toxic, seed, True] / max(1, n[toxic, seed, True] + n[toxic, seed, False])
+    print(sf, n)
+    assert share(1, True) > seeded and share(1, False) >= other and share(0, False) < clean, n
+
+
+def test_no_feature_no_flag(spark):
+    rows = [(i, f"w{i} v{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    assert not any(r.toxic for r in X.flag(docs, X.fit_chain(docs, labels)).collect())
+
+
 def test_query_scores_every_document(spark):
     got = catalog.op3_toxicity(spark, "/root/testdata/sf0.01")
     assert got.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"]
