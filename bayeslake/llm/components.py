@@ -1,8 +1,10 @@
 """Connected components of a graph given as a table of links.
 
-Each round hooks every vertex to its least neighbour, follows one pointer and
-contracts the graph; links inside a contracted vertex vanish, so the table
-shrinks from round to round. Nothing of the graph reaches the driver; hubs
+Each round hooks every vertex to its least neighbour, follows the pointers to
+their roots, doubling the way with every step, and contracts the graph. A root
+that no one hooked to has a smaller neighbour in the next round, so two rounds
+at least halve the vertices, and rounds and steps grow with the logarithm of
+their number. Nothing of the graph reaches the driver; hubs
 are joined on, never grouped into lists.
 """
 
@@ -25,9 +27,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
         hook = stored(hook, "hooks")
-        up = hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select(
-            "id", F.col("top").alias("up"))
-        up = stored(up, "pointers")
+        up, moving = hook, True
+        while moving:
+            step = (up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up")
+                    .select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            step = stored(step, "pointers")
+            up, moving = step.select("id", "up"), not step.where("moved").isEmpty()
         if labels is None:
             labels = up.withColumnRenamed("up", "component")
         else:

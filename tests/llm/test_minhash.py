@@ -131,3 +131,12 @@ def test_components(spark):
     want = classes(ids, [(a, b) for a, b in links if a is not None and b is not None and a != b])
     assert {r.id: r.component for r in components(df).collect()} == want
     assert components(df.where("a = 100")).collect() == []
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    from bayeslake.llm import components as C
+    written, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name, **o: written.append(name) or stored(df.coalesce(2), name, **o))
+    chain = spark.range(200).selectExpr("id a", "id + 1 b")
+    assert {r.id: r.component for r in components(chain).collect()} == {i: 0 for i in range(201)}
+    assert written.count("hooks") == 1 and written.count("pointers") <= 10, written
