@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bound, fresh, need
+from .common import BLANKS, bound, fresh, need, stored
 
 #: Labelled rows at most that the rules are learned from.
 MAX_LABELLED = 20_000
@@ -167,8 +167,9 @@ def decision(rules: list[Rule], s: str) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality", max_labelled: int = MAX_LABELLED, **options) -> list[Rule]:
     """Learn from at most ``max_labelled`` labelled rows (the lowest hashes
-    of their id), and of those from the texts that do not fail the base test.
-    NULL ids, labels and texts are passed over."""
+    of their id, and of several texts of one id the lowest hashes of those),
+    from the texts that do not fail the base test. A row that repeats another
+    one's id and text says it once. NULL ids, labels and texts are passed over."""
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
     some = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -178,7 +179,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     rows = with_statistics(texts.join(F.broadcast(some), "k"), "t", "s").where(~base_failed("s"))
     features = [F.expr(sql.replace("n_", "s.n_").replace("word_chars", "s.word_chars")).alias(f)
                 for f, sql in RATIOS.items()]
-    found = rows.select(F.xxhash64("k").alias("h"), "k", "bad", *features).collect()
+    # an id may have any number of texts: the bound holds for what the driver gets, too
+    found = (rows.select(F.xxhash64("k").alias("h"), "k", F.xxhash64("t").alias("text_hash"), "bad", *features).distinct()
+             .orderBy("h", "k", "text_hash", "bad").limit(max_labelled))
+    found = stored(found, "labelled-ratios").collect()
     found.sort(key=lambda r: (r.h, r.k, r.bad, *(r[f] for f in RATIOS)))
     return learn_rules([({f: r[f] for f in RATIOS}, r.bad) for r in found], **options)
 

@@ -215,7 +215,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
               label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES,
               **options) -> Chain:
     """Train on at most ``max_labelled`` labelled texts (the lowest hashes of
-    their ids). Their feature counts are summed by Spark; the driver gets the
+    their ids, and of several texts of one id the lowest hashes of those). Their feature counts are summed by Spark; the driver gets the
     ``max_features`` strongest features of the sample and of the sample
     without each fold, and the sample's rows over those.
     NULL ids, labels and texts are passed over."""
@@ -226,9 +226,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
             .select(F.col(id_col).alias("k"), (F.col(label_col) != 0).alias("toxic"))
             .orderBy(F.xxhash64("k"), "k", "toxic").limit(max_labelled))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    # an id may have any number of texts: the bound holds for the texts, too
+    texts = texts.withColumn("h", F.xxhash64("t"))
+    bounded = stored(texts.join(F.broadcast(some), "k").select(F.xxhash64("k").alias("hk"), "k", "h", "toxic").distinct()
+                     .orderBy("hk", "k", "h", "toxic").limit(max_labelled), "labelled-texts")
     # copies of one text say it once
-    sample = (texts.join(F.broadcast(some), "k").groupBy(F.xxhash64("t").alias("h"), "toxic")
-              .agg(F.min("t").alias("t")))
+    sample = (texts.join(F.broadcast(bounded.drop("hk")), ["k", "h"]).groupBy("h", "toxic").agg(F.min("t").alias("t")))
     fold = F.pmod("h", F.lit(FOLDS))
     counts = (sample.select("t", "toxic", fold.alias("fold")).mapInArrow(_counts, "feature string, fold long, pos long, neg long")
               .groupBy("feature").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")

@@ -87,3 +87,13 @@ def test_odd_labels_empty_tables_and_clashing_names(spark):
     out = Q.judge(docs, [], names=("s", "f", "k"))
     assert sorted((r.doc_id is None, r.f, r.k) for r in out.collect()) == [(False, True, False)] * 2 + [(True, True, False)]
     assert Q.judge(docs.drop("kept").where("false"), []).collect() == []
+
+
+def test_one_id_with_many_texts_stays_bounded(spark, monkeypatch):
+    text = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(1, f"{text} {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    sizes, learn = [], Q.learn_rules
+    monkeypatch.setattr(Q, "learn_rules", lambda rows, **o: sizes.append(len(rows)) or learn(rows, **o))
+    Q.fit_rules(docs, labels, max_labelled=20)
+    assert sizes == [20]

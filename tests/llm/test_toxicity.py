@@ -44,6 +44,15 @@ def test_small_samples_catch_what_large_ones_do(spark, tables, sf, seeded, other
     assert share(1, True) > seeded and share(1, False) >= other and share(0, False) < clean, n
 
 
+def test_one_id_with_many_texts_stays_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    sizes, train = [], X.train_chain
+    monkeypatch.setattr(X, "train_chain", lambda indices, *a, **o: sizes.append(len(indices)) or train(indices, *a, **o))
+    X.fit_chain(docs, labels, max_labelled=20)
+    assert sizes == [20]
+
+
 def test_no_feature_no_flag(spark):
     rows = [(i, f"w{i} v{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
