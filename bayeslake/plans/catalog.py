@@ -23,6 +23,8 @@ from 0). Every query fits on and scores the whole table, except
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ from ..operators.metrics import (accuracy, accuracy_from_confusion, confusion, p
                                  per_label_from_confusion)
 from ..operators.predict import candidate_scores, lookup_join, node_factor, predict
 from ..plans.dag import fan_in_edges
-from ..sources.tables import (csv_round_trip, encode_codes, read_table, split_key, split_random,
+from ..sources.tables import (csv_round_trip, domain_sizes, encode_codes, read_table, split_key, split_random,
                               standardize)
 
+#: Highest number of configurations that a long can index.
+MAX_INDEX = 2**63 - 1
+
 
 def r6(c):
     return F.round(c, 6)
@@ -179,14 +184,14 @@ def q_encode_codes(spark, sf):
 def q_node_inventory(spark, sf):
     m, train, _ = fitted(spark, sf, G3)
     net = m.network
-    counts = train.agg(*[e for n in net.nodes for e in (
-        F.count_distinct(col(n)).alias(f"d_{n}"), F.count(col(n)).alias(f"c_{n}"))])
+    # the domains of the discrete nodes only: continuous ones have none to count
+    sizes = domain_sizes(train, list(net.discrete_nodes()))
+    counts = train.agg(*[F.count(col(n)).alias(f"c_{n}") for n in net.nodes])
     rows = [F.struct(F.lit(n).alias("node"), F.lit(net.kinds[n]).alias("kind"),
                      F.lit(len(net.parents[n])).alias("n_parents"),
                      F.lit(len(net.discrete_parents(n))).alias("n_discrete_parents"),
                      F.lit(len(net.continuous_parents(n))).alias("n_continuous_parents"),
-                     (F.col(f"d_{n}") if net.is_discrete(n) else F.lit(None).cast("long")).alias("domain"),
-                     F.col(f"c_{n}").alias("n_nonnull"))
+                     F.lit(sizes.get(n)).cast("long").alias("domain"), F.col(f"c_{n}").alias("n_nonnull"))
             for n in net.nodes]
     return counts.select(F.inline(F.array(*rows)))
 
@@ -297,17 +302,22 @@ def q_coef_by_config(spark, sf):
 
 
 def config_grid(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every configuration of ``columns`` over 0..K-1 (K = distinct values),
-    mixed radix with the last column fastest, and its index. The product is
-    dealt out again before each further column, so no task makes it alone."""
-    k = df.agg(*[F.count_distinct(col(c)).alias(f"k{j}") for j, c in enumerate(columns)])
-    out = k.withColumn("idx", F.lit(0).cast("long"))
-    for j, c in enumerate(columns):
-        out = (out.withColumn(c, F.explode(F.sequence(F.lit(0), F.col(f"k{j}").cast("int") - 1)))
-               .withColumn("idx", F.col("idx") * F.col(f"k{j}") + col(c)))
-        if j + 1 < len(columns):
-            out = out.repartition("idx")
-    return out.select(*columns, "idx")
+    """Every configuration of ``columns`` over 0..K-1 (K = distinct non-null
+    values), mixed radix with the last column fastest, and its index.
+
+    One distributed range over the product, whose digits are decoded by
+    arithmetic: no shuffle, and no task makes the product alone. A column
+    without values gives no row; a product beyond a long is refused.
+    """
+    sizes = domain_sizes(df, columns)
+    total = math.prod(sizes[c] for c in columns)
+    if total > MAX_INDEX:
+        raise ValueError(f"the configurations of {columns} are {total}, more than a long can number")
+    out, stride, digits = df.sparkSession.range(total), 1, {}
+    for c in reversed(columns):
+        digits[c] = F.expr(f"CAST(id DIV {max(1, stride)}L % {max(1, sizes[c])}L AS INT)")
+        stride *= sizes[c]
+    return out.select(*[digits[c].alias(c) for c in columns], F.col("id").alias("idx"))
 
 
 def q_config_grid(spark, sf):
@@ -315,6 +325,19 @@ def q_config_grid(spark, sf):
     return config_grid(train, ["rf", "ls"])
 
 
+def q_config_grid_sizes(spark, sf):
+    """Configurations of column sets, one of them with a column that is NULL everywhere."""
+    li = lineitem_coded(spark, sf).select("rf", "ls", "l_linenumber",
+                                          F.when(F.col("rf") < 0, F.col("rf")).alias("never"))
+    parts = []
+    for cols in (["rf", "ls", "l_linenumber"], ["rf", "never"], ["never"]):
+        g = config_grid(li, cols)
+        parts.append(g.agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last"),
+                           F.sum(sum(F.col(c) for c in cols)).alias("digits"))
+                     .select(F.lit(",".join(cols)).alias("columns"), "n", "last", "digits"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def degenerate_params(m: Model) -> DataFrame:
     g = m.gauss.filter(F.col("scope") != "root").filter((F.col("sd") <= 0) | F.col("sd").isNull()).select(
         F.concat(F.lit("gauss_"), F.col("scope")).alias("kind"), "node", cfg_str().alias("config"),
@@ -532,6 +555,7 @@ QUERIES = {
     "coef_edge": q_coef_edge,
     "coef_by_config": q_coef_by_config,
     "config_grid": q_config_grid,
+    "config_grid_sizes": q_config_grid_sizes,
     "degenerate_params": q_degenerate_params,
     "pdf_normal": q_pdf_normal,
     "pdf_bivariate": q_pdf_bivariate,

@@ -397,6 +397,15 @@ def build() -> dict[str, str]:
                              "CAST(a.i * kk.k1 + b.i AS BIGINT) AS idx FROM kk "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k0)) AS i) a "
                              "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k1)) AS i) b")
+    o["config_grid_sizes"] = with_([LI, ("kk", "SELECT count(DISTINCT rf) AS k0, count(DISTINCT ls) AS k1, "
+                                               "count(DISTINCT l_linenumber) AS k2 FROM li"),
+                                   ("grid", "SELECT a.i AS rf, b.i AS ls, c.i AS ln, (a.i * kk.k1 + b.i) * kk.k2 + c.i AS idx "
+                                            "FROM kk CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k0)) AS i) a "
+                                            "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k1)) AS i) b "
+                                            "CROSS JOIN LATERAL (SELECT unnest(range(0, kk.k2)) AS i) c")],
+                                  "SELECT 'rf,ls,l_linenumber' AS columns, count(*) AS n, CAST(max(idx) AS BIGINT) AS last, "
+                                  "CAST(sum(rf + ls + ln) AS BIGINT) AS digits FROM grid "
+                                  "UNION ALL SELECT 'rf,never', 0, NULL, NULL UNION ALL SELECT 'never', 0, NULL, NULL")
     bnd, cd = base("GD")
     pd_ = cd + bnd.param_ctes()
     i_nc = bnd.idx("n_chars")

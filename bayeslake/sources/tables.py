@@ -37,6 +37,32 @@ def csv_round_trip(df: DataFrame) -> DataFrame:
     return read_csv_infer(df.sparkSession, path)
 
 
+# ---- domains ----------------------------------------------------------------------
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, value): the distinct non-null values of columns of ONE data type,
+    ``col`` being the column's place in ``columns``. One scan: equal pairs
+    combine map-side, so a column costs its distinct values, not its rows."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(j).alias("col"), col(c).alias("value"))
+                               for j, c in enumerate(columns)]))
+    return df.select(pairs).where(F.col("value").isNotNull()).distinct()
+
+
+def domain_sizes(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Number of distinct non-null values of each column (0 for an empty one).
+
+    The distinct pairs are counted in two levels, so no column's values meet in
+    one task; columns of one type share a scan.
+    """
+    by_type: dict[str, list[str]] = {}
+    for c in dict.fromkeys(columns):
+        by_type.setdefault(df.select(col(c)).schema[0].dataType.simpleString(), []).append(c)
+    sizes = dict.fromkeys(columns, 0)
+    for names in by_type.values():
+        for r in distinct_values(df, names).groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[names[r["col"]]] = r["n"]
+    return sizes
+
+
 # ---- integer codes ----------------------------------------------------------------
 def fit_codes(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
     """Code table (col, value, code) for columns of ONE data type: code =
@@ -52,13 +78,10 @@ def fit_codes(df: DataFrame, columns: list[str], partitions: int | None = None)
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = F.inline(F.array(*[F.struct(F.lit(j).alias("col"), col(c).alias("value"))
-                               for j, c in enumerate(columns)]))
     # kept with its partition numbers before both uses: range bounds come from a
     # sample, so two evaluations need not agree
     ensure_checkpoint_dir(spark)
-    dom = (df.select(pairs).where(F.col("value").isNotNull()).distinct()
-           .repartitionByRange(n, "col", "value")
+    dom = (distinct_values(df, columns).repartitionByRange(n, "col", "value")
            .withColumn("pid", F.spark_partition_id())).checkpoint()
     local = dom.withColumn("r", F.row_number().over(Window.partitionBy("pid", "col").orderBy("value")))
     sizes = dom.groupBy("pid", "col").agg(F.count(F.lit(1)).alias("c"))

@@ -83,3 +83,31 @@ def test_model_save_load(spark, h1):
     assert a == b
     assert m2.sizes == m.sizes
     assert m.params().filter(F.col("kind") == "cpt").count() == 3 * m.cpt.count()
+
+
+def test_config_grid_of_empty_and_null_columns(spark):
+    from bayeslake.plans.catalog import config_grid
+    df = spark.createDataFrame([(1, "x", None), (2, "y", None), (2, None, None)], "a int, b string, c int")
+    got = [tuple(r) for r in config_grid(df, ["a", "b"]).orderBy("idx").collect()]
+    assert got == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3)]
+    assert config_grid(df, ["a", "c"]).count() == 0 and config_grid(df, ["c"]).count() == 0
+    assert config_grid(df.limit(0), ["a", "b"]).count() == 0
+    plan = config_grid(df, ["a", "b"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Range" in plan
+
+
+def test_config_grid_refuses_an_index_beyond_a_long(spark, monkeypatch):
+    import pytest
+    from bayeslake.plans import catalog
+    monkeypatch.setattr(catalog, "domain_sizes", lambda df, cols: {c: 10**7 for c in cols})
+    with pytest.raises(ValueError, match="more than a long"):
+        catalog.config_grid(spark.range(1), ["a", "b", "c"])
+
+
+def test_domain_sizes_count_in_two_levels_without_expanding_by_column(spark):
+    from bayeslake.sources.tables import distinct_values, domain_sizes
+    df = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (None, 1, None)], "a int, b int, s string")
+    assert domain_sizes(df, ["a", "b", "s"]) == {"a": 2, "b": 1, "s": 1}
+    assert domain_sizes(df.limit(0), ["a", "s"]) == {"a": 0, "s": 0}
+    plan = distinct_values(df, ["a", "b"])._jdf.queryExecution().toString()
+    assert "Expand" not in plan
