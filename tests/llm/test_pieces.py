@@ -91,3 +91,44 @@ def test_odd_rows(spark):
     out = sorted(((r.doc_id or 0, r.n_ids, r.text) for r in S.decode_documents(enc, MODEL).collect()))
     assert out == [(0, 2, "a b"), (1, 0, ""), (1, 0, ""), (2, 2, "a b"), (2, 2, "a b")]
     assert S.encode_documents(df.where(F.lit(False)), MODEL).collect() == []
+
+
+def test_long_runs_equal_the_library_and_take_no_time():
+    import time
+    codec = S.Codec(S.Vocabulary.load(MODEL))
+    codec.encode(["warm up"])
+    runs = [" " * 200_000, "a" + " " * 100_000 + "b", "=" * 50_000, "x y " * 50_000, "\n" * 20_000]
+    began = time.process_time()
+    got = codec.encode(runs)
+    assert time.process_time() - began < 10
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == library(runs)
+
+
+def test_runs_of_every_length_equal_the_library():
+    codec = S.Codec(S.Vocabulary.load(MODEL))
+    runs = [c * n for c in " =-a" for n in list(range(1, 70)) + [127, 128, 129, 1000, 1023]]
+    assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode(runs)] == library(runs)
+
+
+def test_pieces_stay_apart_as_merging_says():
+    """Undoing joins along the border against merging the two texts again."""
+    lattice = S.Lattice(S.Vocabulary.load(MODEL))
+    rng = random.Random(5)
+    ids = [i for p, i in lattice.v.ids.items() if len(p) < 9]
+    known = 0
+    for _ in range(3000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        said = lattice._stay_apart(a, b)
+        texts = [lattice.v.pieces[i][0] for i in (a, b)]
+        if said is not None:
+            known += 1
+            assert said == (lattice.merge("".join(texts)) == texts), texts
+    assert known > 2000
+
+
+def test_words_are_cut_only_where_no_piece_crosses():
+    v = S.Vocabulary.load(MODEL)
+    assert "".join(v.parts("▁word,another;x")) == "▁word,another;x"
+    for word in ("▁word,", "▁don't", "x=3.14", "▁(a)[b]"):
+        cuts = list(itertools.accumulate(map(len, v.parts(word))))[:-1]
+        assert all(word[i - 1:i + 1] not in p for i in cuts for p in v.ids)
