@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import embeddings, licences, line_dedup, minhash, packing, pieces, quality, sharding, token_files, toxicity
+from . import embeddings, hidden_markov, licences, line_dedup, minhash, packing, pieces, quality, sharding, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,9 +73,13 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op4_sentencepiece,
                                 op5_quality_rules, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_line_dedup,
-                                op9_licence_scan, op10_jump_sharding)}
+                                op9_licence_scan, op10_jump_sharding, op11_hidden_markov)}
 
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
