@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import embeddings, hidden_markov, licences, line_dedup, minhash, packing, pieces, quality, sharding, token_files, toxicity
+from . import (alignment, embeddings, hard_negatives, hidden_markov, licences, line_dedup, minhash, packing, pieces,
+               quality, sharding, token_files, toxicity)
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,9 +78,22 @@ def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, path_a: str | None = None,
+                             path_b: str | None = None) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), path_a or tokenizer_path("byte_bpe_50k.json"),
+                                     path_b or tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_best_fit_packing, op3_toxicity, op4_sentencepiece,
                                 op5_quality_rules, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_line_dedup,
-                                op9_licence_scan, op10_jump_sharding, op11_hidden_markov)}
+                                op9_licence_scan, op10_jump_sharding, op11_hidden_markov,
+                                op12_hard_negatives, op13_tokenizer_alignment)}
 
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
@@ -100,6 +114,27 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op12_hard_negatives": """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+           CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same)
+    WHERE k <= 5)
+SELECT * FROM (
+    SELECT p.anchor_id, p.id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+           s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+WHERE rank <= 10""",
     "op10_jump_sharding": r"""
 WITH RECURSIVE crc_steps(i, c, k) AS (
     SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i)
