@@ -22,15 +22,48 @@ from pyspark.sql.functions import pandas_udf
 _CELLS_PER_CHUNK = 1 << 22
 
 
+# Largest |class mean - pivot| / sd for which the squares may be multiplied out: what
+# cancels is below its square times the rounding error.
+_SAFE_SPREAD = 1e3
+
+
 def class_log_density_sums(x: np.ndarray, mean: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Per row and class: sum over features of ``-0.5 ((x - m) r)^2 + c``.
 
     ``x`` is (n, C) with NaN for a missing value (marginalised: adds 0);
     ``mean``, ``r``, ``c`` are (K, C). A degenerate class sd is encoded as
     r = 0, c = -inf (factor 0 when the value is present).
+
+    The squares are multiplied out around a pivot per feature, which makes the
+    sums three matrix products; where classes lie very many sds apart, or a value is infinite,
+    they are summed term by term.
     """
     n = x.shape[0]
     out = np.empty((n, mean.shape[0]))
+    if not n or not mean.size:
+        out[:] = 0.0
+        return out
+    weight = np.abs(r) > 0
+    pivot = np.where(weight, mean, 0.0).sum(axis=0) / np.maximum(weight.sum(axis=0), 1)
+    m = np.where(weight, mean - pivot, 0.0)
+    simple = np.isfinite(x).all() or not np.isinf(x).any()
+    if simple and np.abs(m * r).max() <= _SAFE_SPREAD:
+        none = np.isneginf(c)
+        square, linear = -0.5 * r * r, m * r * r
+        const = -0.5 * (m * r) ** 2 + np.where(none, 0.0, c)
+        step = max(1, _CELLS_PER_CHUNK // x.shape[1])
+        for a in range(0, n, step):
+            z = x[a:a + step] - pivot
+            there = ~np.isnan(z)
+            full = there.all()
+            if not full:
+                z = np.where(there, z, 0.0)
+            s = (z * z) @ square.T + z @ linear.T
+            s += const.sum(axis=1) if full else there @ const.T
+            if none.any():
+                s[(there.astype(float) @ none.T.astype(float)) > 0] = -np.inf
+            out[a:a + step] = s
+        return out
     step = max(1, _CELLS_PER_CHUNK // max(1, mean.size))
     for a in range(0, n, step):
         xa = x[a:a + step, None, :]
@@ -40,12 +73,61 @@ def class_log_density_sums(x: np.ndarray, mean: np.ndarray, r: np.ndarray, c: np
     return out
 
 
+def pair_log_density_sums(x, y, mx, sx, my, sy, rho) -> np.ndarray:
+    """Per row: sum over the C parents of the log bivariate normal density of (x, y).
+
+    ``x`` (n, C), ``y``, ``my``, ``sy`` (n,), ``mx``, ``sx`` (C,), ``rho`` (n, C) or (C,). A
+    missing x or y is marginalised (adds 0); an sd that is missing or not above 0, or a
+    coefficient that is missing or outside (-1, 1), makes the factor 0.
+    """
+    n, width = x.shape
+    out = np.empty(n)
+    rho = np.broadcast_to(rho, x.shape)
+    step = max(1, _CELLS_PER_CHUNK // max(1, 4 * width))
+    with np.errstate(all="ignore"):
+        for a in range(0, n, step):
+            s = slice(a, a + step)
+            r, sd = rho[s], sy[s, None]
+            good = (sx > 0)[None] & (sd > 0) & (np.abs(r) < 1)
+            zx, zy = (x[s] - mx) / sx, (y[s, None] - my[s, None]) / sd
+            one = 1.0 - r * r
+            t = (-np.log(2.0 * np.pi) - np.log(sx)[None] - np.log(sd) - 0.5 * np.log(one)
+                 - (zx * zx + zy * zy - 2.0 * r * zx * zy) / (2.0 * one))
+            t = np.where(good, t, -np.inf)
+            out[s] = np.where(np.isnan(x[s]) | np.isnan(y[s, None]), 0.0, t).sum(axis=1)
+    return out
+
+
+def pair_density_udf(mx: np.ndarray, sx: np.ndarray):
+    """pandas UDF: (x array, y, mean of y, sd of y, coefficients array) per row -> the sum of
+    the log joint densities; the parents' global moments are its constants."""
+    width, kernel, stack = len(mx), by_value(pair_log_density_sums), by_value(_stack)
+
+    @pandas_udf("double")
+    def sums(xs: pd.Series, y: pd.Series, my: pd.Series, sy: pd.Series, rho: pd.Series) -> pd.Series:
+        number = [v.to_numpy(dtype=float, na_value=np.nan) for v in (y, my, sy)]
+        return pd.Series(kernel(stack(xs.to_numpy(), width), number[0], mx, sx, number[1], number[2], stack(rho.to_numpy(), width)))
+    return sums
+
+
+def fixed_pair_density_udf(mx: np.ndarray, sx: np.ndarray, my: float, sy: float, rho: np.ndarray):
+    """pandas UDF: (x array, y) -> the sum of the log joint densities, all moments being constants."""
+    width, kernel, stack = len(mx), by_value(pair_log_density_sums), by_value(_stack)
+
+    @pandas_udf("double")
+    def sums(xs: pd.Series, y: pd.Series) -> pd.Series:
+        n = len(xs)
+        return pd.Series(kernel(stack(xs.to_numpy(), width), y.to_numpy(dtype=float, na_value=np.nan), mx, sx,
+                                np.full(n, my), np.full(n, sy), rho))
+    return sums
+
+
 def class_density_udf(mean: np.ndarray, r: np.ndarray, c: np.ndarray):
     """pandas UDF: ``array<double>`` of C feature values -> ``array<double>``
     of the K class log-density sums (classes in the order of the rows of
     ``mean``). Helpers are bound here, so they are pickled by value and the
     workers need no copy of this package."""
-    width, kernel, stack = mean.shape[1], _by_value(class_log_density_sums), _by_value(_stack)
+    width, kernel, stack = mean.shape[1], by_value(class_log_density_sums), by_value(_stack)
 
     @pandas_udf("array<double>")
     def sums(xs: pd.Series) -> pd.Series:
@@ -53,9 +135,9 @@ def class_density_udf(mean: np.ndarray, r: np.ndarray, c: np.ndarray):
     return sums
 
 
-def _by_value(f):
+def by_value(f):
     """A copy of a module-level function that belongs to no importable module."""
-    copy = types.FunctionType(f.__code__, {"np": np, "_CELLS_PER_CHUNK": _CELLS_PER_CHUNK}, f.__name__, f.__defaults__)
+    copy = types.FunctionType(f.__code__, {"np": np, "_CELLS_PER_CHUNK": _CELLS_PER_CHUNK, "_SAFE_SPREAD": _SAFE_SPREAD}, f.__name__, f.__defaults__)
     copy.__module__ = "__main__"
     return copy
 
@@ -76,7 +158,7 @@ def row_density_udf(width: int):
     per row -> sum of the normal log densities, the moments being the row's
     own (looked up by its class). NULL / NaN value: marginalised; sd <= 0 or
     NULL with a value present: -inf; no moments for the row: NULL."""
-    const, stack = 0.5 * np.log(2.0 * np.pi), _by_value(_stack)
+    const, stack = 0.5 * np.log(2.0 * np.pi), by_value(_stack)
 
     @pandas_udf("double")
     def sums(xs: pd.Series, ms: pd.Series, ss: pd.Series) -> pd.Series:

@@ -34,6 +34,7 @@ from ..functions.density import col
 from ..functions.sqltext import q, s as lit_s
 from ..plans.dag import Network
 from ..session import ensure_checkpoint_dir
+from . import moments
 
 ARRAY_INT = "array<int>"
 
@@ -70,30 +71,30 @@ class _Grouping:
     gid: int = -1
 
 
-# From this many continuous nodes on, their means and sds are aggregated in
-# long form (see long_moment_stats): one wide aggregate of 2 functions per
-# node generates code over the JIT size limit (measured at 256 features:
-# ~0.75 ms per row and core, interpreted).
+# From this many continuous nodes, or continuous edges, on, means, sds and
+# coefficients come from mergeable summaries (operators.moments): one wide
+# aggregate of 2 functions per node and 3 per edge generates code over the JIT
+# size limit (measured at 256 features: ~0.75 ms per row and core, interpreted).
 LONG_MOMENTS_MIN = 32
+LONG_EDGES_MIN = 16
+
+
+def uses_summaries(net: Network) -> bool:
+    return len(net.continuous_nodes()) >= LONG_MOMENTS_MIN or len(net.continuous_edges()) >= LONG_EDGES_MIN
 
 
 def _edge_nodes(net: Network) -> set:
     return {n for e in net.continuous_edges() for n in e}
 
 
-def _plan_groupings(net: Network, long_moments: bool = False) -> list[_Grouping]:
-    """One grouping per distinct key, with the aggregates it needs.
-
-    With ``long_moments`` the means / sds come from long_moment_stats, except
-    those of the ends of continuous edges (the coefficients need them here).
-    """
+def _plan_groupings(net: Network, counts_only: bool = False) -> list[_Grouping]:
+    """One grouping per distinct key, with the aggregates it needs; with
+    ``counts_only`` the moments come from summaries and the groupings count rows."""
     cont = net.continuous_nodes()
     cidx = {c: i for i, c in enumerate(cont)}
-    eidx = {e: i for i, e in enumerate(net.continuous_edges())}
-    keep = _edge_nodes(net)
 
     def mean_sd(c):
-        if long_moments and c not in keep:
+        if counts_only:
             return {}
         i = cidx[c]
         return {f"m{i}": f"avg({q(c)})", f"s{i}": f"stddev_samp({q(c)})"}
@@ -107,7 +108,7 @@ def _plan_groupings(net: Network, long_moments: bool = False) -> list[_Grouping]
     glob: dict[str, str] = {}
     for c in cont:
         glob.update(mean_sd(c))
-    for (p, c), i in eidx.items():
+    for i, (p, c) in enumerate(net.continuous_edges() if not counts_only else ()):
         x, y = q(p), q(c)
         glob[f"cv{i}"] = f"covar_pop({x}, {y})"
         glob[f"px{i}"] = f"avg(CASE WHEN {y} IS NOT NULL THEN {x} END)"
@@ -123,7 +124,7 @@ def _plan_groupings(net: Network, long_moments: bool = False) -> list[_Grouping]
                 aggs.update(mean_sd(c))
             if aggs:
                 need((n,), aggs)
-        elif dpar and (not long_moments or n in keep):
+        elif dpar and not counts_only:
             need(dpar, mean_sd(n))
     return [_Grouping(k, a) for k, a in groups.items()]
 
@@ -133,46 +134,32 @@ def _gid(key, cols) -> int:
     return sum(1 << (m - 1 - i) for i, c in enumerate(cols) if c not in key)
 
 
-def moment_keys(net: Network) -> list[tuple[str, ...]]:
-    """Groupings under which continuous moments are needed: () for the roots,
-    the discrete parents of a continuous node, a discrete node with
+def moment_groupings(net: Network) -> list[tuple[tuple[str, ...], list[int]]]:
+    """Keys under which continuous moments are needed and the continuous nodes wanted
+    there: the discrete parents of a continuous node, and a discrete node with
     continuous parents (its class moments)."""
-    keys = [()]
+    cidx = {c: i for i, c in enumerate(net.continuous_nodes())}
+    wanted: dict[tuple[str, ...], dict[int, None]] = {}
     for n in net.nodes:
         if not net.is_discrete(n) and net.discrete_parents(n):
-            keys.append(net.discrete_parents(n))
+            wanted.setdefault(net.discrete_parents(n), {})[cidx[n]] = None
         elif net.is_discrete(n) and net.continuous_parents(n):
-            keys.append((n,))
-    return list(dict.fromkeys(keys))
+            wanted.setdefault((n,), {}).update(dict.fromkeys(cidx[c] for c in net.continuous_parents(n)))
+    return [(k, list(js)) for k, js in wanted.items()]
 
 
-def long_moment_stats(X: DataFrame, net: Network) -> tuple[DataFrame, dict]:
-    """Mean and sample sd of every continuous node under every moment key,
-    in long form: the row's continuous values are ``posexplode``d into
-    (__j, __v) and ONE grouping-sets aggregate over (key..., __j) computes
-    three functions, so the generated code does not grow with the width and
-    partial aggregation still combines map-side. Returns the result
-    (columns: key columns, __j, __gid, __mean, __sd) and key -> gid."""
+def summary_stats(df: DataFrame, net: Network) -> tuple[DataFrame, list]:
+    """Summaries of all moments and edges from one pass over the data, and the groupings
+    they are numbered by; the roots have the number after the last grouping. NaN and NULL
+    are both missing there, so columns go as they are, cast only where the type differs."""
+    X = df.selectExpr(*[q(n) if net.is_discrete(n) is (t == "int") and t in ("int", "double")
+                        else f"CAST({q(n)} AS {'INT' if net.is_discrete(n) else 'DOUBLE'}) AS {q(n)}"
+                        for n, t in ((n, df.schema[n].dataType.simpleString()) for n in net.nodes)])
     cont = net.continuous_nodes()
-    keys = moment_keys(net)
-    order = {n: i for i, n in enumerate(net.nodes)}
-    dcols = sorted({c for k in keys for c in k}, key=order.__getitem__)
-    arr = F.expr("array(" + ", ".join(q(c) for c in cont) + ")")
-    aggs = [F.avg("__v").alias("__mean"), F.stddev_samp("__v").alias("__sd")]
-    parts, where = [], {}
-    for s, chunk in enumerate(_chunks(keys, len(keys), MAX_SET_COLUMNS - 1)):
-        dcols = sorted({c for k in chunk for c in k}, key=order.__getitem__)
-        L = X.select(*[col(c) for c in dcols], F.posexplode(arr).alias("__j", "__v"))
-        cols = dcols + ["__j"]
-        if len(chunk) > 1:
-            out = L.groupingSets([list(k) + ["__j"] for k in chunk], *[col(c) for c in cols]) \
-                   .agg(F.grouping_id().alias("__gid"), *aggs)
-            where.update({k: (s, _gid(k + ("__j",), cols)) for k in chunk})
-        else:
-            out = L.groupBy(*[col(c) for c in cols]).agg(*aggs).withColumn("__gid", F.lit(0).cast("long"))
-            where[chunk[0]] = (s, 0)
-        parts.append(out.withColumn("__scan", F.lit(s)))
-    return _union(parts, missing=True), where
+    cidx = {c: i for i, c in enumerate(cont)}
+    groupings = moment_groupings(net)
+    edges = [(cidx[p], cidx[c]) for p, c in net.continuous_edges()]
+    return moments.summarise(X, list(cont), groupings, len(groupings), edges), groupings
 
 
 # GROUPING SETS numbers its sets with one bit per column of a 64-bit id.
@@ -206,7 +193,7 @@ def long_counts(X: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
 
 
 def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
-                      long_moments: bool = False) -> tuple[DataFrame, dict]:
+                      counts_only: bool = False) -> tuple[DataFrame, dict]:
     """Aggregate every grouping; one scan per ``max_sets_per_scan`` groupings.
 
     Returns the unioned small result (columns: discrete nodes, ``scan``,
@@ -214,7 +201,7 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
     the row count is wanted, when there are more than ``max_sets_per_scan`` in
     all, come from ``long_counts`` instead: one scan for all of them.
     """
-    groups = _plan_groupings(net, long_moments)
+    groups = _plan_groupings(net, counts_only)
     if len(groups) > max_sets_per_scan:
         counted = [g for g in groups if len(g.aggs) == 1]
         groups = [g for g in groups if len(g.aggs) > 1]
@@ -302,8 +289,11 @@ class Model:
 
 
 def _sizes(cpt, gauss, coef) -> dict:
-    """Rows per (table, node): one tiny aggregate, collected as metadata."""
+    """Rows per (table, node), and under "domain" and "configs" the distinct values and
+    configurations of each discrete node: one tiny aggregate, collected as metadata."""
     u = (cpt.select(F.lit("cpt").alias("t"), "node")
+         .unionByName(cpt.select("node", "value").distinct().select(F.lit("domain").alias("t"), "node"))
+         .unionByName(cpt.select("node", "config").distinct().select(F.lit("configs").alias("t"), "node"))
          .unionByName(gauss.select(F.concat(F.lit("gauss_"), "scope").alias("t"), "node"))
          .unionByName(coef.select(F.lit("coef").alias("t"), F.col("child").alias("node"))))
     return {(r["t"], r["node"]): r["n"] for r in u.groupBy("t", "node").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -319,10 +309,12 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     """
     net = Network.from_schema(df.schema, edges, discrete, continuous)
     X = prepare_frame(df, net)
-    long_mode = len(net.continuous_nodes()) >= LONG_MOMENTS_MIN
+    long_mode = uses_summaries(net)
     stats, where = shared_scan_stats(X, net, max_sets_per_scan, long_mode)
     if long_mode:
-        lstats, lwhere = long_moment_stats(X, net)
+        ensure_checkpoint_dir(X.sparkSession)
+        lstats, groupings = summary_stats(df, net)
+        lstats = moments.merge(lstats.checkpoint(eager=True))   # a few rows per task
     if persist:
         # The grouped statistics (a few rows per grouping, tiny next to the
         # data) are written once to the shared checkpoint folder: one scan per
@@ -378,28 +370,27 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
             f"'dim', {lit_s(d)}, 'mean', {m(d)}, 'sd', {sd(d)})" for d in dims) + "))")
 
     if long_mode:
-        names = "array(" + ", ".join(lit_s(c) for c in cont) + ")"
-
-        def lrows(key):
-            s, g = lwhere[tuple(key)]
-            return lstats.filter((F.col("__scan") == s) & (F.col("__gid") == g))
-
-        def long_rows(df, scope, node, cfg, dim, m0, s0):
-            return df.select(node.alias("node"), F.lit(scope).alias("scope"), cfg.alias("config"),
-                             dim.alias("dim"), F.coalesce("__mean", F.lit(m0)).alias("mean"),
-                             F.coalesce("__sd", F.lit(s0)).alias("sd"))
-        dim_name = F.expr(f"element_at({names}, __j + 1)")
-        g_parts.append(long_rows(lrows(()), "root", dim_name, config_expr(()), dim_name, None, 1.0)
-                       .withColumn("mean", F.col("mean").cast("double")))
-        for n in net.nodes:
-            dpar = net.discrete_parents(n)
-            if not net.is_discrete(n) and dpar:
-                g_parts.append(long_rows(lrows(dpar).filter(F.col("__j") == cidx[n]), "config", F.lit(n),
-                                         config_expr(dpar), F.lit(n), 0.0, 0.0))
-            cpar = net.continuous_parents(n)
-            if net.is_discrete(n) and cpar:
-                g_parts.append(long_rows(lrows((n,)).filter(F.col("__j").isin([cidx[c] for c in cpar])),
-                                         "class", F.lit(n), config_expr((n,)), dim_name, 0.0, 0.0))
+        def of_columns(rows_of, js):
+            """Rows of one grouping with the node's name, mean and sd."""
+            names = "array(" + ", ".join(lit_s(cont[j]) for j in js) + ")"
+            return rows_of.select("key", F.expr(f"element_at({names}, j + 1)").alias("dim"), F.col("a").alias("m"),
+                                  moments.sample_sd(F.col("n"), F.col("c")).alias("s"))
+
+        def long_rows(df, scope, node, m, s):
+            return df.select(node.alias("node"), F.lit(scope).alias("scope"), F.col("key").alias("config"), "dim",
+                             m.alias("mean"), s.alias("sd"))
+        root = of_columns(lstats.filter(F.col("gid") == len(groupings)), range(len(cont)))
+        g_parts.append(long_rows(root, "root", F.col("dim"), F.col("m"), F.coalesce("s", F.lit(1.0))))
+        for g, (key, js) in enumerate(groupings):
+            found = of_columns(lstats.filter(F.col("gid") == g), js)
+            m0, s0 = F.coalesce("m", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
+            mine = [n for n in net.nodes if not net.is_discrete(n) and net.discrete_parents(n) == key]
+            if mine:
+                g_parts.append(long_rows(found.filter(F.col("dim").isin(mine)), "config", F.col("dim"), m0, s0))
+            for n in net.nodes:
+                if net.is_discrete(n) and key == (n,) and net.continuous_parents(n):
+                    g_parts.append(long_rows(found.filter(F.col("dim").isin(list(net.continuous_parents(n)))),
+                                             "class", F.lit(n), m0, s0))
     elif cont:
         g_parts.append(glob.select(gauss_rows(
             "root", lambda y: y, config_sql(()), cont,
@@ -427,13 +418,15 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
 
     # ---- coef --------------------------------------------------------------
     c_parts = []
-    if eidx:
+    if eidx and long_mode:
+        c_parts.append(_edge_coefficients(net, gauss, lstats.filter(F.col("gid") == moments.EDGES)))
+    elif eidx:
         names = [f"{a}{cidx[c]}" for c in cont if c in _edge_nodes(net) for a in ("m", "s")]
         names += [f"{a}{e}" for e in range(len(eidx)) for a in ("cv", "px", "py")]
         # one-row global statistics, attached as a scalar subquery
         gsub = glob.select(F.struct(*[F.col("__" + a).alias(a) for a in names]).alias("g")).scalar()
         gval = F.col("__g")
-    for (p, y), e in eidx.items():
+    for (p, y), e in eidx.items() if not long_mode else ():
         ip, iy = cidx[p], cidx[y]
         cv, px, py = gval[f"cv{e}"], gval[f"px{e}"], gval[f"py{e}"]
         mp = gval[f"m{ip}"]
@@ -475,6 +468,23 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     return Model(net, cpt, gauss, coef, sizes)
 
 
+def _edge_coefficients(net: Network, gauss: DataFrame, edges: DataFrame) -> DataFrame:
+    """(parent, child, config, rho) of all continuous edges as one relation: the edges'
+    paired moments, the parents' global ones and the children's for each configuration."""
+    names = net.continuous_edges()
+    ends = [F.expr("element_at(array(" + ", ".join(lit_s(e[k]) for e in names) + "), j + 1)") for k in (0, 1)]
+    paired = edges.select(ends[0].alias("parent"), ends[1].alias("child"), F.col("a").alias("px"), F.col("b").alias("py"),
+                          F.try_divide("c", "n").alias("cv"))
+    root = gauss.filter(F.col("scope") == "root")
+    parents = root.select(F.col("node").alias("parent"), F.col("mean").alias("mp"), F.col("sd").alias("sp"))
+    plain = [c for c in net.continuous_nodes() if net.continuous_parents(c) and not net.discrete_parents(c)]
+    children = gauss.filter((F.col("scope") == "config") | ((F.col("scope") == "root") & F.col("node").isin(plain)))
+    children = children.select(F.col("node").alias("child"), "config", F.col("mean").alias("my"), F.col("sd").alias("sy"))
+    num = F.col("cv") + (F.col("px") - F.col("mp")) * (F.col("py") - F.col("my"))
+    return (paired.join(parents, "parent").join(children, "child")
+            .select("parent", "child", "config", F.try_divide(num, F.col("sp") * F.col("sy")).alias("rho")))
+
+
 def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     """An empty frame of the given schema, planned in the JVM (no Python RDD)."""
     fields = [f.strip().split(" ", 1) for f in ddl.split(", ")]

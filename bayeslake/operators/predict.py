@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_const, log_norm_const,
                                  log_p, neg_inf, pair_density_term, safe_log)
 from ..functions import sqltext as S
-from ..functions.vectorized import class_density_udf, row_density_udf
+from ..functions.vectorized import (by_value, class_density_udf, class_log_density_sums,
+                                    fixed_pair_density_udf, pair_density_udf, row_density_udf)
 from .fit import Model, node_sql
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -49,6 +51,8 @@ MAX_FLAT_TERMS = 20
 # 6 MiB; the reference's largest grid point, 250 features x 20 classes, is
 # 5000 cells); beyond it the candidate-array path is used.
 MAX_UDF_CELLS = 1 << 18
+# Beyond it, cells (rows x features) of the row groups that meet a tile of classes.
+TILE_CELLS = 1 << 21
 # Wide discrete nodes scored with their own (looked-up) class moments: the
 # per-row density sum is one Arrow-batched evaluation instead of an
 # interpreted array fold.
@@ -76,6 +80,9 @@ class _Plan:
     # flat path: candidate values, and per-candidate terms j -> Column
     ks: list[int] | None = None
     flat: list[Callable[[int], Column]] = field(default_factory=list)
+    # arg-max only: best (score, -value) given the row's other factors; or class tiles
+    best: Callable[[Column], Column] | None = None
+    tiled: bool = False
 
 
 class Scorer:
@@ -87,6 +94,8 @@ class Scorer:
         self.log_default = log_const(self.default_prob)
         self.limit = max_broadcast_bytes
         self._ridx: dict = {}
+        self._udf: dict = {}               # output -> classes of the vectorised path
+        self._with_output: list[str] = []  # roots scored in the output's own evaluation
 
     # ---- shared one-row parameters --------------------------------------
     def _gm(self, node: str) -> tuple[Column, Column]:
@@ -209,6 +218,9 @@ class Scorer:
                 j = self.net.continuous_nodes().index(node)
                 plan.indep.append(S.pre_density(S.q(node), f"`__blg`.m{j}", f"`__blg`.r{j}", f"`__blg`.c{j}"))
             return                                                             # F13: factor 1
+        if self._wide(node):
+            self._wide_pair_term(plan, node, dpar, cpar, tag)
+            return
         my, sy = self._gm(node)
         if not dpar:                                                           # F12, global moments
             terms = []
@@ -236,6 +248,40 @@ class Scorer:
                                            F.col(f"{tag}sy"), F.col(f"{tag}r{j}")))
         plan.indep.append(F.when(F.col(f"{tag}my").isNull(), self.log_default).otherwise(_sum(terms)))
 
+    def _wide_pair_term(self, plan: _Plan, node: str, dpar, cpar, tag: str) -> None:
+        """F12 of a continuous node with many continuous parents: one Arrow-batched
+        evaluation fed by an array of coefficients, looked up per configuration. The
+        constants are one (mean, sd) row per parent."""
+        m = self.m
+        g = {r["node"]: (r["mean"], r["sd"]) for r in m.gauss.filter(
+            (F.col("scope") == "root") & F.col("node").isin([*cpar, node])).select("node", "mean", "sd").collect()}
+        nan = float("nan")
+        mx, sx = (np.array([nan if g[c][a] is None else g[c][a] for c in cpar], float) for a in (0, 1))
+        self._row_values(plan, node)
+        xs, y = F.col(f"{tag}x"), col(node)
+        names = F.expr("array(" + ", ".join(S.s(c) for c in cpar) + ")")
+        r = m.coef.filter(F.col("child") == node)
+        if not dpar:
+            rho = {e["parent"]: e["rho"] for e in r.select("parent", "rho").collect()}     # one row per parent
+            fixed = np.array([nan if rho.get(c) is None else rho[c] for c in cpar], float)
+            my, sy = (nan if v is None else float(v) for v in g[node])
+            plan.df = plan.df.withColumn(f"{tag}P", fixed_pair_density_udf(mx, sx, my, sy, fixed)(xs, y))
+            plan.tmp.append(f"{tag}P")
+            plan.indep.append(F.col(f"{tag}P"))
+            return
+        keys = [F.get(F.col("config"), i).alias(d) for i, d in enumerate(dpar)]
+        moments = m.gauss.filter((F.col("node") == node) & (F.col("scope") == "config")).select(
+            *keys, F.col("mean").alias(f"{tag}my"), F.col("sd").alias(f"{tag}sy"))
+        rows = F.array_sort(F.collect_list(F.struct(F.array_position(names, F.col("parent")).alias("j"), "rho")))
+        arrays = r.groupBy(*keys).agg(rows.alias("l")).select(
+            *[col(d) for d in dpar], F.transform("l", lambda e: e["rho"]).alias(f"{tag}R"))
+        t = moments.join(arrays, on=list(dpar), how="left")
+        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("gauss_config", node), 2 + len(cpar), self.limit)
+        my, sy, rho = (F.col(f"{tag}{a}") for a in ("my", "sy", "R"))
+        plan.df = plan.df.withColumn(f"{tag}P", pair_density_udf(mx, sx)(xs, y, my, sy, rho))
+        plan.tmp += [f"{tag}{a}" for a in ("my", "sy", "R", "P")]
+        plan.indep.append(F.when(my.isNull(), self.log_default).otherwise(F.col(f"{tag}P")))
+
     def output_term(self, plan: _Plan, output: str, cands: Column) -> None:
         """Log factor of the output node itself, per candidate (F9 / F11)."""
         net, m, tag = self.net, self.m, self._tag(output)
@@ -246,26 +292,19 @@ class Scorer:
         if dpar:
             t = t.select(*[F.col(f"__k{i}").alias(d) for i, d in enumerate(dpar)], f"{tag}lp")
             # one dense row per configuration: as wide as there are candidates
-            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), self._n_cands(output), self.limit)
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("configs", output), self._n_cands(output), self.limit)
         else:
             # one-row parameter: a scalar subquery, held in a column because
             # subqueries may not appear inside higher-order functions
             plan.df = plan.df.withColumn(f"{tag}lp", t.scalar())
         plan.tmp.append(f"{tag}lp")
         lp = F.col(f"{tag}lp")
-        udf_ks = None
-        if cpar and self._wide(output):
-            udf_ks = self.train_domain(output, max(1, MAX_UDF_CELLS // len(cpar)))
+        udf_ks = self._udf_classes(output)
         if udf_ks:
             # wide fan-in: all K class density sums of a row from one
             # Arrow-batched numpy evaluation (the class moments, K x C
             # numbers within MAX_UDF_CELLS, are the UDF's constants)
-            K = self._class_consts(output, udf_ks)
-            mat = [np.array([[K[(j, i)][a] for i in range(len(cpar))] for j in range(len(udf_ks))])
-                   for a in range(3)]
-            self._row_values(plan, output)
-            plan.df = plan.df.withColumn(f"{tag}D", class_density_udf(*mat)(F.col(f"{tag}x")))
-            plan.tmp.append(f"{tag}D")
+            self._class_densities(plan, output, udf_ks)
             known = F.array(*[F.lit(k) for k in udf_ks])
         elif cpar:
             mom = self._class_moments(output, "k")
@@ -301,6 +340,122 @@ class Scorer:
             return F.when(p.isNull(), self.log_default).otherwise(p + dens)
         plan.dep.append(term)
 
+    # ---- arg-max without a score per class -------------------------------------
+    def _domain_table(self, output: str) -> DataFrame:
+        """(value, rank): the training domain in order."""
+        one = self.m.cpt.sparkSession.range(1).select(self.candidates(output).alias("c"))
+        return one.select(F.posexplode("c").alias("rank", "value"))
+
+    def observed_best(self, plan: _Plan, output: str) -> None:
+        """Arg-max of an output with discrete parents and no discrete children.
+
+        A configuration saw only some classes; all others score ``default_prob``, so of
+        them only the lowest value counts: the first gap in the ranks of those seen. The
+        lookup table has for each configuration that gap and the seen classes, with
+        their class moments; without continuous parents the best seen class is known
+        beforehand. A row costs the classes seen under its configuration, not the domain.
+        """
+        net, m, tag = self.net, self.m, self._tag(output)
+        dpar, cpar = net.discrete_parents(output), net.continuous_parents(output)
+        names = [f"__k{i}" for i in range(len(dpar))]
+        domain = self._domain_table(output)
+        cp = m.cpt.filter(F.col("node") == output).select(
+            *[F.get(F.col("config"), i).alias(k) for i, k in enumerate(names)], "value", log_p(F.col("p")).alias("lp"))
+        cp = cp.join(domain, "value")                          # parameter tables
+        narrow = bool(cpar) and not self._wide(output)
+        if narrow:
+            cp = cp.join(self._class_moments(output, "value"), "value", "left")
+        extra = [c for j in range(len(cpar)) for c in (f"{tag}m{j}", f"{tag}s{j}")] if narrow else []
+        seen = F.array_sort(F.collect_list(F.struct("rank", "value", "lp", *extra)))
+        t = (cp.groupBy(*names).agg(seen.alias("seen"))
+             .withColumn("gap", F.aggregate("seen", F.lit(0), lambda at, e: F.when(e["rank"] == at, at + 1).otherwise(at)))
+             .join(domain.select(F.col("rank").alias("gap"), F.col("value").alias(f"{tag}G")), "gap", "left").drop("gap"))
+        if cpar:
+            t = t.withColumnRenamed("seen", f"{tag}E")
+            width = 3 + len(extra)
+        else:
+            t = t.withColumn(f"{tag}E", F.array_max(F.transform("seen", lambda e: F.struct(
+                e["lp"].alias("s"), (-e["value"]).alias("nk"))))).drop("seen")
+            width = 3
+        t = t.select(*[F.col(k).alias(d) for k, d in zip(names, dpar)], f"{tag}E", f"{tag}G")
+        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt" if cpar else "configs", output), width, self.limit)
+        plan.tmp += [f"{tag}E", f"{tag}G"]
+        lowest = m.cpt.filter(F.col("node") == output).agg(F.min("value").alias("v")).scalar()
+        plan.df = plan.df.withColumn(f"{tag}V", lowest)
+        plan.tmp.append(f"{tag}V")
+        E, gap, first = F.col(f"{tag}E"), F.col(f"{tag}G"), F.col(f"{tag}V")
+        if cpar and not narrow:
+            self._class_densities(plan, output, self._udf_classes(output))
+
+        def best(base: Column) -> Column:
+            def scored(e):
+                dens = F.lit(0.0)
+                if narrow:
+                    dens = self._density_sum(output, lambda name: e[name])
+                elif cpar:
+                    dens = F.get(F.col(f"{tag}D"), e["rank"])
+                return F.struct(_sum([base, e["lp"] + dens]).alias("s"), (-e["value"]).alias("nk"))
+            if cpar:
+                of_seen = F.array_max(F.transform(E, scored))
+            else:
+                of_seen = F.when(E.isNotNull(), F.struct((base + E["s"]).alias("s"), E["nk"].alias("nk")))
+            # a configuration not seen at all: the lowest class; where every class scores 0 too
+            unseen = F.when(E.isNull(), first).otherwise(gap)
+            of_unseen = F.when(unseen.isNotNull(), F.struct((base + self.log_default).alias("s"), (-unseen).alias("nk")))
+            none = F.when(base == NEG_INF, F.struct(neg_inf().alias("s"), (-first).alias("nk")))
+            return F.greatest(of_seen, of_unseen, none)
+        plan.best = best
+
+    def _class_densities(self, plan: _Plan, output: str, classes: list[int]) -> None:
+        """{tag}D: the density sums of ``classes`` by one Arrow-batched evaluation; the continuous
+        roots that were left to it are one more row of the class matrix, so that the values
+        they share with the output's parents go to Python once."""
+        cpar, tag = self.net.continuous_parents(output), self._tag(output)
+        K = self._class_consts(output, classes)
+        mat = [np.array([[K[(j, i)][a] for i in range(len(cpar))] for j in range(len(classes))]) for a in range(3)]
+        columns = list(cpar)
+        if self._with_output:
+            columns += [n for n in self._with_output if n not in cpar]
+            mat = [np.pad(a, ((0, 1), (0, len(columns) - len(cpar)))) for a in mat]
+            for a, v in zip(mat, self._root_consts(self._with_output)):
+                a[-1, [columns.index(n) for n in self._with_output]] = v
+        values = F.expr("array(" + ", ".join(f"CAST({S.q(c)} AS DOUBLE)" for c in columns) + ")")
+        plan.df = plan.df.withColumn(f"{tag}D", class_density_udf(*mat)(values))
+        plan.tmp.append(f"{tag}D")
+        if self._with_output:
+            plan.indep.append(F.get(F.col(f"{tag}D"), len(classes)))
+
+    def tiled_best(self, rows: DataFrame, output: str) -> DataFrame:
+        """``rows`` (with their other factors in __indep) plus __best, for an output whose only
+        parents are continuous and whose class moments are too many for one task.
+
+        The moments are cut into tiles of classes, the rows into groups; each pair is
+        one evaluation that keeps the best class of the tile, and Spark keeps the best
+        over the tiles. The rows are written once, so that their numbers hold.
+        """
+        net, m, tag = self.net, self.m, self._tag(output)
+        cpar = net.continuous_parents(output)
+        rows = rows.withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
+        groups = -(-rows.count() // max(1, TILE_CELLS // len(cpar))) or 1
+        tiles = -(-m.rows("domain", output) * len(cpar) // MAX_UDF_CELLS)
+        moments = self._class_moments(output, "value").join(
+            m.cpt.filter(F.col("node") == output).select("value", log_p(F.col("p")).alias("lp")), "value")
+        classes = moments.select(
+            F.pmod(F.xxhash64("value"), F.lit(tiles)).cast("int").alias("tile"), "value", "lp",
+            F.col(f"{tag}M").alias("M"), F.col(f"{tag}S").alias("S"),
+            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+        values = rows.select(
+            F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), (F.col("__rid") % groups).cast("int").alias("g"),
+            "__rid", F.expr("array(" + ", ".join(f"CAST({S.q(c)} AS DOUBLE)" for c in cpar) + ")").alias("x"))
+        found = (values.groupBy("tile", "g").cogroup(classes.groupBy("tile", "g"))
+                 .applyInArrow(tile_best(len(cpar)), "__rid long, s double, nk int"))
+        best = found.groupBy("__rid").agg(F.max(F.struct("s", "nk")).alias("__of"))
+        lowest = m.cpt.filter(F.col("node") == output).agg(F.min("value").alias("v")).scalar()
+        return (rows.join(best, "__rid", "left").withColumn("__low", lowest)
+                .withColumn("__best", F.when(F.col("__indep") == NEG_INF, F.struct(neg_inf().alias("s"), (-F.col("__low")).alias("nk")))
+                            .otherwise(F.struct((F.col("__indep") + F.col("__of.s")).alias("s"), F.col("__of.nk").alias("nk"))))
+                .drop("__rid", "__of", "__low"))
+
     def child_term(self, plan: _Plan, node: str, output: str) -> None:
         """Log factor of a discrete child of the output, per candidate (F11)."""
         net, m, tag = self.net, self.m, self._tag(node)
@@ -334,18 +489,30 @@ class Scorer:
 
     def _n_cands(self, output: str) -> int:
         """Values of the output in the model: the width of a dense row."""
-        return max(8, self.m.rows("cpt", output))
+        return max(8, self.m.rows("domain", output))
 
-    def roots_term(self, plan: _Plan, roots: list[str]) -> None:
-        """Log factors (F10) of many continuous roots in one Arrow-batched
-        evaluation: their sum as generated code would exceed the JIT limit.
-        The constants are one (mean, sd) row per root, read from the model."""
+    def _udf_classes(self, output: str) -> list[int] | None:
+        """Training domain of a wide output whose class moments fit the vectorised path."""
+        cpar = self.net.continuous_parents(output)
+        if not cpar or not self._wide(output):
+            return None
+        if output not in self._udf:
+            self._udf[output] = self.train_domain(output, max(1, MAX_UDF_CELLS // len(cpar)))
+        return self._udf[output]
+
+    def _root_consts(self, roots: list[str]) -> list[np.ndarray]:
+        """(mean, 1/sd, constant) of continuous roots: one row per root, read from the model."""
         g = (self.m.gauss.filter((F.col("scope") == "root") & F.col("node").isin(roots))
              .select("node", "mean", inv_sd(F.col("sd")).alias("r"),
                      log_norm_const(F.col("sd"), F.lit(0.0)).alias("c")))
-        got = {r["node"]: r for r in g.collect()}          # one row per root of the network
-        mat = [np.array([[float(got[n][a]) if n in got and got[n][a] is not None else 0.0
-                          for n in roots]]) for a in ("mean", "r", "c")]
+        got = {r["node"]: r for r in g.collect()}
+        return [np.array([float(got[n][a]) if n in got and got[n][a] is not None else 0.0 for n in roots])
+                for a in ("mean", "r", "c")]
+
+    def roots_term(self, plan: _Plan, roots: list[str]) -> None:
+        """Log factors (F10) of many continuous roots in one Arrow-batched
+        evaluation: their sum as generated code would exceed the JIT limit."""
+        mat = [v[None] for v in self._root_consts(roots)]
         plan.df = plan.df.withColumn("__blroots", class_density_udf(*mat)(
             F.expr("array(" + ", ".join(f"CAST({S.q(n)} AS DOUBLE)" for n in roots) + ")")))
         plan.tmp.append("__blroots")
@@ -353,11 +520,15 @@ class Scorer:
 
     def _scored_nodes(self, plan: _Plan, output: str) -> list[str]:
         """Nodes left for per-node terms, after many continuous roots (not
-        children of the output) were scored together."""
+        children of the output) were scored together, with the output's class
+        densities where those are evaluated in Python anyway."""
         net = self.net
         roots = [n for n in net.nodes if n != output and not net.is_discrete(n) and not net.parents[n]]
         if len(roots) > WIDE_FAN_IN:
-            self.roots_term(plan, roots)
+            if self._udf_classes(output):
+                self._with_output = roots
+            else:
+                self.roots_term(plan, roots)
             return [n for n in net.nodes if n not in roots]
         return list(net.nodes)
 
@@ -486,7 +657,10 @@ class Scorer:
         casts = {n: F.expr(node_sql(self.net, n)) for n in self.net.nodes if n != skip or n in df.columns}
         return df.withColumns(casts)
 
-    def score_plan(self, df: DataFrame, output: str, candidates: str = "train") -> tuple[_Plan, Column]:
+    def score_plan(self, df: DataFrame, output: str, candidates: str = "train",
+                   arg_max: bool = False) -> tuple[_Plan, Column]:
+        """Terms of the nodes. With ``arg_max`` only the best class is wanted, which spares
+        the classes that were never seen (observed_best) or leaves the output to tiled_best."""
         net = self.net
         if output not in net.nodes or not net.is_discrete(output):
             raise ValueError(f"output node {output!r} must be a discrete node of the model")
@@ -507,6 +681,18 @@ class Scorer:
                 else:
                     self.node_term(plan, n)
             return plan, F.array(*[F.lit(k) for k in ks])
+        if candidates == "train" and arg_max and not any(net.depends_on(n, output) for n in nodes if n != output):
+            dpar, cpar = net.discrete_parents(output), net.continuous_parents(output)
+            classes = self._udf_classes(output)
+            plan.tiled = bool(cpar) and not dpar and self._wide(output) and not classes
+            if plan.tiled or (dpar and (classes or not self._wide(output))):
+                for n in nodes:
+                    if n == output:
+                        if not plan.tiled:
+                            self.observed_best(plan, output)
+                    elif net.is_discrete(n) or output not in net.discrete_parents(n):
+                        self.node_term(plan, n)
+                return plan, F.lit(None)
         if candidates == "train":
             cands = self._train_cands = self.candidates(output)
         elif candidates == "scored":
@@ -533,6 +719,36 @@ class Scorer:
         return plan, cands
 
 
+def tile_best(width: int):
+    """Cogroup function: rows (__rid, x) and classes (value, lp, M, S) of a tile -> each row's
+    highest ln p + density over them, the lowest value of equal ones."""
+    kernel = by_value(class_log_density_sums)
+
+    def run(rows, classes):
+        def matrix(column):
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+        if not rows.num_rows or not classes.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int32())],
+                            names=["__rid", "s", "nk"])
+        order = np.argsort(classes.column("value").to_numpy(), kind="stable")
+        k, lp = classes.column("value").to_numpy()[order], classes.column("lp").to_numpy()[order]
+        mean, sd = matrix(classes.column("M"))[order], matrix(classes.column("S"))[order]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            good = sd > 0
+            r = np.where(good, 1.0 / sd, 0.0)
+            c = np.where(good, -np.log(sd) - 0.5 * np.log(2 * np.pi), -np.inf)
+        x = matrix(rows.column("x"))
+        s, at = np.empty(len(x)), np.empty(len(x), np.int64)
+        step = max(1, (1 << 21) // len(k))
+        for a in range(0, len(x), step):
+            scores = kernel(x[a:a + step], np.where(good, mean, 0.0), r, c) + lp
+            at[a:a + step] = scores.argmax(axis=1)          # the first of equal ones
+            s[a:a + step] = scores.max(axis=1)
+        return pa.table([rows.column("__rid").combine_chunks(), pa.array(s), pa.array(-k[at], pa.int32())],
+                        names=["__rid", "s", "nk"])
+    return run
+
+
 def _sum(terms: list) -> Column:
     """Sum of log terms given as Columns or SQL text (text terms are added
     in one expression)."""
@@ -581,10 +797,15 @@ def predict(model: Model, df: DataFrame, output: str, default_prob: float = 0.0,
     and ``score double`` (its log joint score)."""
     _no_clash(df, "prediction", "score")
     sc = Scorer(model, default_prob, max_broadcast_bytes)
-    plan, cands = sc.score_plan(df, output, candidates)
+    plan, cands = sc.score_plan(df, output, candidates, arg_max=True)
     out = plan.df.withColumn("__indep", _sum(plan.indep))
     base = F.col("__indep")
-    if plan.ks is not None:
+    if plan.tiled:
+        out = sc.tiled_best(out.drop(*plan.tmp), output)
+        best, plan.tmp = F.col("__best"), []
+    elif plan.best is not None:
+        best = plan.best(base)
+    elif plan.ks is not None:
         # one flat struct per candidate; greatest = highest score, then lowest k
         sc_k = [F.struct(_sum([base] + [d(j) for d in plan.flat]).alias("s"), F.lit(-k).alias("nk"))
                 for j, k in enumerate(plan.ks)]

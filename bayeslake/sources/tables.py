@@ -128,25 +128,37 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
 
 
 # ---- z-score -----------------------------------------------------------------------
+#: From this many columns on, z-score moments come from the mergeable summaries that ``fit``
+#: uses for wide networks: one aggregate of two functions a column outgrows the JIT limit.
+WIDE_COLUMNS = 32
+
+
 def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """z-score every DoubleType column (or ``columns``) in place.
 
-    All means and sample sds come from ONE aggregate (one job), attached as a
-    scalar subquery over its one-row result; names and column order are
-    preserved and a zero or NULL sd gives NULL instead of an error.
+    All means and sample sds come from one pass over the table, kept as one row
+    and attached as a scalar subquery, so every later action that reads the
+    z-scores reads that row instead of rescanning; names and column order are
+    preserved, a zero or NULL sd gives NULL instead of an error, and NaN counts as
+    missing in the moments.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not columns:
         return df
-    # computed once and kept as a one-row checkpoint, so every later action
-    # that reads the z-scores reads that row instead of rescanning the table
     ensure_checkpoint_dir(df.sparkSession)
-    row = df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
-        F.avg(col(c)).alias(f"m{j}"), F.stddev_samp(col(c)).alias(f"s{j}"))]).alias("z")).checkpoint()
-    stats = row.scalar()
-    return df.withColumns({c: zscore(col(c), stats[f"m{j}"], stats[f"s{j}"])
-                           for j, c in enumerate(columns)})
+    if len(columns) >= WIDE_COLUMNS:
+        from ..operators.moments import column_moments
+        row = column_moments(df, columns).agg(F.array_sort(F.collect_list(F.struct("j", "mean", "sd"))).alias("z")).checkpoint()
+        stats = row.scalar()
+        z = {c: (F.get(stats, F.lit(j))["mean"], F.get(stats, F.lit(j))["sd"]) for j, c in enumerate(columns)}
+    else:
+        row = df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
+            F.avg(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"m{j}"),
+            F.stddev_samp(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"s{j}"))]).alias("z")).checkpoint()
+        stats = row.scalar()
+        z = {c: (stats[f"m{j}"], stats[f"s{j}"]) for j, c in enumerate(columns)}
+    return df.withColumns({c: zscore(col(c), *ms) for c, ms in z.items()})
 
 
 # ---- splits -------------------------------------------------------------------------

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from bayeslake import fit, predict  # noqa: E402
-from bayeslake.operators.fit import long_moment_stats, prepare_frame, shared_scan_stats  # noqa: E402
+from bayeslake.operators.fit import prepare_frame, shared_scan_stats, summary_stats  # noqa: E402
 from bayeslake.plans import catalog as C  # noqa: E402
 from bayeslake.plans.dag import Network  # noqa: E402
 from bayeslake.session import get_spark  # noqa: E402
@@ -51,8 +51,8 @@ def main():
     tr6, te6 = split_key(emb, "vec_id")
     X6 = tr6.select(*C.G6[0])
     net6 = Network.from_schema(X6.schema, C.G6[1])
-    lst, _ = long_moment_stats(prepare_frame(X6, net6), net6)
-    print("## Fit of G6: long-form moments of 64 features (one grouping-sets aggregate)\n")
+    lst, _ = summary_stats(X6, net6)
+    print("## Fit of G6: mergeable summaries of 64 features (one pass, one row per task and group)\n")
     print("```\n" + executed(lst) + "\n```\n")
     m6 = fit(X6, C.G6[1])
     print("## Predict of G6 (64 continuous parents, 10 classes; vectorised class densities)\n")
