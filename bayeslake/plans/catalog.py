@@ -19,6 +19,7 @@ from 0). Every query fits on and scores the whole table, except
     GD labels+documents  quality, lang, source, half -> n_chars      (degenerate groups)
     GN lineitem  ls (NULL for one class), l_quantity, l_discount -> rf
     GM lineitem  l_linenumber, ls -> bucket                          (500 classes)
+    GW embeddings  f0..f63, label -> y                               (64 continuous edges)
 """
 
 from __future__ import annotations
@@ -518,6 +519,33 @@ def q_predict_many_classes(spark, sf):
                      ["l_orderkey", "l_linenumber", "ls", "bucket"])
 
 
+GW_COLS = [f"f{i}" for i in range(64)] + ["label", "y"]
+GW = (GW_COLS, fan_in_edges(GW_COLS, "y"), None)
+
+
+def _wide_child(spark, sf) -> tuple[Model, DataFrame]:
+    """One continuous child of 64 continuous parents, for each value of a discrete one."""
+    e = embeddings_wide(spark, sf).withColumn("y", (F.col("vec_id") % 97).cast("double") + 3.0 * F.col("f0"))
+    cols, edges, _ = GW
+    return fit(e.select(*cols), edges), e
+
+
+def q_coef_wide(spark, sf):
+    m, _ = _wide_child(spark, sf)
+    return m.coef.select("parent", "child", cfg_str().alias("config"), r6(F.col("rho")).alias("rho"))
+
+
+def q_factor_wide_pairs(spark, sf):
+    m, e = _wide_child(spark, sf)
+    return node_factor(m, e, "y").select("vec_id", "label", r6(F.col("log_factor")).alias("log_factor"))
+
+
+def q_standardize_wide(spark, sf):
+    e = embeddings_wide(spark, sf).drop("label")
+    cols = [f"f{i}" for i in range(64)]
+    return standardize(e, cols).select("vec_id", *[r6(col(c)).alias(c) for c in cols])
+
+
 WIDE_BITS = 70
 
 
@@ -579,6 +607,9 @@ QUERIES = {
     "predict_null_parent": q_predict_null_parent,
     "predict_many_classes": q_predict_many_classes,
     "cpt_wide_discrete": q_cpt_wide_discrete,
+    "coef_wide": q_coef_wide,
+    "factor_wide_pairs": q_factor_wide_pairs,
+    "standardize_wide": q_standardize_wide,
 }
 
 __all__ = ["QUERIES"]

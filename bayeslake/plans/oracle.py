@@ -226,6 +226,9 @@ K_GM = {"l_linenumber": D, "ls": D, "bucket": D}
 LIN = ("lin", "SELECT * REPLACE (CASE WHEN rf <> 0 THEN ls END AS ls) FROM li")
 LIM = ("lim", f"SELECT l_orderkey, l_linenumber, {code('l_linestatus')} AS ls, "
               "CAST(l_partkey % 500 AS INTEGER) AS bucket FROM lineitem")
+GW_COLS = [f"f{i}" for i in range(64)] + ["label", "y"]
+K_GW = {c: Cn for c in GW_COLS[:-2]} | {"label": D, "y": Cn}
+EMW = ("emw", f"SELECT *, CAST(vec_id % 97 AS DOUBLE) + CAST(3.0 AS DOUBLE) * f0 AS y FROM ({EMB[1]}) e")
 # the harness's random split: 32 bits of an md5 of seed and row key
 TRAIN_SIDE = ("CAST('0x' || substr(md5('1|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) "
               "/ 4294967296.0 < 0.8")
@@ -249,6 +252,7 @@ NETS = {
            K_GD, DOCS, "doc_id"),
     "GN": (["ls", "l_quantity", "l_discount", "rf"],
            [("ls", "rf"), ("l_quantity", "rf"), ("l_discount", "rf")], K_GN, LIN, "l_orderkey"),
+    "GW": (GW_COLS, [(c, "y") for c in GW_COLS[:-1]], K_GW, EMW, "vec_id"),
     "GM": (["l_linenumber", "ls", "bucket"], [("l_linenumber", "bucket"), ("ls", "bucket")], K_GM, LIM, "l_orderkey"),
 }
 
@@ -483,6 +487,14 @@ def build() -> dict[str, str]:
         [LI] + cn + bnn.scored("te", "rf", 1e-5) + [bnn.best()],
         f"SELECT l_orderkey, l_linenumber, ls, rf, k AS prediction, {r6('s')} AS score FROM best")
     o["predict_many_classes"] = predict_sql("GM", "bucket", ["l_orderkey", "l_linenumber", "ls", "bucket"], 1e-5)
+    bnw, cw = base("GW")
+    i_y = bnw.idx("y")
+    o["coef_wide"] = with_(cw + bnw.param_ctes(), " UNION ALL ".join(
+        f"SELECT 'f{j}' AS parent, 'y' AS child, {_cfg(1)} AS config, {r6('rho')} AS rho FROM cf{i_y}_{j}" for j in range(64)))
+    o["factor_wide_pairs"] = factor_sql("GW", "y", ["vec_id", "label"])
+    o["standardize_wide"] = with_([EMB], "SELECT vec_id, " + ", ".join(
+        f"{r6(f'(f{j} - (SELECT avg(f{j}) FROM {EMB[0]})) / (SELECT stddev_samp(f{j}) FROM {EMB[0]})')} AS f{j}"
+        for j in range(64)) + f" FROM {EMB[0]}")
     bits = " || ".join(f"CAST(CAST(floor(l_partkey / {i + 1}) AS BIGINT) % 2 AS VARCHAR)" for i in range(70))
     o["cpt_wide_discrete"] = with_(
         [("w", f"SELECT {bits} AS config, CAST(l_linenumber % 2 AS INTEGER) AS value, count(*) AS n "
