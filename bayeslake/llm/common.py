@@ -6,6 +6,8 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,21 @@ def bound(df: DataFrame, name: str, value) -> DataFrame:
     included; the generator is a border that the optimizer does not move
     expressions across."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers below 2^31 as compressed planes of bytes: small ones cost little."""
+    planes = np.ascontiguousarray(np.asarray(values, "<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").ravel()
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[i] .. starts[i] + sizes[i] - 1, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))

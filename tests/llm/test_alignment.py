@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -65,9 +66,16 @@ def plain(rows):
 
 def test_galloping_finds_the_common_ends():
     rng = random.Random(1)
+    sides, want, shift = ([], []), [], 0
     for _ in range(300):
         a, b = (sorted(rng.sample(range(400), rng.randrange(0, 200))) for _ in "ab")
-        assert [a[i] for i, _ in A.gallop(a, b)] == sorted(set(a) & set(b)) == [b[j] for _, j in A.gallop(a, b)]
+        for side, x in zip(sides, (a, b)):
+            side.append([shift + v for v in x])
+        want += [shift + v for v in sorted(set(a) & set(b))]
+        shift += 1000
+    ends = [np.array([v for x in side for v in x]) for side in sides]
+    i, j = A.common_ends(ends, [np.array(list(map(len, side))) for side in sides])
+    assert ends[0][i].tolist() == want == ends[1][j].tolist()
 
 
 def test_odd_texts_equal_the_libraries(spark):
@@ -93,12 +101,15 @@ def test_query_equals_the_libraries(spark):
 def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     aligner = A.Aligner(PATH_A, PATH_B)
     text = " " + "".join(chr(0x4e00 + i * 7 % 3000) for i in range(400))
-    listed = aligner.lookup([text])
-    monkeypatch.setattr(A, "LISTED_LINKS", 1)
-    aligner.memo.clear()
-    counted = aligner.lookup([text])
-    assert listed[0][:4] == counted[0][:4]
-    assert dict(zip(*listed[0][4:])) == dict(zip(*counted[0][4:]))
+    got = []
+    for limit in (A.LISTED_LINKS, 1):
+        monkeypatch.setattr(A, "LISTED_LINKS", limit)
+        found = aligner.align([text, " the"])
+        links = Counter()
+        for _, code, n in zip(*[np.concatenate(x).tolist() for x in (found.owner, found.codes, found.times)]):
+            links[code] += n
+        got.append((found.texts, links, np.concatenate(found.counts, axis=1).tolist()))
+    assert got[0] == got[1]
 
 
 def test_blocks_do_not_change_the_result(monkeypatch):
@@ -118,3 +129,9 @@ def test_blocks_do_not_change_the_result(monkeypatch):
     for m in many:
         total.update(dict(zip(m["pairs"], m["pair_docs"])))
     assert total == Counter(dict(zip(one["pairs"], one["pair_docs"])))
+
+
+def test_packed_numbers_round_trip():
+    from bayeslake.llm.common import pack, unpack
+    for x in ([], [0], list(range(1000)), [2**31 - 1, 0, 5]):
+        assert unpack(pack(np.array(x, np.int64))).tolist() == x
