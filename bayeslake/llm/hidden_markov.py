@@ -33,16 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, ship_package, stored
+from .common import need, pack, ship_package, stored, unpack
 
 END = b"\n"
 STATES = 8
-ROUNDS = 8
+ROUNDS = 5
 SEED = 11
-#: Tokens of a block, and the tokens and steps whose forward values are held at a time.
-BLOCK_TOKENS = 1 << 22
+#: Tokens of a block, tokens whose forward values are held at a time, tokens of a segment.
+BLOCK_TOKENS = 1 << 21
 BATCH_TOKENS = 1 << 18
-WINDOW_STEPS = 4096
+SEGMENT = 2048
 FREQUENT_BITS = 14
 OWN_CLASSES = 1 << 16
 ENDING_CLASSES = 1 << 13
@@ -80,7 +80,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, is_held) -> DataFr
             row = pa.RecordBatch.from_arrays(
                 [pa.array([first + next(seq)], pa.int64()), pa.array([int(train.sum())], pa.int64()),
                  pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                 pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([tokens.astype("<i4").tobytes()], pa.binary()),
+                 pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([pack(tokens)], pa.binary()),
                  pa.array([list(words)], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int32()))],
                 names=["block", "n_train", "doc_ids", "held", "lengths", "tokens", "words", "counts"])
             ids.clear(), held.clear(), parts.clear()
@@ -130,7 +130,7 @@ def encode_blocks(blocks: DataFrame, n_train: int) -> DataFrame:
 
     def run(left, right):
         row = {k: left.column(k)[0].as_py() for k in ("block", "doc_ids", "held", "lengths")}
-        tokens = np.frombuffer(left.column("tokens")[0].as_buffer(), "<i4")
+        tokens = unpack(left.column("tokens")[0].as_py())
         order = np.argsort(right.column("local").to_numpy())
         c, cls, tells = (right.column(k).to_numpy()[order] for k in ("c", "class", "tells"))
         starts = np.concatenate([[0], np.cumsum(row["lengths"])[:-1]]).astype(np.int64)
@@ -145,7 +145,7 @@ def encode_blocks(blocks: DataFrame, n_train: int) -> DataFrame:
         return pa.table({
             "block": pa.array([row["block"]], pa.int64()), "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())),
             "held": pa.array([row["held"]], pa.list_(pa.bool_())), "lengths": pa.array([row["lengths"]], pa.list_(pa.int32())),
-            "classes": pa.array([cls[tokens].astype("<i4").tobytes()], pa.binary()),
+            "classes": pa.array([pack(cls[tokens])], pa.binary()),
             "n_known": pa.array([known.tolist()], pa.list_(pa.int64())),
             "log_counts": pa.array([logs.tolist()], pa.list_(pa.float64())),
             "log_shares": pa.array([shares.tolist()], pa.list_(pa.float64())),
@@ -191,107 +191,157 @@ def first_model(tokens: np.ndarray, once: np.ndarray, n_words: int, states: int)
 
 
 class Sequences:
-    """Documents of a batch, longest first, laid out step by step."""
+    """Segments of a batch, longest first, laid out step by step."""
 
-    def __init__(self, lengths: np.ndarray, classes: np.ndarray, starts: np.ndarray):
-        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.active = np.bincount(place)                       # documents longer than t
+    def __init__(self, sizes: np.ndarray, starts: np.ndarray, classes: np.ndarray):
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.active = np.bincount(place)                       # segments longer than t
         self.at = np.concatenate([[0], np.cumsum(self.active)])
-        doc = np.repeat(np.arange(len(lengths)), lengths)
         self.classes = np.empty(len(place), classes.dtype)
-        self.classes[self.at[place] + doc] = classes[np.repeat(starts, lengths) + place]
+        self.classes[self.at[place] + np.repeat(np.arange(len(sizes)), sizes)] = classes[np.repeat(starts, sizes) + place]
         self.steps = len(self.active)
+        self.last = self.at[sizes - 1] + np.arange(len(sizes))
 
 
-def forward(seq: Sequences, model: Model, t0: int, t1: int, before, keep: bool):
-    """Scaled forward values of the steps t0..t1-1: (each step's values where kept,
-    scales, the last step's values). ``before``: the values of step t0 - 1."""
-    emit = model.emit[seq.classes[seq.at[t0]:seq.at[t1]]]
-    alphas = np.empty_like(emit) if keep else None
-    scales = np.empty(len(emit))
-    base, a = seq.at[t0], before
-    for t in range(t0, t1):
-        lo, hi = seq.at[t] - base, seq.at[t + 1] - base
-        a = emit[lo:hi] * (model.start if t == 0 else a[:hi - lo] @ model.move)
-        s = a.sum(axis=1)
-        a = a / s[:, None]
-        scales[lo:hi] = s
-        if keep:
-            alphas[lo:hi] = a
-    return alphas, scales, a, emit
-
-
-def windows(seq: Sequences) -> list[tuple[int, int]]:
-    return [(t, min(seq.steps, t + WINDOW_STEPS)) for t in range(0, seq.steps, WINDOW_STEPS)]
+class Segments:
+    """Documents cut into segments of at most SEGMENT tokens that can be worked side by side.
 
+    What enters a segment, the state probabilities before its first token, and what
+    follows it, the likelihood of the rest of the document by state, are exact: they
+    come from the segments' transfer matrices, multiplied along each document. So the
+    recursions' steps are bounded, however long a text is.
+    """
 
-def log_likelihoods(seq: Sequences, model: Model, n_docs: int) -> np.ndarray:
+    def __init__(self, lengths: np.ndarray, classes: np.ndarray, docs: np.ndarray, model: Model):
+        self.classes, self.model = classes, model
+        n = -(-lengths[docs] // SEGMENT)
+        self.first = np.cumsum(n) - n
+        self.doc = np.repeat(docs, n)
+        self.rank = np.arange(n.sum()) - np.repeat(self.first, n)
+        starts = np.cumsum(lengths) - lengths
+        self.starts = starts[self.doc] + self.rank * SEGMENT
+        self.sizes = np.minimum(SEGMENT, lengths[self.doc] - self.rank * SEGMENT)
+        states = len(model.start)
+        self.before = np.tile(model.start, (len(self.doc), 1))       # of the first token's state
+        self.left = np.zeros((len(self.doc), states))                # of the last state of the segment before
+        self.after = np.ones((len(self.doc), states))                # likelihood of what follows, up to a factor
+        self._enter(np.flatnonzero(np.repeat(n > 1, n)))
+
+    def _enter(self, long: np.ndarray) -> None:
+        if not len(long):
+            return
+        model, whole = self.model, np.empty((len(self.doc), len(self.model.start), len(self.model.start)))
+        for some, seq in self.batches(long):
+            whole[some] = transfers(seq, model)
+        ranks = self.rank[long]
+        for r in range(1, int(ranks.max()) + 1):
+            at = long[ranks == r]
+            v = np.einsum("ni,nij->nj", self.before[at - 1], whole[at - 1])
+            self.left[at] = v / v.sum(axis=1, keepdims=True)
+            self.before[at] = self.left[at] @ model.move
+        for r in range(int(ranks.max()), 0, -1):
+            at = long[ranks == r]
+            v = np.einsum("nij,nj->ni", whole[at], self.after[at]) @ model.move.T
+            self.after[at - 1] = v / v.max(axis=1, keepdims=True)
+
+    def batches(self, some: np.ndarray | None = None):
+        """(segments, Sequences) of about BATCH_TOKENS tokens, segments of like size together."""
+        some = np.arange(len(self.doc)) if some is None else some
+        some = some[np.argsort(-self.sizes[some], kind="stable")]
+        ends, at = np.cumsum(self.sizes[some]), 0
+        while at < len(some):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TOKENS, "right")))
+            yield some[at:stop], Sequences(self.sizes[some[at:stop]], self.starts[some[at:stop]], self.classes)
+            at = stop
+
+
+def transfers(seq: Sequences, model: Model) -> np.ndarray:
+    """Per segment the product of its emissions and the moves between them, up to a factor."""
+    k = len(model.start)
+    emit = np.take(model.emit, seq.classes, axis=0)
+    out = np.tile(np.eye(k), (seq.active[0], 1, 1))
+    for t in range(seq.steps):
+        n, lo = seq.active[t], seq.at[t]
+        m = out[:n]
+        if t:
+            m = (m.reshape(n * k, k) @ model.move).reshape(n, k, k)
+        m = m * emit[lo:lo + n, None, :]
+        if t % 8 == 7:                                         # emissions are above 1e-30
+            m /= m.sum(axis=(1, 2), keepdims=True)
+        out[:n] = m
+    return out / out.sum(axis=(1, 2), keepdims=True)
+
+
+def forward(seq: Sequences, model: Model, before: np.ndarray):
+    """Scaled forward values: (values, scales, emissions), step by step."""
+    emit = np.take(model.emit, seq.classes, axis=0)
+    alphas, scales, a = np.empty_like(emit), np.empty((len(emit), 1)), None
+    ones = np.ones((emit.shape[1], 1))
+    for t in range(seq.steps):
+        lo, hi = seq.at[t], seq.at[t + 1]
+        a = np.multiply(before if t == 0 else a[:hi - lo] @ model.move, emit[lo:hi], out=alphas[lo:hi])
+        a /= np.matmul(a, ones, out=scales[lo:hi])
+    return alphas, scales, emit
+
+
+def log_likelihoods(lengths: np.ndarray, classes: np.ndarray, model: Model) -> np.ndarray:
     """ln P of each document's classes, by the scaled forward recursion over the whole text."""
-    out, last = np.zeros(n_docs), None
-    for t0, t1 in windows(seq):
-        _, scales, last, _ = forward(seq, model, t0, t1, last, False)
-        doc = np.arange(seq.at[t0], seq.at[t1]) - np.repeat(seq.at[t0:t1], seq.active[t0:t1])
-        out += np.bincount(doc, np.log(scales), n_docs)
+    segments = Segments(lengths, classes, np.arange(len(lengths)), model)
+    out = np.zeros(len(lengths))
+    for some, seq in segments.batches():
+        _, scales, _ = forward(seq, model, segments.before[some])
+        row = np.arange(len(scales)) - np.repeat(seq.at[:-1], seq.active)
+        out += np.bincount(segments.doc[some][row], np.log(scales[:, 0]), len(out))
     return out
 
 
-def expect(seq: Sequences, model: Model, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> float:
-    """Add the expected counts of the batch; returns its ln likelihood. Forward values
-    are kept for one window of steps: the windows' first values come from a pass
-    before, so a text's length does not bound what can be held."""
-    spans = windows(seq)
-    entry, last = [None], None
-    for t0, t1 in spans[:-1]:
-        last = forward(seq, model, t0, t1, last, False)[2]
-        entry.append(last)
-    total, ahead, moves_here = 0.0, None, np.zeros_like(moves)
-    for (t0, t1), before in zip(reversed(spans), reversed(entry)):
-        alphas, scales, _, emit = forward(seq, model, t0, t1, before, True)
+def expect(lengths: np.ndarray, classes: np.ndarray, docs: np.ndarray, model: Model, counts: np.ndarray,
+           moves: np.ndarray, starts: np.ndarray) -> float:
+    """Add the expected counts of the documents ``docs``; returns their ln likelihood."""
+    segments, total = Segments(lengths, classes, docs, model), 0.0
+    for some, seq in segments.batches():
+        alphas, scales, emit = forward(seq, model, segments.before[some])
         total += float(np.log(scales).sum())
-        gammas, base = np.empty_like(alphas), seq.at[t0]
-        for t in range(t1 - 1, t0 - 1, -1):
-            lo, hi = seq.at[t] - base, seq.at[t + 1] - base
-            a, beta = alphas[lo:hi], np.ones((hi - lo, len(starts)))
-            if ahead is not None:
-                n = len(ahead)
-                beta[:n] = ahead @ model.move.T
-                moves_here += a[:n].T @ ahead
-            gammas[lo:hi] = a * beta
-            ahead = emit[lo:hi] * beta / scales[lo:hi, None]
-            if t == 0:
-                starts += gammas[lo:hi].sum(axis=0)
-        classes = seq.classes[base:seq.at[t1]]
-        for k in range(counts.shape[1]):
-            counts[:, k] += np.bincount(classes, gammas[:, k], len(counts))
-    moves += moves_here * model.move
+        betas = np.ones_like(alphas)
+        after = segments.after[some]
+        betas[seq.last] = after / (alphas[seq.last] * after).sum(axis=1, keepdims=True)
+        emit /= scales
+        ahead = emit                                            # becomes emission x backward value / scale
+        back = np.ascontiguousarray(model.move.T)
+        for t in range(seq.steps - 1, -1, -1):
+            lo, hi = seq.at[t], seq.at[t + 1]
+            if t + 1 < seq.steps:
+                n = seq.active[t + 1]
+                np.matmul(ahead[hi:hi + n], back, out=betas[lo:lo + n])
+            ahead[lo:hi] *= betas[lo:hi]
+        row = np.arange(seq.at[1], len(alphas))
+        here = alphas[row - np.repeat(seq.active[:-1], seq.active[1:])].T @ ahead[seq.at[1]:]
+        later = segments.rank[some] > 0                         # meets the segment before
+        here += segments.left[some][later].T @ ahead[:seq.at[1]][later]
+        moves += here * model.move
+        alphas *= betas                                         # expected states
+        starts += alphas[:seq.at[1]][~later].sum(axis=0)
+        for k, weights in enumerate(np.ascontiguousarray(alphas.T)):
+            counts[:, k] += np.bincount(seq.classes, weights, len(counts))
     return total
 
 
-def batches_of(lengths: np.ndarray, classes: np.ndarray, wanted: np.ndarray):
-    """(documents, Sequences) of about BATCH_TOKENS tokens, documents of like length together."""
-    starts = np.cumsum(lengths) - lengths
-    order = np.flatnonzero(wanted)
-    order = order[np.argsort(-lengths[order], kind="stable")]
-    ends = np.cumsum(lengths[order])
-    at = 0
-    while at < len(order):
-        done = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + BATCH_TOKENS, "right")))
-        docs = order[at:stop]
-        yield docs, Sequences(lengths[docs], classes, starts[docs])
-        at = stop
-
-
 def _block(batch, i):
     lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
     held = np.array(batch.column("held")[i].as_py(), bool)
-    return lengths, held, np.frombuffer(batch.column("classes")[i].as_buffer(), "<i4")
+    return lengths, held, unpack(batch.column("classes")[i].as_py())
+
+
+def written(s: int, x: np.ndarray) -> bytes:
+    """Class counts as four-byte numbers, the sums of slice -1 as eight."""
+    return x.astype("<f8" if s < 0 else "<f4").tobytes()
 
 
 def _add(rows: DataFrame, *keys: str) -> DataFrame:
     def run(key, t):
-        total = sum(np.frombuffer(x.as_buffer(), "<f8") for x in t.column("sums"))
-        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key)}, "sums": [total.tobytes()]},
+        total = sum(np.frombuffer(x.as_py(), "<f4").astype(float) if key[0].as_py() >= 0 else np.frombuffer(x.as_py(), "<f8")
+                    for x in t.column("sums"))
+        return pa.table({**{k: [v.as_py()] for k, v in zip(keys, key)}, "sums": [written(key[0].as_py(), total)]},
                         schema=pa.schema([pa.field(k, pa.int32()) for k in keys] + [pa.field("sums", pa.binary())]))
     return rows.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + ", sums binary")
 
@@ -307,18 +357,17 @@ def one_round(encoded: DataFrame, model: Model, once: np.ndarray, n_blocks: int)
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, held, classes = _block(batch, i)
-                for _, seq in batches_of(lengths, classes, ~held):
-                    total += expect(seq, model, counts, moves, starts)
+                total += expect(lengths, classes, np.flatnonzero(~held), model, counts, moves, starts)
         group = TaskContext.get().partitionId() % fan
         slices = [(-1, np.concatenate([[total], starts, moves.ravel()]))]
         slices += [(s, counts[s * SLICE:(s + 1) * SLICE].ravel()) for s in range(-(-len(counts) // SLICE))]
         slices = [(s, x) for s, x in slices if s < 0 or x.any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _ in slices], pa.int32()), pa.array([group] * len(slices), pa.int32()),
-             pa.array([x.tobytes() for _, x in slices], pa.binary())], names=["slice", "part", "sums"])
+             pa.array([written(s, x) for s, x in slices], pa.binary())], names=["slice", "part", "sums"])
     sums = encoded.select("lengths", "held", "classes").mapInArrow(run, "slice int, part int, sums binary")
     sums = _add(_add(sums, "slice", "part").drop("part"), "slice")
-    got = {r["slice"]: np.frombuffer(r["sums"], "<f8") for r in sums.collect()}        # classes x states numbers
+    got = {r["slice"]: np.frombuffer(r["sums"], "<f8" if r["slice"] < 0 else "<f4").astype(float) for r in sums.collect()}        # classes x states numbers
     expected = np.zeros_like(model.emit)
     for s, x in got.items():
         if s >= 0:
@@ -361,8 +410,7 @@ def score_blocks(encoded: DataFrame, model: Model) -> DataFrame:
                 exact = np.array(batch.column("log_shares")[i].as_py())
                 starts = np.cumsum(lengths) - lengths
                 score = exact - np.add.reduceat(inside[classes], starts)
-                for docs, seq in batches_of(lengths, classes, np.ones(len(lengths), bool)):
-                    score[docs] += log_likelihoods(seq, model, len(docs)) / math.log(10)
+                score += log_likelihoods(lengths, classes, model) / math.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[i].values, pa.array(held), pa.array(lengths),
                      batch.column("n_known")[i].values, pa.array(np.full(len(lengths), model.n_train)),
