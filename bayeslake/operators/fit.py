@@ -250,6 +250,12 @@ class Model:
     def rows(self, table: str, node: str) -> int:
         return int(self.sizes.get((table, node), 0))
 
+    def domain_size(self, node: str) -> int:
+        """Distinct values of a discrete node, counted when first asked for."""
+        if ("domain", node) not in self.sizes:
+            self.sizes["domain", node] = self.cpt.filter(F.col("node") == node).select("value").distinct().count()
+        return self.sizes["domain", node]
+
     def params(self) -> DataFrame:
         """All parameters in one long table (kind, node, config, item, stat, value)."""
         cfg = F.concat_ws(",", F.col("config").cast("array<string>"))
@@ -289,11 +295,8 @@ class Model:
 
 
 def _sizes(cpt, gauss, coef) -> dict:
-    """Rows per (table, node), and under "domain" and "configs" the distinct values and
-    configurations of each discrete node: one tiny aggregate, collected as metadata."""
+    """Rows per (table, node): one tiny aggregate, collected as metadata."""
     u = (cpt.select(F.lit("cpt").alias("t"), "node")
-         .unionByName(cpt.select("node", "value").distinct().select(F.lit("domain").alias("t"), "node"))
-         .unionByName(cpt.select("node", "config").distinct().select(F.lit("configs").alias("t"), "node"))
          .unionByName(gauss.select(F.concat(F.lit("gauss_"), "scope").alias("t"), "node"))
          .unionByName(coef.select(F.lit("coef").alias("t"), F.col("child").alias("node"))))
     return {(r["t"], r["node"]): r["n"] for r in u.groupBy("t", "node").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -292,7 +292,7 @@ class Scorer:
         if dpar:
             t = t.select(*[F.col(f"__k{i}").alias(d) for i, d in enumerate(dpar)], f"{tag}lp")
             # one dense row per configuration: as wide as there are candidates
-            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("configs", output), self._n_cands(output), self.limit)
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), self._n_cands(output), self.limit)
         else:
             # one-row parameter: a scalar subquery, held in a column because
             # subqueries may not appear inside higher-order functions
@@ -378,7 +378,7 @@ class Scorer:
                 e["lp"].alias("s"), (-e["value"]).alias("nk"))))).drop("seen")
             width = 3
         t = t.select(*[F.col(k).alias(d) for k, d in zip(names, dpar)], f"{tag}E", f"{tag}G")
-        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt" if cpar else "configs", output), width, self.limit)
+        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), width, self.limit)
         plan.tmp += [f"{tag}E", f"{tag}G"]
         lowest = m.cpt.filter(F.col("node") == output).agg(F.min("value").alias("v")).scalar()
         plan.df = plan.df.withColumn(f"{tag}V", lowest)
@@ -437,7 +437,7 @@ class Scorer:
         cpar = net.continuous_parents(output)
         rows = rows.withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
         groups = -(-rows.count() // max(1, TILE_CELLS // len(cpar))) or 1
-        tiles = -(-m.rows("domain", output) * len(cpar) // MAX_UDF_CELLS)
+        tiles = -(-m.domain_size(output) * len(cpar) // MAX_UDF_CELLS)
         moments = self._class_moments(output, "value").join(
             m.cpt.filter(F.col("node") == output).select("value", log_p(F.col("p")).alias("lp")), "value")
         classes = moments.select(
@@ -489,7 +489,7 @@ class Scorer:
 
     def _n_cands(self, output: str) -> int:
         """Values of the output in the model: the width of a dense row."""
-        return max(8, self.m.rows("domain", output))
+        return max(8, self.m.domain_size(output))
 
     def _udf_classes(self, output: str) -> list[int] | None:
         """Training domain of a wide output whose class moments fit the vectorised path."""

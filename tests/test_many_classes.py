@@ -52,7 +52,7 @@ def test_observed_classes_equal_the_dense_scores(spark, cont, default):
 def test_scored_rows_are_not_exchanged_for_many_classes(spark):
     df = sparse_table(spark)
     m = fit(df, [("a", "k"), ("b", "k")])
-    assert m.rows("domain", "k") == df.select("k").distinct().count()
+    assert m.domain_size("k") == df.select("k").distinct().count()
     big = spark.range(20000).select((F.col("id") % 12).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"), "id")
     plan = executed(predict(m, big, "k", default_prob=1e-5))
     scored = [line for line in plan.split("\n") if "hashpartitioning(a#" in line and "Exchange" in line]
