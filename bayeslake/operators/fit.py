@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.density import col
 from ..functions.sqltext import q, s as lit_s
 from ..plans.dag import Network
-from ..session import ensure_checkpoint_dir
+from ..session import kept, remove_scratch, scratch_run
 from . import moments
 
 ARRAY_INT = "array<int>"
@@ -246,6 +246,13 @@ class Model:
     gauss: DataFrame
     coef: DataFrame
     sizes: dict  # (table, node) -> rows; metadata used for broadcast decisions
+    scratch: tuple = ()  # folders that hold the parameters of a fitted, unsaved model
+
+    def release(self) -> None:
+        """Remove the parameters of a fitted model from the shared checkpoint folder,
+        after its last reader. A saved copy stays; a loaded model has nothing to remove."""
+        remove_scratch(self.cpt.sparkSession, self.scratch)
+        self.scratch = ()
 
     def rows(self, table: str, node: str) -> int:
         return int(self.sizes.get((table, node), 0))
@@ -311,24 +318,31 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     say otherwise.
     """
     net = Network.from_schema(df.schema, edges, discrete, continuous)
+    if not persist:
+        return _fit(df, net, max_sets_per_scan, None)
+    # the grouped statistics are removed once the parameters are written
+    with scratch_run(df.sparkSession) as run:
+        return _fit(df, net, max_sets_per_scan, run)
+
+
+def _fit(df: DataFrame, net: Network, max_sets_per_scan: int, run) -> Model:
+    """``fit`` with its tables kept by ``run`` (None: lazy)."""
     X = prepare_frame(df, net)
     long_mode = uses_summaries(net)
     stats, where = shared_scan_stats(X, net, max_sets_per_scan, long_mode)
     if long_mode:
-        ensure_checkpoint_dir(X.sparkSession)
         lstats, groupings = summary_stats(df, net)
-        lstats = moments.merge(lstats.checkpoint(eager=True))   # a few rows per task
-    if persist:
+        lstats = moments.merge(kept(lstats))   # a few rows per task
+    if run:
         # The grouped statistics (a few rows per grouping, tiny next to the
         # data) are written once to the shared checkpoint folder: one scan per
         # chunk of groupings with moments, one for the counts of many
         # families, and one for the long-form moments of a wide network. Every
         # parameter table below is derived from these tables, so concurrent
         # subquery stages never rescan the training data.
-        ensure_checkpoint_dir(X.sparkSession)
-        stats = stats.checkpoint(eager=True)
+        stats = kept(stats)
         if long_mode:
-            lstats = lstats.checkpoint(eager=True)
+            lstats = kept(lstats)
 
     def rows(key):
         s, g = where[tuple(key)]
@@ -456,19 +470,20 @@ def fit(df: DataFrame, edges, discrete=None, continuous=None, *,
     else:
         coef = _empty(X.sparkSession, "parent string, child string, config array<int>, rho double")
 
-    if persist:
+    scratch = ()
+    if run:
         # All parameters go to the shared checkpoint folder as ONE small long
         # table, and the three tables are projections of it: later plans that
         # read the model stay tiny and the model survives executor loss.
-        allp = (cpt.withColumn("t", F.lit("cpt"))
-                .unionByName(gauss.withColumn("t", F.lit("gauss")), allowMissingColumns=True)
-                .unionByName(coef.withColumn("t", F.lit("coef")), allowMissingColumns=True)
-                .checkpoint(eager=True))
+        allp = run.result(cpt.withColumn("t", F.lit("cpt"))
+                          .unionByName(gauss.withColumn("t", F.lit("gauss")), allowMissingColumns=True)
+                          .unionByName(coef.withColumn("t", F.lit("coef")), allowMissingColumns=True))
+        scratch = (allp.scratch,)
         cpt = allp.filter(F.col("t") == "cpt").select(*cpt.columns)
         gauss = allp.filter(F.col("t") == "gauss").select(*gauss.columns)
         coef = allp.filter(F.col("t") == "coef").select(*coef.columns)
     sizes = _sizes(cpt, gauss, coef)
-    return Model(net, cpt, gauss, coef, sizes)
+    return Model(net, cpt, gauss, coef, sizes, scratch)
 
 
 def _edge_coefficients(net: Network, gauss: DataFrame, edges: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.density import col
+from ..session import kept
 
 #: Group number of the edges' summaries; groupings of columns count from 0.
 EDGES = -1
@@ -240,7 +241,7 @@ def merge(summary: DataFrame) -> DataFrame:
 def column_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(j, n, mean, sd): moments of the columns over all rows; NULL and NaN are missing."""
     X = df.select(*[F.nullif(col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
-    long = merge(summarise(X, columns, [], 0, []).checkpoint())
+    long = merge(kept(summarise(X, columns, [], 0, [])))
     return long.select("j", "n", F.col("a").alias("mean"), sample_sd(F.col("n"), F.col("c")).alias("sd"))
 
 

@@ -10,8 +10,10 @@ inside ``transform`` over the candidate array. The arg-max is
 Parameter lookups are left equi-joins on the typed parent columns (NULL
 never matches, so it takes the unseen rule). A lookup table is broadcast
 only when its row count, recorded at fit time, keeps it under
-``max_broadcast_bytes``; otherwise it is a shuffle join and AQE's skew
-handling splits a hot key of the scored side. One-row parameters (global
+``max_broadcast_bytes``. Beyond it, the frequent configurations of the scored
+rows are found by a sketch of bounded size: their rows stay where they are and
+look up a broadcast of those configurations only, and the others are shuffled,
+so no hot key reaches one task, with or without AQE. One-row parameters (global
 moments, the candidate list) are attached as scalar subqueries.
 """
 
@@ -31,6 +33,7 @@ from ..functions.density import (NEG_INF, class_density_term, col, inv_sd, log_c
 from ..functions import sqltext as S
 from ..functions.vectorized import (by_value, class_density_udf, class_log_density_sums,
                                     fixed_pair_density_udf, pair_density_udf, row_density_udf)
+from ..session import kept
 from .fit import Model, node_sql
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
@@ -59,21 +62,59 @@ TILE_CELLS = 1 << 21
 VECTORIZE_ROW_DENSITIES = True
 
 
+#: Beyond the broadcast limit: frequent configurations kept for each shuffle partition, and the
+#: sketch's counters for each of them. A configuration with more than one row in
+#: 1.5 * HEAVY_PER_PARTITION * partitions is found for certain (the sketch's error is 3.5 / (counters / 0.75)).
+HEAVY_PER_PARTITION = 4
+COUNTERS_PER_HEAVY = 8
+MAX_HEAVY = 100_000
+
+
+def _key_hash(keys: list[str]) -> Column:
+    # integer codes of any width hash alike
+    return F.xxhash64(*[col(k).cast("long") for k in keys])
+
+
+def frequent_keys(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(__heavy): hashes of the most frequent configurations of ``keys``, at most ``most``.
+
+    One pass over the key columns with a frequent-items sketch, merged from one of
+    bounded size a task. The result is kept in the shared checkpoint folder: the
+    rows are split by it twice, and both sides must see the same hashes.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = min(most, HEAVY_PER_PARTITION * n, MAX_HEAVY)
+    hashes = df.select(_key_hash(keys).alias("__heavy"))
+    top = hashes.agg(F.expr(f"approx_top_k(__heavy, {k}, {COUNTERS_PER_HEAVY * k})").alias("t"))
+    return kept(top.select(F.explode("t.item").alias("__heavy")))
+
+
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], rows: int,
-                width: int, max_broadcast_bytes: int) -> DataFrame:
-    """Left join ``df`` to a parameter table unique on ``keys``.
+                width: int, max_broadcast_bytes: int, base: DataFrame | None = None) -> DataFrame:
+    """Left join ``df`` to a parameter table unique on ``keys`` (integer codes).
 
-    The broadcast side is bounded by the row count recorded at fit time.
+    The broadcast side is bounded by the row count recorded at fit time. A table
+    over the bound is split by the frequent configurations of ``base`` (the rows
+    before any lookup; ``df`` by default): rows of these, NULL keys included, are joined in place
+    to a broadcast of at most as many rows as the bound allows, the rest by a shuffle.
     """
-    est = rows * (8 * (len(keys) + width) + 48)
-    if est <= max_broadcast_bytes:
-        table = F.broadcast(table)
-    return df.join(table, on=keys, how="left")
+    row_bytes = 8 * (len(keys) + width) + 48
+    if rows * row_bytes <= max_broadcast_bytes:
+        return df.join(F.broadcast(table), on=keys, how="left")
+    most = max_broadcast_bytes // row_bytes
+    if most < 1:
+        return df.join(table, on=keys, how="left")
+    heavy = F.broadcast(frequent_keys(df if base is None else base, keys, most))
+    here = _key_hash(keys) == F.col("__heavy")
+    few = F.broadcast(table.join(heavy, here, "left_semi"))
+    return (df.join(heavy, here, "left_semi").join(few, on=keys, how="left")
+            .unionByName(df.join(heavy, here, "left_anti").join(table, on=keys, how="left")))
 
 
 @dataclass
 class _Plan:
     df: DataFrame
+    base: DataFrame | None = None  # the rows before any lookup
     tmp: list[str] = field(default_factory=list)
     indep: list[Column] = field(default_factory=list)
     dep: list[Callable[[Column, Column], Column]] = field(default_factory=list)
@@ -204,7 +245,7 @@ class Scorer:
             if cpar:
                 t = t.join(self._class_moments(node, node), on=[node], how="left")
                 self._row_values(plan, node)
-            plan.df = lookup_join(plan.df, t, list(dpar) + [node], rows, 1 + 2 * len(cpar), self.limit)
+            plan.df = lookup_join(plan.df, t, list(dpar) + [node], rows, 1 + 2 * len(cpar), self.limit, plan.base)
             plan.tmp += [c for c in t.columns if c.startswith(tag)]
             lp = F.col(f"{tag}lp")
             if not dpar and not cpar:
@@ -239,7 +280,7 @@ class Scorer:
                 for j, c in enumerate(cpar)])
         t = g.join(r, on=list(dpar), how="left")
         plan.df = lookup_join(plan.df, t, list(dpar), m.rows("gauss_config", node),
-                              2 + len(cpar), self.limit)
+                              2 + len(cpar), self.limit, plan.base)
         plan.tmp += [c for c in t.columns if c.startswith(tag)]
         terms = []
         for j, c in enumerate(cpar):
@@ -276,7 +317,7 @@ class Scorer:
         arrays = r.groupBy(*keys).agg(rows.alias("l")).select(
             *[col(d) for d in dpar], F.transform("l", lambda e: e["rho"]).alias(f"{tag}R"))
         t = moments.join(arrays, on=list(dpar), how="left")
-        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("gauss_config", node), 2 + len(cpar), self.limit)
+        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("gauss_config", node), 2 + len(cpar), self.limit, plan.base)
         my, sy, rho = (F.col(f"{tag}{a}") for a in ("my", "sy", "R"))
         plan.df = plan.df.withColumn(f"{tag}P", pair_density_udf(mx, sx)(xs, y, my, sy, rho))
         plan.tmp += [f"{tag}{a}" for a in ("my", "sy", "R", "P")]
@@ -292,7 +333,7 @@ class Scorer:
         if dpar:
             t = t.select(*[F.col(f"__k{i}").alias(d) for i, d in enumerate(dpar)], f"{tag}lp")
             # one dense row per configuration: as wide as there are candidates
-            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), self._n_cands(output), self.limit)
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), self._n_cands(output), self.limit, plan.base)
         else:
             # one-row parameter: a scalar subquery, held in a column because
             # subqueries may not appear inside higher-order functions
@@ -378,7 +419,7 @@ class Scorer:
                 e["lp"].alias("s"), (-e["value"]).alias("nk"))))).drop("seen")
             width = 3
         t = t.select(*[F.col(k).alias(d) for k, d in zip(names, dpar)], f"{tag}E", f"{tag}G")
-        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), width, self.limit)
+        plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), width, self.limit, plan.base)
         plan.tmp += [f"{tag}E", f"{tag}G"]
         lowest = m.cpt.filter(F.col("node") == output).agg(F.min("value").alias("v")).scalar()
         plan.df = plan.df.withColumn(f"{tag}V", lowest)
@@ -435,7 +476,7 @@ class Scorer:
         """
         net, m, tag = self.net, self.m, self._tag(output)
         cpar = net.continuous_parents(output)
-        rows = rows.withColumn("__rid", F.monotonically_increasing_id()).checkpoint()
+        rows = kept(rows.withColumn("__rid", F.monotonically_increasing_id()))
         groups = -(-rows.count() // max(1, TILE_CELLS // len(cpar))) or 1
         tiles = -(-m.domain_size(output) * len(cpar) // MAX_UDF_CELLS)
         moments = self._class_moments(output, "value").join(
@@ -473,7 +514,7 @@ class Scorer:
             t = t.join(self._class_moments(node, node), on=[node], how="left")
             self._row_values(plan, node)
         plan.df = lookup_join(plan.df, t, others + [node], m.rows("cpt", node),
-                              self._n_cands(output) + 2 * len(cpar), self.limit)
+                              self._n_cands(output) + 2 * len(cpar), self.limit, plan.base)
         plan.tmp += [c for c in t.columns if c.startswith(tag)]
         dens = self._density_sum(node, F.col)
         if cpar:
@@ -606,7 +647,7 @@ class Scorer:
                 for j, k in enumerate(ks)]
         if dpar:
             t = cp.groupBy(*[F.get(F.col("config"), i).alias(d) for i, d in enumerate(dpar)]).agg(*logs)
-            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), len(ks), self.limit)
+            plan.df = lookup_join(plan.df, t, list(dpar), m.rows("cpt", output), len(ks), self.limit, plan.base)
             plan.tmp += [f"{tag}l{j}" for j in range(len(ks))]
 
             def lp(j):
@@ -643,7 +684,7 @@ class Scorer:
             t = t.join(self._class_moments(node, node), on=[node], how="left")
             self._row_values(plan, node)
         plan.df = lookup_join(plan.df, t, others + [node], m.rows("cpt", node),
-                              len(ks) + 2 * len(cpar), self.limit)
+                              len(ks) + 2 * len(cpar), self.limit, plan.base)
         plan.tmp += [c for c in t.columns if c.startswith(tag)]
         dens = F.lit(0.0)
         if cpar:   # the child's own class moments: the same for every candidate
@@ -664,7 +705,8 @@ class Scorer:
         net = self.net
         if output not in net.nodes or not net.is_discrete(output):
             raise ValueError(f"output node {output!r} must be a discrete node of the model")
-        plan = _Plan(self.prepare(df, skip=output))
+        rows = self.prepare(df, skip=output)
+        plan = _Plan(rows, rows)
         self.attach_globals(plan)
         self._train_cands = None
         ks = self.domain(output) if candidates == "train" else None
@@ -832,7 +874,8 @@ def node_factor(model: Model, df: DataFrame, node: str, default_prob: float = 0.
     """``df`` plus ``log_factor``: the node's factor for the row's own values."""
     _no_clash(df, "log_factor")
     sc = Scorer(model, default_prob, max_broadcast_bytes)
-    plan = _Plan(sc.prepare(df))
+    rows = sc.prepare(df)
+    plan = _Plan(rows, rows)
     sc.attach_globals(plan)
     sc.node_term(plan, node)
     return plan.df.withColumn("log_factor", _sum(plan.indep)).drop(*plan.tmp)

@@ -35,6 +35,7 @@ from ..operators.metrics import (accuracy, accuracy_from_confusion, confusion, p
                                  per_label_from_confusion)
 from ..operators.predict import candidate_scores, lookup_join, node_factor, predict
 from ..plans.dag import fan_in_edges
+from ..session import kept, scratch_run
 from ..sources.tables import (csv_round_trip, domain_sizes, encode_codes, read_table, split_key, split_random,
                               standardize)
 
@@ -479,16 +480,17 @@ def q_model_params(spark, sf):
 def worksheet_evaluate(spark, sf):
     """CSV with inferred types -> fan-in from its columns -> z-score (all rows)
     -> random split, both sides kept -> fit -> predict -> metrics."""
-    csv = csv_round_trip(lineitem_coded(spark, sf).select(*ROW_KEY, *G2_COLS))
-    features = [c for c in csv.columns if c not in ROW_KEY]
-    z = standardize(csv)
-    # both sides are written once: fit and predict read the same rows
-    train, test = (part.checkpoint() for part in split_random(z, ROW_KEY))
-    m = fit(train.select(*features), fan_in_edges(features, "rf"))
-    p = predict(m, test, "rf", default_prob=1e-5)
-    # score once: the confusion table (classes^2 rows) is checkpointed and both
-    # the per-class metrics and the accuracy are read from it
-    conf = confusion(p, "rf", "prediction").checkpoint()
+    with scratch_run(spark) as run:
+        csv = csv_round_trip(lineitem_coded(spark, sf).select(*ROW_KEY, *G2_COLS))
+        features = [c for c in csv.columns if c not in ROW_KEY]
+        z = standardize(csv)
+        # both sides are written once: fit and predict read the same rows
+        train, test = (kept(part) for part in split_random(z, ROW_KEY))
+        m = fit(train.select(*features), fan_in_edges(features, "rf"))
+        p = predict(m, test, "rf", default_prob=1e-5)
+        # score once: the confusion table (classes^2 rows) outlives the run, and both
+        # the per-class metrics and the accuracy are read from it
+        conf = run.result(confusion(p, "rf", "prediction"))
     acc = accuracy_from_confusion(conf).scalar()
     return _rounded_metrics(per_label_from_confusion(conf)).withColumn("accuracy", r6(acc))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library relies on: AQE re-plans joins and coalesces small
 # shuffles, and splits a skewed partition of the big side of a lookup join.
@@ -53,7 +56,75 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+# ---- scratch folders and who removes them -------------------------------------------
+_current: ContextVar["ScratchRun | None"] = ContextVar("bayeslake_scratch_run", default=None)
+
+
+def remove_scratch(spark: SparkSession, paths) -> None:
+    """Delete scratch folders; one that cannot be deleted is reported, not raised."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception as e:  # the run's own error, if any, must not be hidden
+            warnings.warn(f"scratch folder {p} was not removed: {e}")
+
+
+class ScratchRun:
+    """The scratch folders made while it is the current run."""
+
+    def __init__(self, spark: SparkSession, outer: "ScratchRun | None"):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def hand_out(self, df: DataFrame) -> DataFrame:
+        """Give the folder of a table from ``kept`` (or of any frame with ``scratch``)
+        to the enclosing run, or to nobody: it outlives this run."""
+        self.paths.remove(df.scratch)
+        if self.outer:
+            self.outer.paths.append(df.scratch)
+        return df
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written now and handed out: what a run leaves behind."""
+        return self.hand_out(kept(df))
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Own the scratch folders made inside the block and remove them when it ends,
+    also by an error. Frames are lazy: read or write what is wanted inside the block, or
+    take it out by ``run.result``. Runs nest; without one, folders stay until the
+    deployment clears ``spark.checkpoint.dir`` or a model's ``release``::
+
+        with scratch_run(spark):
+            near_duplicates(docs).write.parquet(target)
+    """
+    run = ScratchRun(spark, _current.get())
+    token = _current.set(run)
+    try:
+        yield run
+    finally:
+        _current.reset(token)
+        remove_scratch(spark, run.paths)
+
+
+def _own(path: str) -> str:
+    run = _current.get()
+    if run:
+        run.paths.append(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
+    """A fresh path under the shared checkpoint folder, owned by the current run."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return _own(f"{base}/{name}-{uuid.uuid4().hex}")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` whose files the current run owns; ``scratch`` names their folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    out.scratch = _own(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out

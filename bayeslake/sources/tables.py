@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.density import col, zscore
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import kept, scratch_path, scratch_run
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 #: Bytes of a code table's row beside the value (row header, lengths, code).
@@ -80,9 +80,8 @@ def fit_codes(df: DataFrame, columns: list[str], partitions: int | None = None)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # kept with its partition numbers before both uses: range bounds come from a
     # sample, so two evaluations need not agree
-    ensure_checkpoint_dir(spark)
-    dom = (distinct_values(df, columns).repartitionByRange(n, "col", "value")
-           .withColumn("pid", F.spark_partition_id())).checkpoint()
+    dom = kept(distinct_values(df, columns).repartitionByRange(n, "col", "value")
+               .withColumn("pid", F.spark_partition_id()))
     local = dom.withColumn("r", F.row_number().over(Window.partitionBy("pid", "col").orderBy("value")))
     sizes = dom.groupBy("pid", "col").agg(F.count(F.lit(1)).alias("c"))
     offsets = sizes.select("pid", "col", F.coalesce(F.sum("c").over(
@@ -104,11 +103,11 @@ def encode_codes(df: DataFrame, columns: dict[str, str] | list[str], keep: bool
     by_type: dict[str, list[str]] = {}
     for src in columns:
         by_type.setdefault(df.schema[src].dataType.simpleString(), []).append(src)
-    ensure_checkpoint_dir(df.sparkSession)
     out = df
     for srcs in by_type.values():
         # small, lineage cut, survives executor loss, no executor memory held
-        codes = fit_codes(df, srcs).checkpoint()
+        with scratch_run(df.sparkSession) as run:
+            codes = run.result(fit_codes(df, srcs))
         size = F.octet_length("value") if isinstance(df.schema[srcs[0]].dataType, (T.StringType, T.BinaryType)) \
             else F.lit(8)
         sizes = {r["col"]: r["bytes"] for r in codes.groupBy("col").agg(
@@ -146,16 +145,16 @@ def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not columns:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
     if len(columns) >= WIDE_COLUMNS:
         from ..operators.moments import column_moments
-        row = column_moments(df, columns).agg(F.array_sort(F.collect_list(F.struct("j", "mean", "sd"))).alias("z")).checkpoint()
+        with scratch_run(df.sparkSession) as run:
+            row = run.result(column_moments(df, columns).agg(F.array_sort(F.collect_list(F.struct("j", "mean", "sd"))).alias("z")))
         stats = row.scalar()
         z = {c: (F.get(stats, F.lit(j))["mean"], F.get(stats, F.lit(j))["sd"]) for j, c in enumerate(columns)}
     else:
-        row = df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
+        row = kept(df.agg(F.struct(*[e for j, c in enumerate(columns) for e in (
             F.avg(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"m{j}"),
-            F.stddev_samp(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"s{j}"))]).alias("z")).checkpoint()
+            F.stddev_samp(F.nanvl(col(c).cast("double"), F.lit(None))).alias(f"s{j}"))]).alias("z")))
         stats = row.scalar()
         z = {c: (stats[f"m{j}"], stats[f"s{j}"]) for j, c in enumerate(columns)}
     return df.withColumns({c: zscore(col(c), *ms) for c, ms in z.items()})

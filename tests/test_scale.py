@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bayeslake import fit, predict
+from bayeslake.operators.predict import frequent_keys, lookup_join
 
 
 def _rows(n=600):
@@ -80,3 +81,51 @@ def test_hot_key_counts_are_whole(spark):
     for r in m.cpt.filter(F.col("node") == "label").collect():
         by_cfg[tuple(r["config"])] += r["n"]
     assert sum(by_cfg.values()) == len(rows)
+
+
+def _partition_rows(df):
+    return Counter(r["p"] for r in df.select(F.spark_partition_id().alias("p")).collect())
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("hot", ["7", "cast(null as int)"])
+def test_lookup_over_the_limit_spreads_a_hot_key(spark, adaptive, hot):
+    n, limit = 60_000, 64 * 1500
+    df = spark.range(n, numPartitions=8).selectExpr(
+        "id", f"cast(if(id % 3 = 0, {hot}, id % 3000) as int) a", "cast(if(id % 3 = 0, 1, id % 2) as int) b")
+    table = spark.range(6000).selectExpr("cast(id div 2 as int) a", "cast(id % 2 as int) b", "id * 0.5 v")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = lookup_join(df, table, ["a", "b"], 6000, 1, limit)
+        rows = _partition_rows(out)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["id"], r["v"]) for r in out.collect())
+        want = sorted((r["id"], r["v"]) for r in df.join(table, ["a", "b"], "left").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert sum(rows.values()) == n and got == want
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    if adaptive == "false":   # with it, small partitions are put together on purpose
+        assert max(rows.values()) <= 2 * n / len(rows), rows
+
+
+def test_every_frequent_configuration_is_found(spark):
+    df = spark.range(20_000, numPartitions=4).selectExpr("cast(if(id % 2 = 0, id % 20, id) as int) a")
+    found = {r["__heavy"] for r in frequent_keys(df, ["a"], 1000).collect()}
+    heavy = {r["h"] for r in df.groupBy(F.xxhash64(F.col("a").cast("long")).alias("h")).count()
+             .where("count > 20000 / 48").collect()}
+    assert heavy and heavy <= found and len(found) <= 32
+    assert len(frequent_keys(df, ["a"], 3).collect()) <= 3
+    assert frequent_keys(df.where("a < 0"), ["a"], 10).collect() == []
+
+
+def test_predictions_agree_over_the_limit(spark):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "a int, b int, label int").repartition(4)
+    m = fit(df, [("a", "label"), ("b", "label")])
+    p = predict(m, df, "label", max_broadcast_bytes=100)   # every table over it, some keys broadcast
+    assert Counter(((r["a"], r["b"], r["label"]), r["prediction"]) for r in p.collect()) == _brute_force(rows)
