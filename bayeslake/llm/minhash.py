@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need, ship_package, stored
+from .common import WORD, fresh, need, ship_package, stored
 from .components import components
 
 SHINGLE = 5
@@ -358,9 +358,36 @@ def _test(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return stored(both.mapInArrow(_verify(similarity), "a long, b long, similar boolean"), "verified")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class, all columns kept."""
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of texts, all columns kept: the one with
+    the least id. A text that is NULL or has no word stays.
+
+    Where ids repeat or are NULL, rows are told apart by their id and text: a
+    row goes only if another row stays for its own text, NULL ids come
+    last, and of rows equal in both one stays (any, where other columns differ). An empty
+    table gives no row; columns with clashing names are left alone.
+    """
+    need(docs, id_col, text_col)
+    repeated = docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if repeated.isEmpty() and docs.where(F.col(id_col).isNull()).isEmpty():
+        return _without_copies(docs, id_col, text_col, options)
+    number, h1, h2 = fresh(docs, "number", "h1", "h2")
+    marked = docs.withColumns({h1: F.xxhash64(F.col(text_col)), h2: F.xxhash64(F.lit(1), F.col(text_col))})
+    # one number for each id and text, ascending with the id; ranges depend on a sample, so they are written
+    numbers = stored(marked.select(F.col(id_col).alias("i"), F.col(h1).alias("a"), F.col(h2).alias("b")).distinct()
+                     .repartitionByRange(F.col("i").asc_nulls_last(), "a", "b")
+                     .sortWithinPartitions(F.col("i").asc_nulls_last(), "a", "b")
+                     .withColumn(number, F.monotonically_increasing_id()), "text-numbers")
+    same = F.col(id_col).eqNullSafe(F.col("i")) & (F.col(h1) == F.col("a")) & (F.col(h2) == F.col("b"))
+    numbered = stored(marked.join(numbers, same).select(*docs.columns, number), "numbered")
+    left = _without_copies(numbered, number, text_col, options)
+    has_word = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    return left.where(has_word).dropDuplicates([number]).unionByName(left.where(~has_word)).select(*docs.columns)
+
+
+def _without_copies(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
+    """``docs`` without the rows that are not kept, for ids that tell the rows' texts apart."""
     (gone,) = fresh(docs, "gone_id")
-    found = near_duplicates(docs, id_col=id_col, **options)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")

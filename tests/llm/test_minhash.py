@@ -118,10 +118,42 @@ def test_odd_rows(spark):
         7: (7, True), 8: (7, False), 10: (6, False), 6: (6, True)}
     left = M.drop_near_duplicates(df)
     assert left.columns == df.columns
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 6, 7, 9]
+    # the copy with a NULL id goes, as id 1 stays for its text
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [1, 3, 4, 5, 6, 7, 9]
     assert M.near_duplicates(df.where(F.lit(False))).collect() == []
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    t, u, v = ("t a b c d e f g", "u h i j k l m n", "v o p q r s t u")
+    rows = [(2, t, "x"), (5, t, "y"), (5, u, "z"), (9, u, "z"), (None, v, "z"), (None, v, "z"), (None, t, "z"),
+            (7, None, "z"), (7, None, "z"), (3, "", "z"), (3, v.upper() + " other words here now", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, number string").repartition(3)
+    left = M.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in left.collect()))) == sorted(map(str, [
+        (2, t, "x"), (5, u, "z"), (None, v, "z"), (7, None, "z"), (7, None, "z"), (3, "", "z"), rows[-1]]))
+    assert M.drop_near_duplicates(df.where(F.lit(False))).collect() == []
+
+
+def test_unique_ids_lose_what_is_not_kept(spark):
+    rng = random.Random(6)
+    texts = family(rng, 20) + ["", None, "a b c d e f", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, c in brute(list(enumerate(texts))).items() if i == c}
+    assert {r.doc_id for r in M.drop_near_duplicates(df).collect()} == want
+
+
+def test_a_run_leaves_no_scratch(spark):
+    import glob
+
+    from bayeslake.session import ensure_checkpoint_dir, scratch_run
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(folder + "/*"))
+    with scratch_run(spark):
+        assert catalog.op6_minhash_near_dedup(spark, SF).count() > 0
+    assert set(glob.glob(folder + "/*")) == before
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 300), (300, 200), (None, 1), (500, None)]
