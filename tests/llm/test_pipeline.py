@@ -70,7 +70,9 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
             if name == "quality_rules" and data:
                 assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 1]
                 assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
-        assert docs.count() == (3 if data else 0)
+            # one row stays of the class of row 1, its repetition and the near copy without an id
+            late = name in ("minhash_near_dedup", "best_fit_packing")
+            assert docs.count() == (0 if not data else 1 if late else 3), name
 
 
 def test_registered():
