@@ -16,12 +16,15 @@ components of the verified links.
 
 Pairs are not enumerated inside a bucket. Every member is first compared with
 the bucket's least member, which joins most of any large group in a number of
-pairs linear in its size. A bucket that then still spans several classes is
-settled inside the tasks, block against block: pairs of different classes
-whose registers agree often enough are verified there, closest first, and a
-link makes two classes one, so only links come out, fewer than members. A pair
-that shares several buckets is looked at in the first of them. No pair that
-may be similar is left unverified unless its texts are in one class already.
+pairs linear in its size. In a bucket that then still spans several classes,
+the members outside its largest class meet all members, block against block;
+two members of the largest class are never compared again. Blocks hold registers only,
+and what comes out of two of them is the list of their pairs of different classes
+whose registers agree often enough. Only the texts in such lists are fetched, and
+verified list by list, closest pairs first; a link makes two classes one, so only
+links come out, fewer than members. A pair that shares several buckets is looked at
+in the first of them. No pair that may be
+similar is left unverified unless its texts are in one class already.
 """
 
 from __future__ import annotations
@@ -46,8 +49,9 @@ REGISTERS = BANDS * ROWS
 #: Standard deviations below the threshold at which an estimate from the registers
 #: rules a pair out (5.2: one in ten million pairs at the threshold).
 DEVIATIONS = 5.2
-#: Members of a block of a bucket that is settled, on average.
+#: Members of a block of a bucket that is settled, and bytes of their texts, on average.
 BLOCK = 1024
+BLOCK_BYTES = 1 << 23
 #: Texts whose registers are filled at a time, and words whose hashes a worker remembers.
 TEXTS = 256
 MEMO_WORDS = 150_000
@@ -225,12 +229,16 @@ def similar_texts(a, b, similarity: float) -> bool:
     return both >= (similarity - 1e-12) * (small + large - both)
 
 
-def _settle(similarity: float):
-    """Links that join the classes of two blocks of a bucket."""
+CANDIDATES = "key long, x int, y int, a array<bigint>, ca array<bigint>, b array<bigint>, cb array<bigint>, pairs binary"
+_CANDIDATES = pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), *[(c, pa.list_(pa.int64())) for c in
+                         ("a", "ca", "b", "cb")], ("pairs", pa.binary())])
+
+
+def _candidates(similarity: float):
+    """For two blocks of a bucket the texts (ids, classes) and pairs, closest first, that are to be verified."""
     low = lowest_estimate(similarity)
 
     def pairs(sig, comp, bands, band, same):
-        """(left, right) rows of different classes to verify here, closest first."""
         x, y, e = [], [], []
         for c in np.unique(comp[0]):
             rows, cols = np.flatnonzero(comp[0] == c), np.flatnonzero(comp[1] != c)
@@ -245,46 +253,91 @@ def _settle(similarity: float):
                 y.append(near[first])
                 e.append(est[first])
         if not x:
-            return []
-        x, y, e = map(np.concatenate, (x, y, e))
-        order = np.argsort(-e, kind="stable")
-        return zip(x[order].tolist(), y[order].tolist())
+            return np.zeros((2, 0), np.int64)
+        order = np.argsort(-np.concatenate(e), kind="stable")
+        return np.stack([np.concatenate(x)[order], np.concatenate(y)[order]])
 
     def run(batches):
         for batch in batches:
-            left, right = [], []
             for i in range(batch.num_rows):
-                band, same = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                sides = [batch.column(side)[i].values for side in (0, 1)]
-                field = lambda s, f: s.field(f).to_numpy(zero_copy_only=False)
-                ids, comp = ([field(s, f) for s in sides] for f in ("rep", "comp"))
+                key, x, y, band = (batch.column(j)[i].as_py() for j in range(4))
+                sides = [batch.column(j)[i].values for j in (4, 5)]
+                ids, comp = ([s.field(f).to_numpy(zero_copy_only=False) for s in sides] for f in ("rep", "comp"))
                 sig = [np.frombuffer(b"".join(s.field("sig").to_pylist()), "<u2").reshape(-1, REGISTERS) for s in sides]
                 bands = [s.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for s in sides]
-                sets: dict[tuple[int, int], tuple] = {}
-                up: dict[int, int] = {}
-
-                def top(c):
-                    while c in up:
-                        c = up[c]
-                    return c
-
-                def of(side, row):
-                    if (side, row) not in sets:
-                        h, w = shingles(sides[side].field("text")[row].as_py())
-                        sets[side, row] = (h, w, set(h.tolist()) if (w == 1).all() else None)
-                    return sets[side, row]
-
-                for x, y in pairs(sig, comp, bands, band, same):
-                    a, b = top(int(comp[0][x])), top(int(comp[1][y]))
-                    if a != b and similar_texts(of(0, x), of(0 if same else 1, y), similarity):
-                        up[max(a, b)] = min(a, b)
-                        left.append(int(ids[0][x]))
-                        right.append(int(ids[1][y]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                found = pairs(sig, comp, bands, band, x == y)
+                if not found.shape[1]:
+                    continue
+                used, place = zip(*(np.unique(side, return_inverse=True) for side in found))
+                columns = [key, x, y]
+                for side in (0, 1):
+                    columns += [ids[side][used[side]], comp[side][used[side]]]
+                columns.append(np.stack(place).astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _CANDIDATES)], schema=_CANDIDATES)
     return run
 
 
+def _settle(similarity: float):
+    """Links that join the classes of a list of candidates."""
+    def links(a, ca, b, cb, pairs, texts):
+        sets: dict[int, tuple] = {}
+        up: dict[int, int] = {}
+
+        def top(c):
+            while c in up:
+                c = up[c]
+            return c
+
+        def of(rep):
+            if rep not in sets:
+                h, w = shingles(texts[rep].as_py())
+                sets[rep] = (h, w, set(h.tolist()) if (w == 1).all() else None)
+            return sets[rep]
+
+        for i, j in zip(*np.frombuffer(pairs, "<i4").reshape(2, -1).tolist()):
+            c, d = top(ca[i]), top(cb[j])
+            if c != d and similar_texts(of(a[i]), of(b[j]), similarity):
+                up[max(c, d)] = min(c, d)
+                yield a[i], b[j]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                a, ca, b, cb, pairs = (batch.column(j)[i].as_py() for j in range(5))
+                held = batch.column(5)[i].values
+                found += links(a, ca, b, cb, pairs, dict(zip(held.field("rep").to_pylist(), held.field("text"))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+    return run
+
+
+def _open_links(inside: DataFrame, reps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes of the open buckets ``inside``: key, band, rep, comp, size, outside."""
+    def blocks(side):
+        n = F.greatest(F.sum(F.when(side, 1).otherwise(0)) / BLOCK, F.sum(F.when(side, F.col("size")).otherwise(0)) / BLOCK_BYTES)
+        return F.greatest(F.ceil(n), F.lit(1)).cast("int")
+    outside, rep = F.col("outside"), F.xxhash64("rep")
+    deal = inside.groupBy("key").agg(blocks(outside).alias("outer"), blocks(~outside).alias("inner"))
+    # blocks of the members outside the largest class come first
+    block = F.when(outside, F.pmod(rep, F.col("outer"))).otherwise(F.col("outer") + F.pmod(rep, F.col("inner"))).cast("int")
+    block = stored(inside.join(deal, "key").withColumn("block", block).join(reps.select("rep", "sig", "bands"), "rep")
+                   .groupBy("key", "band", "outer", "inner", "block")
+                   .agg(F.collect_list(F.struct("rep", "comp", "sig", "bands")).alias("m")), "blocks")
+    left = block.where("block < outer").select(
+        "key", "band", F.col("block").alias("x"),
+        F.explode(F.sequence("block", F.col("outer") + F.col("inner") - 1)).alias("y"), F.col("m").alias("mx"))
+    right = block.select("key", F.explode(F.sequence(F.lit(0), F.least("block", F.col("outer") - 1))).alias("x"),
+                         F.col("block").alias("y"), F.col("m").alias("my"))
+    place = ["key", "x", "y"]
+    found = stored(left.join(right, place).select(*place, "band", "mx", "my").mapInArrow(_candidates(similarity), CANDIDATES),
+                   "candidates")
+    asked = found.select(*place, F.explode(F.array_distinct(F.concat("a", "b"))).alias("rep"))
+    held = asked.join(texts.select("rep", "text"), "rep").groupBy(*place).agg(F.collect_list(F.struct("rep", "text")).alias("texts"))
+    return (found.join(held, place).select("a", "ca", "b", "cb", "pairs", "texts")
+            .mapInArrow(_settle(similarity), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id, kept.
@@ -311,7 +364,8 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col:
     members = stored(banded.join(buckets.select("key", "least"), "key").select("key", "band", "rep", "least"), "buckets")
     # the texts of bucket members, the only ones that are shuffled whole
     used = reps.join(members.select("rep").distinct(), "rep").select("rep", F.col("rep").alias("doc_id"), "h1", "h2")
-    texts = stored(rows.join(used, ["doc_id", "h1", "h2"]).select("rep", "text").dropDuplicates(["rep"]), "bucket-texts")
+    texts = stored(rows.join(used, ["doc_id", "h1", "h2"]).select("rep", "text").dropDuplicates(["rep"])
+                   .withColumn("size", F.octet_length("text")), "bucket-texts")
 
     # every member against the least one of its bucket
     pairs = members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
@@ -324,21 +378,13 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col:
     # buckets that still span several classes
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    spans = stored(placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"),
-                                             F.count(F.lit(1)).alias("n")).where("c1 < c2")
-                   .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-buckets")
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    spans = stored(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "comp")).alias("most"))
+                   .where("classes > 1").select("key", F.col("most.comp").alias("main")), "open-buckets")
     if not spans.isEmpty():
-        block = (placed.join(spans, "key").join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
-                 .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-                 .groupBy("key", "band", "blocks", "block")
-                 .agg(F.collect_list(F.struct("rep", "comp", "sig", "bands", "text")).alias("m")))
-        block = stored(block, "blocks")
-        left = block.select("key", "band", F.col("block").alias("x"),
-                            F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("m").alias("mx"))
-        right = block.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"),
-                             F.col("m").alias("my"))
-        more = (left.join(right, ["key", "x", "y"]).select("mx", "my", "band", (F.col("x") == F.col("y")).alias("same"))
-                .mapInArrow(_settle(similarity), "a long, b long"))
+        inside = (placed.join(spans, "key").join(texts.select("rep", "size"), "rep")
+                  .select("key", "band", "rep", "comp", "size", (F.col("comp") != F.col("main")).alias("outside")))
+        more = _open_links(stored(inside, "open-members"), reps, texts, similarity)
         labels = components(links.unionByName(more), "a", "b")
 
     # rows that share an id may stand for several texts

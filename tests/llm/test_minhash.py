@@ -107,6 +107,31 @@ def test_families_blocks_and_rounds(spark, monkeypatch):
     assert got == brute(list(enumerate(texts)))
 
 
+def test_blocks_pair_only_with_members_outside_the_largest_class(spark, monkeypatch):
+    rng = random.Random(8)
+    written, stored = {}, M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name, **o: written.setdefault(name, stored(df, name, **o)))
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1 << 14)
+    near, far = family(rng, 1)[0], []
+    texts = [near.replace(near.split()[i], f"x{i}") for i in range(0, 100, 2)]        # one class, by their least member
+    for k in (0, 6):                                                                  # far from it, near in the registers
+        t = near.split()
+        for i in range(3, 119, 29):
+            t[i - k % 3] = f"y{k}{i}"
+        far.append(" ".join(t))
+    docs = list(enumerate(texts + far))
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    blocks, found = written["blocks"], written["candidates"]
+    assert "text" not in blocks.schema.simpleString()
+    deal = {r.key: (r.outer, r.inner) for r in blocks.collect()}
+    assert any(inner > 1 for _, inner in deal.values())
+    assert all(r.x <= r.y and r.x < deal[r.key][0] for r in found.collect())          # never two blocks of the largest class
+    sizes = written["open-members"].where("not outside").groupBy("key").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    assert all(deal[r.key][1] >= max(r.s / (1 << 14), r.n / 8) for r in sizes)
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (4, ""), (3, " \n"), (2, "one two"), (1, "ONE  two"), (9, "one two three"), (None, "one two"),
             (7, "long " * 4000), (8, "long " * 4000), (8, "long " * 4000), (10, "a b c d e f"), (6, "a b c d e f")]
