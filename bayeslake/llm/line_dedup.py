@@ -108,7 +108,8 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, th, pos) of every line to drop; th is the text's xxhash64."""
     spark = docs.sparkSession
     order = [F.col("h1").asc(), F.col("h2").asc(), F.col("doc_id").desc(), F.col("th").asc(), F.col("pos").asc()]
-    keys = line_keys(docs, id_col, text_col, min_chars)
+    # range partitioning reads its input twice, first for a sample: the keys are computed once
+    keys = stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
     streamed = stored(keys.repartitionByRange(partitions or shuffle_partitions(spark), *order)
                       .sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _STREAMED), "line-runs")
     # two runs a task at most, besides those of over RUN_ROWS rows
