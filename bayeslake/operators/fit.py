@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.density import col
 from ..functions.sqltext import q, s as lit_s
 from ..plans.dag import Network
-from ..session import kept, remove_scratch, scratch_run
+from ..session import compiled_in_parts, kept, remove_scratch, scratch_run
 from . import moments
 
 ARRAY_INT = "array<int>"
@@ -164,8 +164,9 @@ def summary_stats(df: DataFrame, net: Network) -> tuple[DataFrame, list]:
 
 # GROUPING SETS numbers its sets with one bit per column of a 64-bit id.
 MAX_SET_COLUMNS = 60
-# The scan number of groupings that come from long_counts.
+# The scan number of groupings that come from long_counts, and of the columns summed from those.
 LONG_SCAN = -1
+ROLLED_SCAN = -2
 
 
 def _chunks(keys: list[tuple[str, ...]], max_sets: int, max_columns: int) -> list[list[tuple[str, ...]]]:
@@ -188,8 +189,23 @@ def long_counts(X: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
     one scan however many groupings and columns there are. A row becomes one
     (set, values) pair per grouping; equal pairs combine map-side."""
     sets = ", ".join(f"named_struct('s', {i}, 'k', {config_sql(k)})" for i, k in enumerate(keys))
-    return (X.select(F.expr(f"inline(array({sets}))").alias("__set", "__key"))
-            .groupBy("__set", "__key").agg(F.count(F.lit(1)).alias("__n")))
+    if len(keys) == 1:
+        pairs = X.select(F.lit(0).alias("__set"), config_expr(keys[0]).alias("__key"))
+    else:
+        pairs = X.select(F.expr(f"inline(array({sets}))").alias("__set", "__key"))
+    return pairs.groupBy("__set", "__key").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def rolled_counts(counts: DataFrame, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """(node, value, __n) of single columns, summed from counts (__gid, __key, __n) that
+    hold each of them: ``places`` gives a column's grouping and its place in that key."""
+    at = F.posexplode("__key").alias("__pos", "value")
+    nodes = ", ".join(f"struct({g}, {j}), {lit_s(c)}" for c, (g, j) in places.items())
+    return (counts.filter(F.col("__gid").isin(sorted({g for g, _ in places.values()})))
+            .select(F.col("__gid").cast("int").alias("__gid"), at, "__n")
+            .groupBy("__gid", "__pos", "value").agg(F.sum("__n").alias("__n"))
+            .withColumn("node", F.expr(f"map({nodes})[struct(__gid, __pos)]"))
+            .filter(F.col("node").isNotNull()).select("node", "value", "__n"))
 
 
 def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
@@ -199,12 +215,23 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
     Returns the unioned small result (columns: discrete nodes, ``scan``,
     ``gid``, statistics) and a map key -> (scan, gid). Groupings of which only
     the row count is wanted, when there are more than ``max_sets_per_scan`` in
-    all, come from ``long_counts`` instead: one scan for all of them.
+    all, come from ``long_counts`` instead: one scan for all of them. Of these, a
+    single column that a larger one holds is not counted from the rows again but
+    summed from that one by ``rolled_counts``; its entry of the map is
+    (ROLLED_SCAN, (gid, place)). The count of all rows, which nobody reads then, is left out.
     """
     groups = _plan_groupings(net, counts_only)
+    rolled: dict[tuple[str, ...], tuple[int, int]] = {}
     if len(groups) > max_sets_per_scan:
-        counted = [g for g in groups if len(g.aggs) == 1]
+        counted = [g for g in groups if len(g.aggs) == 1 and g.key]
         groups = [g for g in groups if len(g.aggs) > 1]
+        larger = [g for g in counted if len(g.key) > 1]
+        single = {g.key[0] for g in counted if len(g.key) == 1}
+        for i, g in enumerate(larger):
+            for j, c in enumerate(g.key):
+                if c in single:
+                    rolled.setdefault((c,), (i, j))
+        counted = larger + [g for g in counted if len(g.key) == 1 and g.key not in rolled]
     else:
         counted = []
     order = {n: i for i, n in enumerate(net.nodes)}
@@ -235,7 +262,8 @@ def shared_scan_stats(X: DataFrame, net: Network, max_sets_per_scan: int = 8,
             "__key", "__n", F.col("__set").cast("long").alias("__gid"), F.lit(LONG_SCAN).alias("__scan")))
         for i, g in enumerate(counted):
             g.scan, g.gid = LONG_SCAN, i
-    return _union(parts, missing=True), {g.key: (g.scan, g.gid) for g in groups + counted}
+    where = {g.key: (g.scan, g.gid) for g in groups + counted}
+    return _union(parts, missing=True), where | {k: (ROLLED_SCAN, at) for k, at in rolled.items()}
 
 
 @dataclass
@@ -340,7 +368,11 @@ def _fit(df: DataFrame, net: Network, max_sets_per_scan: int, run) -> Model:
         # families, and one for the long-form moments of a wide network. Every
         # parameter table below is derived from these tables, so concurrent
         # subquery stages never rescan the training data.
-        stats = kept(stats)
+        if LONG_SCAN in {s for s, _ in where.values()}:
+            with compiled_in_parts(df.sparkSession):   # many columns: see there
+                stats = kept(stats)
+        else:
+            stats = kept(stats)
         if long_mode:
             lstats = kept(lstats)
 
@@ -350,24 +382,42 @@ def _fit(df: DataFrame, net: Network, max_sets_per_scan: int, run) -> Model:
 
     def family(dpar, x):
         """(config, value, n) of a discrete node."""
-        key = dpar + (x,)
-        if where[key][0] == LONG_SCAN:
-            config, value = F.slice("__key", 1, len(dpar)), F.get("__key", F.lit(len(dpar)))
-        else:
-            config, value = config_expr(dpar), col(x)
-        return rows(key).select(F.lit(x).alias("node"), config.alias("config"), value.alias("value"),
-                                F.col("__n").alias("n"))
+        return rows(dpar + (x,)).select(F.lit(x).alias("node"), config_expr(dpar).alias("config"),
+                                        col(x).alias("value"), F.col("__n").alias("n"))
+
+    def long_families(own, places):
+        """(node, config, value, n) of all nodes whose families ``long_counts`` counted,
+        by a grouping of their ``own`` or at a place of another, as two relations: a
+        relation per node would read the counts once for each."""
+        counts = stats.filter(F.col("__scan") == LONG_SCAN).select("__gid", "__key", "__n")
+        if own:   # the groupings of long_counts are all families, numbered from 0
+            nodes = "array(" + ", ".join(lit_s(x) for x in sorted(own, key=own.get)) + ")"
+            yield counts.select(F.expr(f"element_at({nodes}, CAST(__gid AS INT) + 1)").alias("node"),
+                                F.expr("slice(__key, 1, size(__key) - 1)").alias("config"),
+                                F.element_at("__key", -1).alias("value"), F.col("__n").alias("n"))
+        if places:
+            rolled = rolled_counts(counts, places)
+            yield (kept(rolled) if run else rolled).select("node", config_expr(()).alias("config"), "value",
+                                                           F.col("__n").alias("n"))
 
     cont = net.continuous_nodes()
     cidx = {c: i for i, c in enumerate(cont)}
     eidx = {e: i for i, e in enumerate(net.continuous_edges())}
-    glob = rows(())
+    glob = rows(()) if () in where else None   # left out where only counts are wanted
 
     # ---- cpt -------------------------------------------------------------
-    fams = []
+    fams, own, places = [], {}, {}
     for x in net.discrete_nodes():
         dpar = net.discrete_parents(x)
-        fams.append(family(dpar, x))
+        scan, at = where[dpar + (x,)]
+        if scan == LONG_SCAN:
+            own[x] = at
+        elif scan == ROLLED_SCAN:
+            places[x] = at
+        else:
+            fams.append(family(dpar, x))
+    if own or places:
+        fams += long_families(own, places)
     if fams:
         cpt = _union(fams).filter(no_null_config(F.col("config")))
         # two-level: totals combine map-side, so a root's many values never meet in one task

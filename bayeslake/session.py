@@ -56,6 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+@contextmanager
+def compiled_in_parts(spark: SparkSession):
+    """For actions on rows of many computed columns: a stage whose generated code would be
+    one method over the JVM's limit of 8000 bytes, which is then interpreted, runs operator
+    by operator instead, each compiled in small methods. Results are the same."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # ---- scratch folders and who removes them -------------------------------------------
 _current: ContextVar["ScratchRun | None"] = ContextVar("bayeslake_scratch_run", default=None)
 

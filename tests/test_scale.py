@@ -2,6 +2,7 @@
 holding most rows, and plans without a shuffle of the scored rows."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -129,3 +130,64 @@ def test_predictions_agree_over_the_limit(spark):
     m = fit(df, [("a", "label"), ("b", "label")])
     p = predict(m, df, "label", max_broadcast_bytes=100)   # every table over it, some keys broadcast
     assert Counter(((r["a"], r["b"], r["label"]), r["prediction"]) for r in p.collect()) == _brute_force(rows)
+
+
+def _wide_family(spark, path):
+    """Ten roots, a child of all of them, one of two of them, one of that child, and a
+    column without edges; with NULLs and repeated rows."""
+    rng = random.Random(7)
+    roots = [f"b{j}" for j in range(10)]
+    cols = roots + ["all", "two", "next", "alone"]
+    rows = [tuple(rng.randrange(2) if rng.random() > 0.04 else None for _ in cols) for _ in range(150)]
+    spark.createDataFrame(rows * 3, ", ".join(f"`{c}` int" for c in cols)).write.parquet(path)
+    edges = [(r, "all") for r in roots] + [("b0", "two"), ("b1", "two"), ("two", "next")]
+    return spark.read.parquet(path), edges, cols, rows * 3
+
+
+def test_columns_of_a_large_family_are_counted_with_it(spark, tmp_path):
+    from bayeslake.operators.fit import ROLLED_SCAN, prepare_frame, shared_scan_stats
+    df, edges, cols, rows = _wide_family(spark, str(tmp_path / "t"))
+    parents = {c: [p for p, x in edges if x == c] for c in cols}
+    want = Counter()
+    for r in rows:
+        v = dict(zip(cols, r))
+        for c in cols:
+            config = tuple(v[p] for p in parents[c])
+            if v[c] is not None and None not in config:
+                want[c, config, v[c]] += 1
+    total = Counter()
+    for r in rows:
+        v = dict(zip(cols, r))
+        for c in cols:
+            total[c, tuple(v[p] for p in parents[c])] += 1
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    lazy = fit(df, edges, persist=False)
+    for m in (fit(df, edges), lazy):
+        got = m.cpt.collect()
+        assert {(r.node, tuple(r.config), r.value): r.n for r in got} == want and len(got) == len(want)
+        assert all(r.n_config == total[r.node, tuple(r.config)] and r.p == r.n / r.n_config for r in got)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    # the roots are summed from the families that hold them, and the reads do not grow with the nodes
+    _, where = shared_scan_stats(prepare_frame(df, lazy.network), lazy.network)
+    assert all(where[f"b{j}",][0] == ROLLED_SCAN for j in range(10)) and where["alone",][0] != ROLLED_SCAN
+    assert lazy.cpt.select("*")._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4
+
+
+def test_a_row_counted_by_one_family_alone_is_not_multiplied(spark):
+    from bayeslake.operators.fit import prepare_frame, shared_scan_stats
+    from bayeslake.plans.dag import Network
+    df = spark.createDataFrame([tuple(range(12))], ", ".join(f"b{j} int" for j in range(12)))
+    net = Network.from_schema(df.schema, [(f"b{j}", "b11") for j in range(11)])
+    stats, _ = shared_scan_stats(prepare_frame(df, net), net)
+    assert "Generate" not in stats._jdf.queryExecution().executedPlan().toString()
+    assert stats.count() == 1
+
+
+def test_the_method_limit_is_set_back_after_an_error(spark):
+    from bayeslake.session import compiled_in_parts
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    with pytest.raises(KeyError):
+        with compiled_in_parts(spark):
+            assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+            raise KeyError
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
