@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import need, ship_package, shuffle_partitions
-from .tokenizing import encoder, vocabulary_size
+from .tokenizing import WORD_CHUNK_CHARS, encoder, vocabulary_size
 
 BLOCK_IDS = 1 << 16
 
@@ -92,9 +92,10 @@ def _encode_blocks(path: str, end_id: int | None, width: int, block_ids: int):
 
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(keys), 256):             # texts in hand at a time
-                part = ["" if t is None else t for t in texts.slice(at, 256).to_pylist()]
-                for key, b in zip(keys.slice(at, 256).to_pylist(), enc.encode(part)):
+            n = max(1, len(keys) * WORD_CHUNK_CHARS // max(1, texts.nbytes))     # texts in hand at a time
+            for at in range(0, len(keys), n):
+                part = ["" if t is None else t for t in texts.slice(at, n).to_pylist()]
+                for key, b in zip(keys.slice(at, n).to_pylist(), enc.encode(part)):
                     docs.append(key)
                     ids.append(b + end)
                     held += len(ids[-1]) // 4

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from bayeslake.llm import catalog, token_files as TF  # noqa: E402
+from bayeslake.llm import catalog, token_files as TF, tokenizing  # noqa: E402
 from bayeslake.llm.tokenizing import Encoder  # noqa: E402
 from bayeslake.session import scratch_path  # noqa: E402
 
@@ -46,6 +46,46 @@ def test_pieces_equal_the_library_on_whole_texts(path):
         assert np.frombuffer(b, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class Counting(dict):
+    looked_up = 0
+
+    def get(self, key, default=None):
+        self.looked_up += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.looked_up += 1
+        return super().__getitem__(key)
+
+
+def test_pieces_are_looked_up_once_a_chunk():
+    enc = Encoder(WORD)
+    enc.memo = Counting()
+    got = enc.encode(["one two, (three) " * 2000, "two. one, " * 1000])
+    assert enc.memo.looked_up <= 10
+    whole = Tokenizer.from_file(WORD)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [
+        whole.encode(t, add_special_tokens=False).ids for t in ("one two, (three) " * 2000, "two. one, " * 1000)]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_random_texts_over_many_chunks_and_memos(path, monkeypatch):
+    for name in ("CHUNK_CHARS", "WORD_CHUNK_CHARS", "MEMO_PIECES"):
+        monkeypatch.setattr(tokenizing, name, 150)
+    rng = np.random.default_rng(5)
+    some = list("aBéÀßÿ×÷.,;:!?'-%9½x\0\n") + [chr(c) for c in range(0x3001) if chr(c).isspace()] + [
+        "'s", "Ab", "é.", "e\u0301", "日本", "Ж", "y" * 70, "z" * 70 + ".", " ", " ", ". ", ", "]
+    if path == WORD:
+        some.append("<|endoftext|>")
+    texts = ["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(2000)]
+    whole, enc = Tokenizer.from_file(path), Encoder(path)
+    for at in range(0, len(texts), 100):
+        part = texts[at:at + 100]
+        got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(part)]
+        for text, ids in zip(part, got):
+            assert ids == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def brute(rows, path, end):
     whole, out, start = Tokenizer.from_file(path), [], 0
     for key, text in rows:
